@@ -6,10 +6,11 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 STORE = 200_000
 #: Longest word that is stored, in characters.
 KEPT_CHARS = 48
+#: No rank.
+NONE = np.int32(2**31 - 1)
+#: Bytes of the words that are merged in one block.
+_WIDTHS = (0, 6, 10, 14, 20, 32, 64, 160)
+#: Texts whose missing words are merged together, in characters.
+TOGETHER = 2_000_000
 #: A blank before a sign that isn't white space always starts a new word of PATTERN.
 _CUT = re.compile(r" (?=\S)")
 
@@ -37,12 +44,17 @@ class Store:
             got = self.old.get(key)
             if got is None:
                 got = self.make(key)
-                if len(key) > KEPT_CHARS:
-                    return got
+            self.put(key, got)
+        return got
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        return [k for k in keys if k not in self.young and k not in self.old]
+
+    def put(self, key: str, value) -> None:
+        if len(key) <= KEPT_CHARS:
             if len(self.young) >= STORE:
                 self.old, self.young = self.young, {}
-            self.young[key] = got
-        return got
+            self.young[key] = value
 
     def all(self, keys: list[str]) -> list:
         out = list(map(self.young.get, keys))
@@ -83,6 +95,60 @@ class ByteBpe:
         self.words = regex.compile(PATTERN)
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.store = Store(self.merge)
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
+        pairs = [(self.ids[to_bytes(a)] << 16 | self.ids[to_bytes(b)], rank, self.ids[to_bytes(a + b)]) for rank, (a, b) in enumerate(merges)]
+        self.made_by = np.array([p[2] for p in pairs] or [0], np.int32)
+        self.pair_keys, order = np.unique(np.array([p[0] for p in pairs], np.uint32), return_index=True)
+        self.pair_ranks = order.astype(np.int32)  # the first of equal pairs
+        every = np.arange(256)
+        self.byte_ranks = self.rank_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, len(every))).reshape(256, 256)
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of joining parts a and b (ids), NONE where they don't join."""
+        key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+
+    def merge_many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """merge() of many words at once. Each row of a block is one word's contiguous arrays of parts and adjacent ranks; every round scans all
+        rows for their least rank, deletes that boundary by closing the gap, and finds the two ranks beside it anew."""
+        out: list = [None] * len(words)
+        data = [w.encode("utf-8") for w in words]
+        sizes = np.array([len(x) for x in data], np.int64)
+        for low, width in zip(_WIDTHS, _WIDTHS[1:], strict=False):
+            some = np.flatnonzero((sizes > low) & (sizes <= width))
+            for at in range(0, len(some), 4096):
+                self._merge_block(data, some[at : at + 4096], sizes, width, out)
+        for k in np.flatnonzero((sizes > _WIDTHS[-1]) | (sizes == 0)):
+            out[k] = self._scan_long(data[k])
+        return out
+
+    def _merge_block(self, data: list[bytes], some: np.ndarray, sizes: np.ndarray, width: int, out: list) -> None:
+        signs = np.frombuffer(b"".join([data[k].ljust(width, b"\0") for k in some]), np.uint8).reshape(-1, width)
+        parts, size, cols = self.byte_ids[signs], sizes[some], np.arange(width)
+        ranks = np.full(signs.shape, NONE, np.int32)
+        ranks[:, :-1] = np.where(cols[:-1] < size[:, None] - 1, self.byte_ranks[signs[:, :-1], signs[:, 1:]], NONE)
+        while len(some):
+            i = ranks.argmin(axis=1)
+            rows = np.arange(len(some))
+            least = ranks[rows, i]
+            done = least == NONE
+            if done.any():
+                for k, ids, n in zip(some[done].tolist(), parts[done].tolist(), size[done].tolist(), strict=True):
+                    out[k] = tuple(ids[:n])
+                some, parts, ranks, size, i, least = (x[~done] for x in (some, parts, ranks, size, i, least))
+                rows = rows[: len(some)]
+                if not len(some):
+                    break
+            close = np.minimum(cols + (cols > i[:, None]), width - 1)
+            parts, ranks = np.take_along_axis(parts, close, 1), np.take_along_axis(ranks, close, 1)
+            ranks[:, -1] = NONE
+            size = size - 1
+            new = self.made_by[least]
+            parts[rows, i] = new
+            right, left = np.minimum(i + 1, width - 1), np.maximum(i - 1, 0)
+            ranks[rows, i] = np.where(i < size - 1, self.rank_of(new, parts[rows, right]), NONE)
+            ranks[rows, left] = np.where(i > 0, self.rank_of(parts[rows, left], new), ranks[rows, left])
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The ids of one word. bounds holds the parts' boundaries, ranks[i] the rank of joining parts i and i + 1; the least (leftmost of
@@ -161,18 +227,59 @@ class Chunks:
         words = self.bpe.words.findall(chunk)
         return self.form(tuple(chain.from_iterable(self.bpe.store.all(words))))
 
-    def forms(self, text: str) -> list:
-        """The forms of all chunks of a text in order."""
+    def batches(self, texts: Iterable[str | None]) -> Iterator[list]:
+        """forms() of each text; the words that the store lacks are merged many at once. A null text has none."""
+        held: list[str | None] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= TOGETHER:
+                yield from self._batch(held)
+                held, size = [], 0
+        yield from self._batch(held)
+
+    def parsed(self, text: str) -> list[int | list[str]]:
+        """The special ids and the stretches between them, each cut into chunks."""
+        return [x if isinstance(x, int) else _CUT.split(x) for x in self.bpe.pieces(text) if x != ""]
+
+    def _batch(self, texts: list[str | None]) -> Iterator[list]:
+        parsed = [self.parsed(text) if text else [] for text in texts]
+        chunks: set[str] = set()
+        for parts in parsed:
+            for part in parts:
+                if not isinstance(part, int):
+                    chunks.update(part[1:])
+        lacking = self.inner.lacking(chunks)
+        find, store = self.bpe.words.findall, self.bpe.store
+        split = [find(" " + c) for c in lacking]
+        words = set(chain.from_iterable(split))
+        fresh = store.lacking(words)
+        fresh = dict(zip(fresh, self.bpe.merge_many(fresh), strict=True))
+        known = {w: store.get(w) for w in words.difference(fresh)} | fresh
+        for word, ids in fresh.items():
+            store.put(word, ids)
+        get, put, form = known.__getitem__, self.inner.put, self.form
+        for chunk, own in zip(lacking, split, strict=True):
+            put(chunk, form(known[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(get, own)))))
+        for parts in parsed:
+            yield self._forms(parts)
+
+    def _forms(self, parts: list[int | list[str]]) -> list:
         out: list = []
-        for piece in self.bpe.pieces(text):
-            if isinstance(piece, int):
-                out.append(self.form((piece,)))
-            elif piece:
-                first, *rest = _CUT.split(piece)
-                out.append(self.made(first))
-                out += self.inner.all(rest)
+        for part in parts:
+            if isinstance(part, int):
+                out.append(self.form((part,)))
+            else:
+                if part[0]:
+                    out.append(self.made(part[0]))
+                out += self.inner.all(part[1:])
         return out
 
+    def forms(self, text: str) -> list:
+        """The forms of all chunks of a text in order."""
+        return self._forms(self.parsed(text))
+
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> ByteBpe:
@@ -187,7 +294,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = loaded(vocabulary)
         for batch in texts:
-            yield pd.Series([bpe.encode(x) if x else [] for x in batch])
+            yield pd.Series([list(chain.from_iterable(forms)) for forms in bpe.chunks.batches(batch)])
 
     return kept.withColumn(ids, F.pandas_udf(encode, "array<int>")(kept[text]))
 
@@ -217,8 +324,8 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         chunks = Chunks(bpe, lambda ids: (",".join(map(decimals, ids)), ids))
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                said, ids = zip(*chunks.forms(text), strict=True) if text else ((), ())
+            for forms in chunks.batches(batch["text"]):
+                said, ids = zip(*forms, strict=True) if forms else ((), ())
                 flat = list(chain.from_iterable(ids))
                 rows.append((len(flat), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(bpe.decode(flat)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -6,6 +6,7 @@ driver (at most `capacity` lengths, a few runs each), and every item finds its p
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -147,12 +148,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     the first may be shorter. A null or empty text is one piece with end_id; rows that repeat a doc_id have pieces each."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = Chunks(loaded(vocabulary), lambda ids: np.array(ids, "<u4").tobytes())
+        chunks = Chunks(loaded(vocabulary), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, of = [], []
-            for k, text in enumerate(batch["text"]):
-                data = b"".join(chunks.forms(text)) + end if text else end
+            for k, forms in enumerate(chunks.batches(batch["text"])):
+                data = b"".join(forms) + end
                 n = len(data) // 4
                 length = (n - 1) % capacity + 1
                 start = piece = 0
