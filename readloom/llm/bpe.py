@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the word pattern of byte-level BPE vocabularies with this pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries in each of the two generations of a task's store of encoded words; a full store ages, which changes no result.
-STORE = 200_000
+STORE = 300_000
 #: Longest word that is stored, in characters.
 KEPT_CHARS = 48
 #: No rank.
