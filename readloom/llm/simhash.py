@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.components import components
-from readloom.llm.util import _SPACE, partitions, small_side, steps, word_spans, written
+from readloom.llm.util import _SPACE, mixed, partitions, row_key, small_side, steps, word_spans, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -75,14 +76,16 @@ def bands(radius: int, spare: int = 2) -> list[int]:
 def close_lanes(prints: np.ndarray, groups: np.ndarray, radius: int, pairs: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j), i > j, of one group (groups: sorted labels) whose prints differ in at most radius bits, without a loop over pairs.
 
-    planes[b] holds bit b of all prints, 64 to a word. A row is held against each word that its group reaches: three carry-save counters count
-    the differing bits of all 64 lanes at once, lanes over radius are marked, and words with no lane left are abandoned."""
-    n = len(prints)
+    prints: uint64, one row of words per print. planes[b] holds bit b of all prints, 64 to a word. A row is held against each word that its group
+    reaches: carry-save counters count the differing bits of all 64 lanes at once, lanes over radius are marked, and words with no lane left are
+    abandoned."""
+    prints = prints.reshape(len(prints), -1)
+    n, width = len(prints), 64 * prints.shape[1]
     words = -(-n // 64)
-    bits = np.zeros((words * 64, 8), np.uint8)
-    bits[:n] = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
+    bits = np.zeros((words * 64, width // 8), np.uint8)
+    bits[:n] = np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(n, -1)
     bits = np.unpackbits(bits, axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T.reshape(64, words, 64), axis=2, bitorder="little")).reshape(64, -1).view("<u8")
+    planes = np.ascontiguousarray(np.packbits(bits.T.reshape(width, words, 64), axis=2, bitorder="little")).reshape(width, -1).view("<u8")
     begin = np.searchsorted(groups, groups, "left")
     rows = np.flatnonzero(np.arange(n) > begin)  # lanes before the row: begin .. row - 1
     span = (rows - 1) // 64 - begin[rows] // 64 + 1
@@ -97,18 +100,17 @@ def close_lanes(prints: np.ndarray, groups: np.ndarray, radius: int, pairs: int
         low = np.clip(begin[row] - word * 64, 0, 63).astype(np.uint64)
         high = np.clip(row - word * 64, 0, 64)
         live = (_ONES << low) & np.where(high == 64, _ONES, (np.uint64(1) << (np.minimum(high, 63)).astype(np.uint64)) - np.uint64(1))
-        q = prints[row]
-        one, two, four = (np.zeros(len(row), np.uint64) for _ in range(3))
-        for b in range(64):
-            c = planes[b][word] ^ (np.uint64(0) - ((q >> np.uint64(b)) & np.uint64(1)))
-            one, c = one ^ c, one & c
-            two, c = two ^ c, two & c
-            four, c = four ^ c, four & c
-            live &= ~(c | _above(one, two, four, radius))
-            if b % 8 == 7 and b < 63:
+        counters = [np.zeros(len(row), np.uint64) for _ in range(radius.bit_length())]
+        for b in range(width):
+            carry = planes[b][word] ^ (np.uint64(0) - ((prints[row, b // 64] >> np.uint64(b % 64)) & np.uint64(1)))
+            for k, plane in enumerate(counters):
+                counters[k], carry = plane ^ carry, plane & carry
+            live &= ~carry
+            if b % 8 == 7:
+                live &= ~_above(counters, radius)
                 left = live != 0
                 if not left.all():
-                    row, word, q, one, two, four, live = (x[left] for x in (row, word, q, one, two, four, live))
+                    row, word, live, *counters = (x[left] for x in (row, word, live, *counters))
                     if not len(row):
                         break
         if len(row):
@@ -117,15 +119,15 @@ def close_lanes(prints: np.ndarray, groups: np.ndarray, radius: int, pairs: int
             yield row[k], word[k] * 64 + lane
 
 
-def _above(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose 3-bit counter is over radius (0 to 7)."""
-    over, equal = np.zeros(len(one), np.uint64), np.full(len(one), _ONES)
-    for plane, bit in ((four, 4), (two, 2), (one, 1)):
-        if radius & bit:
-            equal = equal & plane
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter (least bit first) is over radius."""
+    over, equal = np.zeros(len(counters[0]), np.uint64), np.full(len(counters[0]), _ONES)
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            equal = equal & counters[k]
         else:
-            over = over | (equal & plane)
-            equal = equal & ~plane
+            over = over | (equal & counters[k])
+            equal = equal & ~counters[k]
     return over
 
 
@@ -206,5 +208,102 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFram
     return prints.join(small_side(named), "print").select("doc_id", hexed, "component_id")
 
 
+# ---------------------------------------------------------------- copies above a similarity of shingle sets
+
+#: Bits of the fingerprint that finds candidates, bits that candidates may differ in, and the share of pairs at SURE that some key must hold.
+WIDE, WIDE_RADIUS, SURE, SHARE = 128, 26, 0.85, 0.97
+
+
+def key_bits(n: int) -> tuple[int, int]:
+    """(bits a key, keys) for n fingerprints: buckets of a few unrelated prints, and as many keys as find a pair of similarity SURE with SHARE."""
+    bits = min(40, max(12, math.ceil(math.log2(max(2, n))) - 2))
+    differ = math.acos(2 * SURE / (1 + SURE)) / math.pi
+    return bits, math.ceil(math.log(1 - SHARE) / math.log(1 - (1 - differ) ** bits))
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """_key, keep_id, kept for each distinct (doc_id, text) that has a near copy: words in shingles of width, sets with a Jaccard similarity of at
+    least similarity; of each component the smallest doc_id stays (null last).
+
+    Candidates share a key of sampled fingerprint bits and differ in at most WIDE_RADIUS of WIDE bits, compared bit-sliced; from each bucket a print
+    is linked to its nearest and to the first within reach, not to all. Each link is then verified on the whole sets, so nothing below similarity is
+    joined. Texts without words have no copies. _key is row_key() of the row.
+    """
+    n = partitions(docs.sparkSession)
+    rows = docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in steps(batch, "text"):
+                h, cuts = shingle_hashes(data, offsets, width)
+                some = np.flatnonzero(np.diff(cuts))
+                prints = np.stack([fingerprint(x, cuts) for x in (h, mixed(h + np.uint64(WIDE)))], 1)[some].view(np.int64)
+                take = pa.array(some)
+                yield pa.RecordBatch.from_arrays([part.column("_key").take(take), part.column("doc_id").take(take), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["_key", "doc_id", "p0", "p1"])
+
+    prints = written(rows.mapInArrow(of, "_key long, doc_id long, p0 long, p1 long"))
+    classes = written(prints.groupBy("p0", "p1").agg(F.min("_key").alias("first")))
+    bits, keys = key_bits(classes.count())
+    rng = np.random.default_rng(3)
+    chosen = [np.sort(rng.choice(WIDE, bits, replace=False)) for _ in range(keys)]
+    masks = np.array([[sum(1 << int(b % 64) for b in c if b // 64 == w) for w in (0, 1)] for c in chosen], np.uint64).view(np.int64)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.col("p0").bitwiseAND(F.lit(int(a))), F.col("p1").bitwiseAND(F.lit(int(b)))).alias("key")) for k, (a, b) in enumerate(masks)]))
+
+    def same(x: pa.RecordBatch) -> np.ndarray:
+        band, key = x.column("band").to_numpy(), x.column("key").to_numpy()
+        return np.concatenate(([False], (band[1:] == band[:-1]) & (key[1:] == key[:-1])))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, same, 100_000):
+            again = same(batch)
+            group = np.cumsum(~again)
+            some = again | np.concatenate((again[1:], [False]))
+            ids, group = batch.column("first").to_numpy()[some], group[some]
+            values = np.stack([batch.column(c).to_numpy()[some].view(np.uint64) for c in ("p0", "p1")], 1)
+            for i, j in close_lanes(values, group, WIDE_RADIUS):
+                far = np.bitwise_count(values[i] ^ values[j]).sum(axis=1)
+                i, j, far = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((far, far))
+                for order in (np.lexsort((j, far, i)), np.lexsort((j, i))):
+                    first = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[first]]), pa.array(ids[j[first]])], ["a", "b"])
+
+    dealt = classes.select(each.alias("_b"), "first", "p0", "p1").select("_b.band", "_b.key", "first", "p0", "p1")
+    between = dealt.repartition(n, "band", "key").sortWithinPartitions("band", "key", "first").mapInArrow(link, "a long, b long")
+    within = prints.join(small_side(classes), ["p0", "p1"]).where("_key != first").select(F.col("_key").alias("a"), F.col("first").alias("b"))
+    pairs = written(between.unionByName(within).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    wanted = written(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in steps(batch, "text"):
+                h, cuts = shingle_hashes(data, offsets, width)
+                own = [np.unique(h[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(own, pa.binary())], ["_key", "own"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    own = written(rows.join(small_side(wanted), "_key", "left_semi").dropDuplicates(["_key"]).select("_key", "text").mapInArrow(sets, "_key long, own binary"))
+    side = lambda c, as_: own.select(F.col("_key").alias(c), F.col("own").alias(as_))
+    links = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    roots = components(links, "a", "b")
+    named = roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
+    named = written(named.join(prints.select(F.col("_key").alias("node"), "doc_id").distinct(), "node"))
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("_b"))
+    return named.join(best, "component").select(F.col("node").alias("_key"), F.col("_b.doc_id").alias("keep_id"), (F.col("node") == F.col("_b.node")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs but near copies of a row that stays; all columns pass through. Rows that repeat doc_id and text stay or go together."""
+    gone = written(near_copies(docs, width, similarity).where("not kept").select("_key"))
+    return docs.withColumn("_key", row_key()).join(small_side(gone), "_key", "left_anti").select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

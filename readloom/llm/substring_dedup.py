@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from readloom.llm.simhash import whole_groups
-from readloom.llm.util import WORD_BASE, mixed, pack, partitions, ranges, rolling, small_side, steps, unpack, window_hash, word_hashes, word_spans, written
+from readloom.llm.util import WORD_BASE, mixed, pack, partitions, ranges, rolling, row_key, small_side, steps, unpack, window_hash, word_hashes, word_spans, written
 
 WINDOW, BLOCK = 35, 18
 _SECOND = 0xB5297A4D3F84D5B5
@@ -27,10 +27,6 @@ _HITS = "q int, probes binary, multi binary, index binary, keys binary, blocks b
 _RUNS = "q int, chunk long, single binary, place binary, multi binary, keys binary, starts binary, counts binary, seen binary"
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text").alias("_key")
-
-
 def part_of(h: np.ndarray, n: int) -> np.ndarray:
     """A partition below n from a hash's top bits."""
     return ((h >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from readloom.llm.substring_dedup import binary, by_q, joined, part_of, row_key, utf8_bytes
-from readloom.llm.util import _BYTE, BYTE_BASE, pack, partitions, ranges, rolling, small_side, steps, unpack, window_hash, written
+from readloom.llm.substring_dedup import binary, by_q, joined, part_of, utf8_bytes
+from readloom.llm.util import _BYTE, BYTE_BASE, pack, partitions, ranges, rolling, row_key, small_side, steps, unpack, window_hash, written
 
 LENGTH, SEED = 100, 32
 #: Bytes that the words of the shallow sort cover.

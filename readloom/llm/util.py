@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Parquet bytes up to which the small side of a join is broadcast; beyond, the join shuffles.
@@ -61,10 +61,9 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """As many partitions as the cluster has cores at least, for a table that comes in fewer."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n // 2 else df
+def row_key() -> Column:
+    """A hash of a document's id and text, by which tables of results find it again."""
+    return F.xxhash64("doc_id", "text").alias("_key")
 
 
 # ---------------------------------------------------------------- hashing on Arrow buffers
