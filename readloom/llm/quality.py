@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVE, un
     sample = F.broadcast(p.join(u, "doc_id", "full"))  # bounded by the two parameters
     found = text_features(docs.select("doc_id", "text").join(sample, "doc_id"), "_p", "_u").toPandas()
     x = np.stack(found["features"]) if len(found) else np.zeros((0, 1))
-    of_p, of_u = (found[c].fillna(False).to_numpy(bool) if len(found) else np.zeros(0, bool) for c in ("_p", "_u"))
+    of_p, of_u = (found[c].eq(True).to_numpy(bool) if len(found) else np.zeros(0, bool) for c in ("_p", "_u"))
     order = np.lexsort(x.T[::-1])  # so that the fit doesn't depend on the order of arrival
     x, of_p, of_u = x[order], of_p[order], of_u[order]
     return fit(x[of_p], x[of_u], 0.5 if share is None else share)

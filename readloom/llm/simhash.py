@@ -211,12 +211,12 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFram
 # ---------------------------------------------------------------- copies above a similarity of shingle sets
 
 #: Bits of the fingerprint that finds candidates, bits that candidates may differ in, and the share of pairs at SURE that some key must hold.
-WIDE, WIDE_RADIUS, SURE, SHARE = 128, 26, 0.85, 0.97
+WIDE, WIDE_RADIUS, SURE, SHARE = 128, 30, 0.8, 0.98
 
 
 def key_bits(n: int) -> tuple[int, int]:
-    """(bits a key, keys) for n fingerprints: buckets of a few unrelated prints, and as many keys as find a pair of similarity SURE with SHARE."""
-    bits = min(40, max(12, math.ceil(math.log2(max(2, n))) - 2))
+    """(bits a key, keys) for n fingerprints: buckets of some tens of unrelated prints (a word of lanes), and as many keys as find a pair of similarity SURE with SHARE."""
+    bits = min(40, max(8, math.ceil(math.log2(max(2, n))) - 6))
     differ = math.acos(2 * SURE / (1 + SURE)) / math.pi
     return bits, math.ceil(math.log(1 - SHARE) / math.log(1 - (1 - differ) ** bits))
 
