@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from readloom.operators import reads, seeds
+
+_ALL = reads.QUERIES | seeds.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
