@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 #: Fixed value: the word pattern of byte-level BPE vocabularies with this pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries in each of the two generations of a task's store of encoded words; a full store ages, which changes no result.
-STORE = 300_000
+STORE = 150_000
 #: Longest word that is stored, in characters.
 KEPT_CHARS = 48
 #: No rank.
 NONE = np.int32(2**31 - 1)
 #: Bytes of the words that are merged in one block.
 _WIDTHS = (0, 6, 10, 14, 20, 32, 64, 160)
+#: Signs that stand alone as a word behind letters.
+_STOPS = tuple(".,;:!?")
 #: Texts whose missing words are merged together, in characters.
-TOGETHER = 2_000_000
+TOGETHER = 3_000_000
 #: A blank before a sign that isn't white space always starts a new word of PATTERN.
 _CUT = re.compile(r" (?=\S)")
 
@@ -35,33 +37,22 @@ _CUT = re.compile(r" (?=\S)")
 class Store:
     """A bounded mapping in two generations: what is used again stays."""
 
-    def __init__(self, make):
-        self.make, self.young, self.old = make, {}, {}
-
-    def get(self, key: str):
-        got = self.young.get(key)
-        if got is None:
-            got = self.old.get(key)
-            if got is None:
-                got = self.make(key)
-            self.put(key, got)
-        return got
-
-    def lacking(self, keys: set[str]) -> list[str]:
-        return [k for k in keys if k not in self.young and k not in self.old]
-
-    def put(self, key: str, value) -> None:
-        if len(key) <= KEPT_CHARS:
-            if len(self.young) >= STORE:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
-
-    def all(self, keys: list[str]) -> list:
-        out = list(map(self.young.get, keys))
-        if None in out:
-            get = self.get
-            out = [get(k) if x is None else x for k, x in zip(keys, out, strict=True)]
-        return out
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def add(self, fresh: dict) -> None:
+        if len(self.young) + len(fresh) > STORE:
+            self.old, self.young = self.young, {}
+        self.young.update(fresh)
+
+    def known(self, keys: set[str]) -> dict:
+        """What the store has of keys; what is only in the older generation is young again."""
+        out = {k: self.young[k] for k in self.young.keys() & keys}
+        again = {k: self.old[k] for k in self.old.keys() & keys}
+        if again:
+            self.add(again)
+        return out | again
 
 
 def byte_letters() -> list[str]:
@@ -94,7 +85,7 @@ class ByteBpe:
         self.tokens = {i: token for token, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(PATTERN)
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.store = Store(self.merge)
+        self.store = Store()
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ids[to_bytes(a)] << 16 | self.ids[to_bytes(b)], rank, self.ids[to_bytes(a + b)]) for rank, (a, b) in enumerate(merges)]
         self.made_by = np.array([p[2] for p in pairs] or [0], np.int32)
@@ -109,8 +100,8 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
-    def merge_many(self, words: list[str]) -> list[tuple[int, ...]]:
-        """merge() of many words at once. Each row of a block is one word's contiguous arrays of parts and adjacent ranks; every round scans all
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """merge() of many words at once, as little-endian unsigned 32-bit ids. Each row of a block is one word's contiguous arrays of parts and adjacent ranks; every round scans all
         rows for their least rank, deletes that boundary by closing the gap, and finds the two ranks beside it anew."""
         out: list = [None] * len(words)
         data = [w.encode("utf-8") for w in words]
@@ -120,7 +111,7 @@ class ByteBpe:
             for at in range(0, len(some), 4096):
                 self._merge_block(data, some[at : at + 4096], sizes, width, out)
         for k in np.flatnonzero((sizes > _WIDTHS[-1]) | (sizes == 0)):
-            out[k] = self._scan_long(data[k])
+            out[k] = np.array(self._scan_long(data[k]), "<u4").tobytes()
         return out
 
     def _merge_block(self, data: list[bytes], some: np.ndarray, sizes: np.ndarray, width: int, out: list) -> None:
@@ -134,8 +125,10 @@ class ByteBpe:
             least = ranks[rows, i]
             done = least == NONE
             if done.any():
-                for k, ids, n in zip(some[done].tolist(), parts[done].tolist(), size[done].tolist(), strict=True):
-                    out[k] = tuple(ids[:n])
+                ids = parts[done].astype("<u4").tobytes()
+                for at, (k, n) in enumerate(zip(some[done].tolist(), size[done].tolist(), strict=True)):
+                    at *= 4 * width
+                    out[k] = ids[at : at + 4 * n]
                 some, parts, ranks, size, i, least = (x[~done] for x in (some, parts, ranks, size, i, least))
                 rows = rows[: len(some)]
                 if not len(some):
@@ -204,31 +197,34 @@ class ByteBpe:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        return list(chain.from_iterable(self.chunks.forms(text)))
+        return next(iter(self.encode_many([text]))).tolist()
 
-    @property
-    def chunks(self) -> "Chunks":
-        if not hasattr(self, "_chunks"):
-            self._chunks = Chunks(self, lambda ids: ids)
-        return self._chunks
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, uint32."""
+        for data in Chunks(self).batches(texts):
+            yield np.frombuffer(data, "<u4")
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
 class Chunks:
-    """Encodes texts chunk by chunk, a chunk being what stands between the blanks that start a word; keeps form(ids) of each chunk."""
-
-    def __init__(self, bpe: ByteBpe, form):
-        self.bpe, self.form = bpe, form
-        self.inner = Store(lambda chunk: self.made(" " + chunk))
-
-    def made(self, chunk: str):
-        words = self.bpe.words.findall(chunk)
-        return self.form(tuple(chain.from_iterable(self.bpe.store.all(words))))
-
-    def batches(self, texts: Iterable[str | None]) -> Iterator[list]:
-        """forms() of each text; the words that the store lacks are merged many at once. A null text has none."""
+    """Encodes texts chunk by chunk, a chunk being what stands between the blanks that start a word; keeps the bytes of each chunk's ids."""
+
+    def __init__(self, bpe: ByteBpe):
+        self.bpe = bpe
+        self.store = Store()
+
+    def words(self, chunk: str) -> list[str]:
+        """The words of a blank and a chunk; the commonest kinds need no pattern."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.bpe.words.findall(" " + chunk)
+
+    def batches(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit; the words that the stores lack are merged many at once. A null text has none."""
         held: list[str | None] = []
         size = 0
         for text in texts:
@@ -239,46 +235,41 @@ class Chunks:
                 held, size = [], 0
         yield from self._batch(held)
 
-    def parsed(self, text: str) -> list[int | list[str]]:
-        """The special ids and the stretches between them, each cut into chunks."""
-        return [x if isinstance(x, int) else _CUT.split(x) for x in self.bpe.pieces(text) if x != ""]
-
-    def _batch(self, texts: list[str | None]) -> Iterator[list]:
-        parsed = [self.parsed(text) if text else [] for text in texts]
+    def _batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        parsed = [[x if isinstance(x, int) else _CUT.split(x) for x in self.bpe.pieces(text) if x != ""] if text else [] for text in texts]
         chunks: set[str] = set()
+        words: set[str] = set()
+        heads: dict[str, list[str]] = {}  # chunks with no blank before them
         for parts in parsed:
             for part in parts:
                 if not isinstance(part, int):
                     chunks.update(part[1:])
-        lacking = self.inner.lacking(chunks)
-        find, store = self.bpe.words.findall, self.bpe.store
-        split = [find(" " + c) for c in lacking]
-        words = set(chain.from_iterable(split))
-        fresh = store.lacking(words)
-        fresh = dict(zip(fresh, self.bpe.merge_many(fresh), strict=True))
-        known = {w: store.get(w) for w in words.difference(fresh)} | fresh
-        for word, ids in fresh.items():
-            store.put(word, ids)
-        get, put, form = known.__getitem__, self.inner.put, self.form
-        for chunk, own in zip(lacking, split, strict=True):
-            put(chunk, form(known[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(get, own)))))
+                    if part[0] and part[0] not in heads:
+                        words.update(heads.setdefault(part[0], self.bpe.words.findall(part[0])))
+        made = self.store.known(chunks)
+        lacking = list(chunks.difference(made))
+        own = list(map(self.words, lacking))
+        words.update(chain.from_iterable(own))
+        ids = self.bpe.store.known(words)
+        lost = [w for w in words if w not in ids]
+        fresh = dict(zip(lost, self.bpe.merge_many(lost), strict=True))
+        self.bpe.store.add({w: x for w, x in fresh.items() if len(w) <= KEPT_CHARS})
+        ids |= fresh
+        get = ids.__getitem__
+        fresh = dict(zip(lacking, [b"".join(map(get, w)) for w in own], strict=True))
+        made.update(fresh)
+        self.store.add({c: x for c, x in fresh.items() if len(c) <= KEPT_CHARS and "\n" not in c})
+        get = made.__getitem__
         for parts in parsed:
-            yield self._forms(parts)
-
-    def _forms(self, parts: list[int | list[str]]) -> list:
-        out: list = []
-        for part in parts:
-            if isinstance(part, int):
-                out.append(self.form((part,)))
-            else:
-                if part[0]:
-                    out.append(self.made(part[0]))
-                out += self.inner.all(part[1:])
-        return out
-
-    def forms(self, text: str) -> list:
-        """The forms of all chunks of a text in order."""
-        return self._forms(self.parsed(text))
+            out: list[bytes] = []
+            for part in parts:
+                if isinstance(part, int):
+                    out.append(part.to_bytes(4, "little"))
+                else:
+                    if part[0]:
+                        out.append(b"".join([ids[w] for w in heads[part[0]]]))
+                    out += map(get, part[1:])
+            yield b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -294,7 +285,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = loaded(vocabulary)
         for batch in texts:
-            yield pd.Series([list(chain.from_iterable(forms)) for forms in bpe.chunks.batches(batch)])
+            yield pd.Series([ids.astype(np.int32) for ids in bpe.encode_many(batch)])
 
     return kept.withColumn(ids, F.pandas_udf(encode, "array<int>")(kept[text]))
 
@@ -320,14 +311,14 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(vocabulary)
-        decimals = {i: str(i) for i in bpe.tokens}.__getitem__
-        chunks = Chunks(bpe, lambda ids: (",".join(map(decimals, ids)), ids))
+        decimals = [str(i) for i in range(max(bpe.tokens) + 1)].__getitem__
+        chunks = Chunks(bpe)
         for batch in batches:
             rows = []
-            for forms in chunks.batches(batch["text"]):
-                said, ids = zip(*forms, strict=True) if forms else ((), ())
-                flat = list(chain.from_iterable(ids))
-                rows.append((len(flat), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(bpe.decode(flat)).hexdigest()))
+            for data in chunks.batches(batch["text"]):
+                ids = np.frombuffer(data, "<u4").tolist()
+                said = ",".join(map(decimals, ids))
+                rows.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out

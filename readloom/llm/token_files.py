@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.bpe import Store
+from readloom.llm.bpe import KEPT_CHARS, Store
 from readloom.llm.util import mixed, partitions, scratch_dir, small_side, written
 
 #: A shard is closed once it has so many ids or documents; one longer document is a shard of its own.
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 15
 #: Documents per bucket of the hash, on average.
 BUCKET = 4
+#: Documents whose new words are encoded together.
+TOGETHER = 1000
 SCHEMA = "part int, seq int, n_docs long, n_ids long, payload binary, keys binary, valid binary, turns binary, seeds binary, slots binary"
 _SLOT = np.dtype([("print", "<u4"), ("first", "<u4"), ("count", "<u4")])
 
@@ -86,22 +89,36 @@ def find(h: np.ndarray, seeds: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return np.where(slots["print"][at] == fingerprints(h), at, -1)
 
 
-@lru_cache(maxsize=2)
-def _library(path: str):
-    from tokenizers import Tokenizer
+class Words:
+    """Encodes texts word by word with the tokenizers library, for a vocabulary that drops white space, and keeps the bytes of words seen."""
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return Store(lambda word: np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.store = Store()
 
-_BLANKS = str.maketrans("\n\t\r", "   ")
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit; none for a null. What stands between blanks is encoded alone."""
+        split = [text.translate(_BLANKS).split(" ") if text else [] for text in texts]
+        words = set(chain.from_iterable(split))
+        ids = self.store.known(words)
+        lost = list(words.difference(ids))
+        found = (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(lost, add_special_tokens=False))
+        fresh = dict(zip(lost, found, strict=True))
+        self.store.add({w: x for w, x in fresh.items() if len(w) <= KEPT_CHARS})
+        ids.update(fresh)
+        return [b"".join(map(ids.__getitem__, parts)) for parts in split]
 
 
-def encode_bytes(text: str, store: Store) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit. The vocabulary drops white space, so what stands between blanks is encoded alone."""
-    return b"".join(store.all(text.translate(_BLANKS).split(" "))) if text else b""
+@lru_cache(maxsize=2)
+def _library(path: str) -> Words:
+    return Words(path)
+
+
+_BLANKS = str.maketrans("\n\t\r", "   ")
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
@@ -109,17 +126,17 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> No
     their text's hash. Every document ends with end_id; a null or empty text has that one id. An empty table gives no shard."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, part, seq = _library(vocabulary), TaskContext.get().partitionId(), 0
+        words, part, seq = _library(vocabulary), TaskContext.get().partitionId(), 0
         last, turn = object(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []
         rows: list[tuple[int, int, int]] = []
         held = 0
-        for batch in batches:
-            for key, null, text in zip(batch["_key"], batch["_null"], batch["text"], strict=True):
+        for batch in (x.iloc[at : at + TOGETHER] for x in batches for at in range(0, len(x), TOGETHER)):
+            for key, null, data in zip(batch["_key"], batch["_null"], words.encode(list(batch["text"])), strict=True):
                 turn = turn + 1 if last == (key, null) else 0
                 last = (key, null)
-                ids.append(encode_bytes(text, store) + end)
+                ids.append(data + end)
                 rows.append((key, not null, turn))
                 held += len(ids[-1]) // 4
                 if held >= SHARD_IDS or len(rows) >= SHARD_DOCS:
