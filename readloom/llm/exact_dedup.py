@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.util import small_side, written
+from readloom.llm.util import small_side, with_row, written
 
 #: Characters that the second refinement hashes.
 PREFIX = 64
@@ -63,14 +63,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Rows that repeat both doc_id and text come out once."""
     _, groups = refined(docs)
     norm = normalised(F.col("text"))
-    coarse = docs.select("*", *_coarse(norm))
+    coarse = with_row(docs, norm.alias("_norm"), F.col("doc_id")).select("_row", "_norm", "doc_id", *_coarse(F.col("_norm")))
     shared = written(groups.select("_len", "_prefix").distinct().withColumn("_alive", F.lit(True)))
-    keyed = coarse.join(small_side(shared), ["_len", "_prefix"], "left").withColumn("_sha", F.when(F.col("_alive"), F.unhex(F.sha2(norm, 256))))
+    keyed = coarse.join(small_side(shared), ["_len", "_prefix"], "left").withColumn("_sha", F.when(F.col("_alive"), F.unhex(F.sha2("_norm", 256)))).drop("_norm")
     found = keyed.join(small_side(groups), ["_len", "_prefix", "_sha"], "left")
     stays = found.where(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
     if not groups.where("_tied > 1").isEmpty():
         stays = stays.where("_tied is null or _tied = 1").unionByName(stays.where("_tied > 1").dropDuplicates(["_len", "_prefix", "_sha"]))
-    return stays.select(*docs.columns)
+    return stays.select("_row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for k, signs in enumerate(_CLASSES, 1):
         kind[list(signs)] = k
     doc = np.repeat(np.arange(n), np.diff(offsets))
-    shares = np.bincount(doc * (len(_CLASSES) + 1) + kind[data], minlength=n * (len(_CLASSES) + 1)).reshape(n, -1) * per_byte[:, None]
+    shares = np.bincount(doc * (len(_CLASSES) + 1) + kind[data], minlength=n * (len(_CLASSES) + 1)).reshape(n, len(_CLASSES) + 1) * per_byte[:, None]
     out += list(np.sqrt(shares).T)
     length = (ends - starts).astype(float)
     mean = _per_row(length, rows) * per_word

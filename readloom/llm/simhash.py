@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.components import components
-from readloom.llm.util import _SPACE, mixed, partitions, row_key, small_side, steps, word_spans, written
+from readloom.llm.util import _SPACE, mixed, partitions, row_key, small_side, steps, with_row, word_spans, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -79,6 +79,8 @@ def close_lanes(prints: np.ndarray, groups: np.ndarray, radius: int, pairs: int
     prints: uint64, one row of words per print. planes[b] holds bit b of all prints, 64 to a word. A row is held against each word that its group
     reaches: carry-save counters count the differing bits of all 64 lanes at once, lanes over radius are marked, and words with no lane left are
     abandoned."""
+    if not len(prints):
+        return
     prints = prints.reshape(len(prints), -1)
     n, width = len(prints), 64 * prints.shape[1]
     words = -(-n // 64)
@@ -100,7 +102,7 @@ def close_lanes(prints: np.ndarray, groups: np.ndarray, radius: int, pairs: int
         low = np.clip(begin[row] - word * 64, 0, 63).astype(np.uint64)
         high = np.clip(row - word * 64, 0, 64)
         live = (_ONES << low) & np.where(high == 64, _ONES, (np.uint64(1) << (np.minimum(high, 63)).astype(np.uint64)) - np.uint64(1))
-        counters = [np.zeros(len(row), np.uint64) for _ in range(radius.bit_length())]
+        counters = [np.zeros(len(row), np.uint64) for _ in range(max(1, radius.bit_length()))]
         for b in range(width):
             carry = planes[b][word] ^ (np.uint64(0) - ((prints[row, b // 64] >> np.uint64(b % 64)) & np.uint64(1)))
             for k, plane in enumerate(counters):
@@ -302,7 +304,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs but near copies of a row that stays; all columns pass through. Rows that repeat doc_id and text stay or go together."""
     gone = written(near_copies(docs, width, similarity).where("not kept").select("_key"))
-    return docs.withColumn("_key", row_key()).join(small_side(gone), "_key", "left_anti").select(*docs.columns)
+    return with_row(docs, row_key()).join(small_side(gone), "_key", "left_anti").select("_row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

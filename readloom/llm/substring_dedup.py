@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from readloom.llm.simhash import whole_groups
-from readloom.llm.util import WORD_BASE, mixed, pack, partitions, ranges, rolling, row_key, small_side, steps, unpack, window_hash, word_hashes, word_spans, written
+from readloom.llm.util import WORD_BASE, mixed, pack, partitions, ranges, rolling, row_key, small_side, steps, unpack, window_hash, with_row, word_hashes, word_spans, written
 
 WINDOW, BLOCK = 35, 18
 _SECOND = 0xB5297A4D3F84D5B5
@@ -205,14 +205,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     docs = docs.drop("n_words", "n_removed", "kept")
     names = docs.columns
     runs = repeated_runs(docs, window, block)
-    told = docs.withColumn("_key", row_key()).join(small_side(runs, 6 << 20), "_key", "left").drop("_key")
+    told = with_row(docs, row_key()).join(small_side(runs, 6 << 20), "_key", "left").select("_row", "starts", "counts")
+    at_text, width = names.index("text"), len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in steps(batch, "text"):
+            batch = pa.RecordBatch.from_arrays([*batch.column(0).flatten(), batch.column(1), batch.column(2)], [str(i) for i in range(width + 2)])
+            for part, data, offsets in steps(batch, at_text):
                 starts, ends, rows = word_spans(data, offsets)
-                lists = part.column("starts").fill_null([]) if part.column("starts").null_count else part.column("starts")
-                sizes = part.column("counts").fill_null([]) if part.column("counts").null_count else part.column("counts")
+                lists, sizes = (x.fill_null([]) if x.null_count else x for x in (part.column(width), part.column(width + 1)))
                 of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 first = rows[:-1][of] + lists.flatten().to_numpy()
                 edge = np.zeros(len(starts) + 1, np.int64)
@@ -231,7 +232,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
                 text = np.where(inside, data, np.uint8(0x20))[take].tobytes()
                 at = np.concatenate(([0], np.cumsum(take)))[offsets].tolist()
                 kept = [text[a:b].rstrip(b" ") for a, b in zip(at[:-1], at[1:], strict=True)]
-                rest = [part.column(c) for c in names]
+                rest = part.columns[:width]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(rows)), pa.array(removed), pa.array([x.decode() for x in kept], pa.string())], [*names, "n_words", "n_removed", "kept"])
 
     return told.mapInArrow(cut, StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]))

@@ -14,11 +14,21 @@ from pyspark.sql import functions as F
 #: Parquet bytes up to which the small side of a join is broadcast; beyond, the join shuffles.
 BROADCAST_BYTES = 16 << 20
 #: Text bytes that one vectorised step takes at once (a longer text is a step of its own).
-STEP_BYTES = 3 << 20
+STEP_BYTES = 2 << 20
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, unless they are shorter already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared one the cluster names in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    short_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = tempfile.mkdtemp(prefix="readloom-")
@@ -57,6 +67,11 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if written_bytes(df) <= limit else df
 
 
+def with_row(docs: DataFrame, *more: Column) -> DataFrame:
+    """_row (all columns of docs) beside more, so that no name of docs meets one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -123,7 +138,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def steps(batch: pa.RecordBatch, column: str, size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def steps(batch: pa.RecordBatch, column: str | int, size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batch of about size text bytes, with the bytes and the rows' offsets."""
     data, offsets = utf8(batch.column(column))
     at = 0
