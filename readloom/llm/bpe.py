@@ -16,10 +16,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.llm.util import give_back, short_batches
+
 #: Fixed value: the word pattern of byte-level BPE vocabularies with this pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries in each of the two generations of a task's store of encoded words; a full store ages, which changes no result.
-STORE = 150_000
+STORE = 100_000
 #: Longest word that is stored, in characters.
 KEPT_CHARS = 48
 #: No rank.
@@ -29,7 +31,7 @@ _WIDTHS = (0, 6, 10, 14, 20, 32, 64, 160)
 #: Signs that stand alone as a word behind letters.
 _STOPS = tuple(".,;:!?")
 #: Texts whose missing words are merged together, in characters.
-TOGETHER = 3_000_000
+TOGETHER = 2_000_000
 #: A blank before a sign that isn't white space always starts a new word of PATTERN.
 _CUT = re.compile(r" (?=\S)")
 
@@ -85,7 +87,6 @@ class ByteBpe:
         self.tokens = {i: token for token, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(PATTERN)
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.store = Store()
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ids[to_bytes(a)] << 16 | self.ids[to_bytes(b)], rank, self.ids[to_bytes(a + b)]) for rank, (a, b) in enumerate(merges)]
         self.made_by = np.array([p[2] for p in pairs] or [0], np.int32)
@@ -213,7 +214,7 @@ class Chunks:
 
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
-        self.store = Store()
+        self.store, self.word_store = Store(), Store()
 
     def words(self, chunk: str) -> list[str]:
         """The words of a blank and a chunk; the commonest kinds need no pattern."""
@@ -250,10 +251,10 @@ class Chunks:
         lacking = list(chunks.difference(made))
         own = list(map(self.words, lacking))
         words.update(chain.from_iterable(own))
-        ids = self.bpe.store.known(words)
+        ids = self.word_store.known(words)
         lost = [w for w in words if w not in ids]
         fresh = dict(zip(lost, self.bpe.merge_many(lost), strict=True))
-        self.bpe.store.add({w: x for w, x in fresh.items() if len(w) <= KEPT_CHARS})
+        self.word_store.add({w: x for w, x in fresh.items() if len(w) <= KEPT_CHARS})
         ids |= fresh
         get = ids.__getitem__
         fresh = dict(zip(lacking, [b"".join(map(get, w)) for w in own], strict=True))
@@ -322,7 +323,10 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
+        del chunks
+        give_back()
 
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

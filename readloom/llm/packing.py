@@ -6,7 +6,6 @@ driver (at most `capacity` lengths, a few runs each), and every item finds its p
 
 from __future__ import annotations
 
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from readloom.llm.bpe import Chunks, loaded
-from readloom.llm.util import small_side, written
+from readloom.llm.util import give_back, short_batches, small_side, written
 
 CAPACITY = 1024
 _FAR = 1 << 50
@@ -148,12 +147,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     the first may be shorter. A null or empty text is one piece with end_id; rows that repeat a doc_id have pieces each."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = Chunks(loaded(vocabulary), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        chunks = Chunks(loaded(vocabulary))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, of = [], []
-            for k, forms in enumerate(chunks.batches(batch["text"])):
-                data = b"".join(forms) + end
+            for k, data in enumerate(chunks.batches(batch["text"])):
+                data += end
                 n = len(data) // 4
                 length = (n - 1) % capacity + 1
                 start = piece = 0
@@ -164,7 +163,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
             out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
             out.insert(0, "doc_id", batch["doc_id"].array.take(of))
             yield out
+        del chunks
+        give_back()
 
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
