@@ -20,16 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from readloom.llm.substring_dedup import binary, by_q, joined, part_of, utf8_bytes
-from readloom.llm.util import _BYTE, BYTE_BASE, pack, partitions, ranges, rolling, row_key, small_side, steps, unpack, window_hash, written
+from readloom.llm.util import _BYTE, BYTE_BASE, mixed, pack, partitions, powers, ranges, rolling, row_key, small_side, steps, unpack, window_hash, with_row, written
 
 LENGTH, SEED = 100, 32
 #: Bytes that the words of the shallow sort cover.
 SHALLOW = 16
-_STEP = 3 << 19
+_STEP = 1 << 20
+#: Bytes of contexts that are judged at once, groups of one anchor staying whole.
+_JUDGED = 2 << 20
 _TOP = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
 _COUNTS = "q int, chunk long, single binary, keys binary, place binary, multi binary"
-_CONTEXTS = "q int, chunk long, blob binary, rel binary, wins binary, doc binary, keys binary, lo binary"
+_CONTEXTS = "q int, blob binary, rel binary, wins binary, doc binary, keys binary, lo binary, gone_keys binary, gone_lo binary, gone_wins binary"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -39,9 +41,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
     if not per_row.any():
         return none, none, none, none, none.astype(np.uint64)
     prefix = rolling(_BYTE[data], BYTE_BASE)
-    h = np.arange(len(data) - seed + 1)
-    h = window_hash(prefix, h, h + seed, BYTE_BASE)
-    least = (h & _TOP) | np.arange(len(h), dtype=np.uint64)
+    h = prefix[seed:] - prefix[:-seed]
+    h *= powers(BYTE_BASE, len(prefix))[1][: len(h)]
+    del prefix
+    h = mixed(h)
+    least = h & _TOP
+    least |= np.arange(len(h), dtype=np.uint64)
     width, have = length - seed + 1, 1
     while 2 * have <= width:
         least, have = np.minimum(least[:-have], least[have:]), 2 * have
@@ -51,7 +56,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
     at = (least[start] & _LOW).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))))
     row = np.repeat(np.arange(len(per_row)), per_row)[new]
-    return row, at[new], start[new], np.diff(np.append(new, len(start))), h[at[new]]
+    return row, at[new], start[new], np.diff(np.append(new, len(start))), mixed(h[at[new]])  # anchors have small hashes; these are spread
+
+
+def twins(same: np.ndarray, key: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Which rows are at the same place as the first of their class: the same row of documents, come twice. same: not a class's first."""
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return same & (key == key[first]) & (lo == lo[first])
 
 
 def _chunk(keys: np.ndarray) -> int:
@@ -174,7 +185,10 @@ def sort_suffixes(group: np.ndarray, text: np.ndarray, start: np.ndarray, size:
     """(order, lcp): text[start : start + size] (size <= depth) in order within each group, and the common prefix of each with the one before
     (-1 where a group begins). Words of 8 bytes sort to SHALLOW, blind tries order what is still equal."""
     cols = np.arange(depth)
-    signs = np.where(cols < size[:, None], text[np.minimum(start[:, None] + cols, len(text) - 1)], np.uint8(0))
+    signs = np.zeros((len(start), depth), np.uint8)
+    for at in range(0, len(start), 4096):
+        some = slice(at, at + 4096)
+        signs[some] = np.where(cols < size[some, None], text[np.minimum(start[some, None] + cols, len(text) - 1)], np.uint8(0))
     words = np.ascontiguousarray(signs[:, :SHALLOW]).view(">u8").astype(np.uint64)
     short = np.minimum(size, SHALLOW)
     order = np.lexsort((short, *words.T[::-1], group))
@@ -209,7 +223,7 @@ def later_windows(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, doc: np.n
     order = np.lexsort((rank, rel, size, whole, anchor))
     cols = [x[order] for x in (rel, size, whole, anchor)]
     new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in cols], axis=0)))
-    copies = order[~new]
+    copies = order[~new & ~twins(~new, key[order], lo[order])]
     key_out, lo_out, n_out = [key[copies]], [lo[copies]], [wins[copies]]
     firsts = order[new]
     _, group, members = np.unique(anchor[firsts], return_inverse=True, return_counts=True)
@@ -220,7 +234,7 @@ def later_windows(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, doc: np.n
         begin = off[c] + rel[c] + seed
         by, lcp = sort_suffixes(group, blob, begin, np.minimum(off[c] + size[c] - begin, deep), deep)
         c = c[by]
-        later: list[tuple[np.ndarray, np.ndarray]] = []
+        later = np.zeros((len(c), deep + 3), np.int8)  # a column for each window of a context, and one on either side
         for before in range(deep + 1):
             at = rel[c] - before  # the window's place in its context
             live = np.flatnonzero((at >= 0) & (at < wins[c]))
@@ -231,18 +245,45 @@ def later_windows(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, doc: np.n
             left = window_hash(prefix, off[mine] + at[live], off[mine] + rel[mine], BYTE_BASE)
             sort = np.lexsort((rank[mine], left, run))
             again = np.concatenate(([False], (run[sort][1:] == run[sort][:-1]) & (left[sort][1:] == left[sort][:-1])))
-            later.append((mine[sort][again], at[live][sort][again]))
-        if later:
-            which, at = (np.concatenate(x) for x in zip(*later, strict=True))
-            sort = np.lexsort((at, which))
-            which, at = which[sort], at[sort]
-            new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)))) if len(which) else np.zeros(0, np.int64)
-            key_out.append(key[which[new]])
-            lo_out.append(lo[which[new]] + at[new])
-            n_out.append(np.diff(np.append(new, len(which))))
+            again = live[sort[again]]
+            later[again, at[again] + 1] = 1
+        edge = np.diff(later, axis=1)
+        which, begin = np.nonzero(edge == 1)
+        key_out.append(key[c[which]])
+        lo_out.append(lo[c[which]] + begin)
+        n_out.append(np.nonzero(edge == -1)[1] - begin)
     return tuple(np.concatenate(x) for x in (key_out, lo_out, n_out))  # type: ignore[return-value]
 
 
+def anchored(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, length: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts in parts of about _JUDGED bytes, those of one anchor together: their indices and their bytes."""
+    size = wins + length - 1
+    off = np.cumsum(size) - size
+    anchor = np.zeros(len(rel), np.uint64)
+    at = 0
+    while at < len(rel):
+        end = max(at + 1, int(np.searchsorted(off, off[at] + _JUDGED)))
+        base = off[at]
+        prefix = rolling(_BYTE[blob[base : off[end - 1] + size[end - 1]]], BYTE_BASE)
+        start = off[at:end] + rel[at:end] - base
+        anchor[at:end] = window_hash(prefix, start, start + seed, BYTE_BASE)
+        at = end
+    order = np.argsort(anchor, kind="stable")
+    upto = np.cumsum(size[order])
+    new = np.flatnonzero(np.concatenate(([True], anchor[order][1:] != anchor[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(order):
+        before = upto[at - 1] if at else 0
+        end = int(np.searchsorted(upto, before + _JUDGED)) + 1
+        later = new[(new > at) & (new <= end)]
+        end = int(later[-1]) if len(later) else int(next(iter(new[new > at]), len(order)))
+        if upto[-1] - before <= _JUDGED:
+            end = len(order)
+        k = order[at:end]
+        yield k, blob[ranges(off[k], size[k])]
+        at = end
+
+
 def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """_key, starts, counts: the runs of windows of each document (docs: doc_id, _key, text) that also start earlier. Written."""
     n = partitions(docs.sparkSession)
@@ -261,24 +302,36 @@ def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataF
                 if not len(row):
                     continue
                 keys, ids = part.column("_key").to_numpy(), part.column("doc_id").to_numpy()
-                q = part_of(h, wide)
-                order = np.lexsort((h, q))
-                cuts = np.searchsorted(q[order], np.arange(wide + 1))
-                chunk, made = _chunk(keys), []
+                # of equal contexts only the first leaves this slice; the windows of the others are known to be repeats
+                prefix = rolling(_BYTE[data], BYTE_BASE)
+                whole = window_hash(prefix, first, first + wins + length - 1, BYTE_BASE)
+                order = np.lexsort((first, keys[row], ids[row], at - first, wins, whole, h))
+                same = np.concatenate(([False], np.all([x[order][1:] == x[order][:-1] for x in (at - first, wins, whole, h)], axis=0)))
+                later = same & ~twins(same, keys[row[order]], first[order] - offsets[row[order]])
+                gone, order = order[later], order[~same]
+                q = part_of(h[order], wide)
+                order = order[np.argsort(q, kind="stable")]
+                cuts = np.searchsorted(np.sort(q), np.arange(wide + 1))
+                lo = (first - offsets[row]).astype("<u4")
+                packed = keys[row[gone]].tobytes(), lo[gone].tobytes(), wins[gone].astype("<u4").tobytes()
+                made = [(int(abs(_chunk(keys)) % wide), *[b""] * 6, *packed)] if len(gone) else []
                 for p in np.flatnonzero(np.diff(cuts)):
                     k = order[cuts[p] : cuts[p + 1]]
                     blob = data[ranges(first[k], wins[k] + length - 1)].tobytes()
-                    made.append((p, chunk, squeeze(blob), (at - first)[k].astype(np.uint8).tobytes(), wins[k].astype(np.uint8).tobytes(), ids[row[k]].tobytes(), keys[row[k]].tobytes(), (first - offsets[row])[k].astype("<u4").tobytes()))
+                    made.append((p, squeeze(blob), (at - first)[k].astype(np.uint8).tobytes(), wins[k].astype(np.uint8).tobytes(), ids[row[k]].tobytes(), keys[row[k]].tobytes(), lo[k].tobytes(), b"", b"", b""))
                 cols = list(zip(*made, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *map(binary, cols[2:])], [x.split()[0] for x in _CONTEXTS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, cols[1:])], [x.split()[0] for x in _CONTEXTS.split(", ")])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in by_q(batches):
-            blob = np.frombuffer(b"".join(expand(x.as_py()) for x in batch.column("blob")), np.uint8)
+            blob = np.frombuffer(b"".join(expand(x.as_py()) for x in batch.column("blob") if len(x.as_py())), np.uint8)
             rel, wins = (joined(batch.column(c), np.uint8).astype(np.int64) for c in ("rel", "wins"))
-            doc, key = (joined(batch.column(c), "<i8") for c in ("doc", "keys"))
-            key, lo, count = later_windows(blob, rel, wins, doc, key, joined(batch.column("lo"), "<u4").astype(np.int64), length, seed)
+            doc, keys, lo = joined(batch.column("doc"), "<i8"), joined(batch.column("keys"), "<i8"), joined(batch.column("lo"), "<u4").astype(np.int64)
+            found = [(joined(batch.column("gone_keys"), "<i8"), joined(batch.column("gone_lo"), "<u4").astype(np.int64), joined(batch.column("gone_wins"), "<u4").astype(np.int64))]
+            for k, part in anchored(blob, rel, wins, length, seed):
+                found.append(later_windows(part, rel[k], wins[k], doc[k], keys[k], lo[k], length, seed))
+            key, lo, count = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(key):  # dealt by document
                 to = part_of(key.view(np.uint64), n)
                 order = np.argsort(to, kind="stable")
@@ -301,12 +354,14 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SE
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     names = docs.columns
     runs = later_runs(docs.select("doc_id", row_key(), "text").where("text is not null"), length, seed)
-    told = docs.withColumn("_key", row_key()).join(small_side(runs, 6 << 20), "_key", "left").drop("_key")
+    told = with_row(docs, row_key()).join(small_side(runs, 6 << 20), "_key", "left").select("_row", "starts", "counts")
+    at_text, width = names.index("text"), len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in steps(batch, "text"):
-                lists, sizes = (part.column(c).fill_null([]) if part.column(c).null_count else part.column(c) for c in ("starts", "counts"))
+            batch = pa.RecordBatch.from_arrays([*batch.column(0).flatten(), batch.column(1), batch.column(2)], [str(i) for i in range(width + 2)])
+            for part, data, offsets in steps(batch, at_text):
+                lists, sizes = (x.fill_null([]) if x.null_count else x for x in (part.column(width), part.column(width + 1)))
                 first = np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
                 edge = np.zeros(len(data) + 1, np.int32)
                 np.add.at(edge, first, 1)
@@ -317,7 +372,7 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SE
                 sums = [np.diff(np.concatenate(([0], np.cumsum(x)))[offsets]) for x in (gone, gone & ~before)]
                 rest, at = data[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))[offsets].tolist()
                 kept = [rest[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(offsets)), *map(pa.array, sums), binary(kept)], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(np.diff(offsets)), *map(pa.array, sums), binary(kept)], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     fields = [*docs.schema.fields, *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())]
     return told.mapInArrow(cut, StructType(fields))
