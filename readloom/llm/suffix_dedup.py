@@ -354,7 +354,7 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SE
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     names = docs.columns
     runs = later_runs(docs.select("doc_id", row_key(), "text").where("text is not null"), length, seed)
-    told = with_row(docs, row_key()).join(small_side(runs, 6 << 20), "_key", "left").select("_row", "starts", "counts")
+    told = with_row(docs, row_key()).join(runs, "_key", "left").select("_row", "starts", "counts")
     at_text, width = names.index("text"), len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
