@@ -212,75 +212,131 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFram
 
 # ---------------------------------------------------------------- copies above a similarity of shingle sets
 
-#: Bits of the fingerprint that finds candidates, bits that candidates may differ in, and the share of pairs at SURE that some key must hold.
-WIDE, WIDE_RADIUS, SURE, SHARE = 128, 30, 0.8, 0.98
-
-
-def key_bits(n: int) -> tuple[int, int]:
-    """(bits a key, keys) for n fingerprints: buckets of some tens of unrelated prints (a word of lanes), and as many keys as find a pair of similarity SURE with SHARE."""
-    bits = min(40, max(8, math.ceil(math.log2(max(2, n))) - 6))
-    differ = math.acos(2 * SURE / (1 + SURE)) / math.pi
-    return bits, math.ceil(math.log(1 - SHARE) / math.log(1 - (1 - differ) ** bits))
+#: Bits of the fingerprint that is compared before the sets, and the bits in which sets of similarity 0.8 differ at most: 19 of 128 are usual, 49 or
+#: more have a chance below 1 in 100,000 even for the smallest sets.
+WIDE, WIDE_RADIUS = 128, 48
+#: Texts whose shingles are counted at most for a small table, count from which a shingle is common, common shingles at most.
+COUNTED, COMMON, MOST_COMMON = 20_000, 2, 2_000_000
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_hashes() without repeats, sorted in each row."""
+    h, cuts = shingle_hashes(data, offsets, width)
+    row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    fresh = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+    return h[fresh], np.searchsorted(row[fresh], np.arange(len(cuts)))
+
+
+def prefixes(h: np.ndarray, cuts: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows): of each row's set the first shingles in one order of all shingles, so many that two sets of the similarity share one of them.
+
+    The order is by count among the common ones (sorted), which come last, then by hash; any order is right, this one keeps buckets small."""
+    n = np.diff(cuts)
+    row = np.repeat(np.arange(len(n)), n)
+    level = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        level = np.where(common[at] == h, counts[at], 0)
+    order = np.lexsort((h, level, row))
+    # sets of the similarity share ceil(similarity * n) at least, more than are left after these
+    take = np.where(n == 0, 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
+    first = order[np.arange(len(h)) - cuts[:-1][row] < take[row]]
+    return h[first], row[first]
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """_key, keep_id, kept for each distinct (doc_id, text) that has a near copy: words in shingles of width, sets with a Jaccard similarity of at
     least similarity; of each component the smallest doc_id stays (null last).
 
-    Candidates share a key of sampled fingerprint bits and differ in at most WIDE_RADIUS of WIDE bits, compared bit-sliced; from each bucket a print
-    is linked to its nearest and to the first within reach, not to all. Each link is then verified on the whole sets, so nothing below similarity is
-    joined. Texts without words have no copies. _key is row_key() of the row.
+    Equal sets are one node. Sets meet in a bucket for each shingle of their prefix, which no pair of the similarity escapes, and their fingerprints are
+    compared there bit-sliced. First, a set is held against its nearest and the first within reach in each bucket; then all pairs within reach are,
+    but those that verified links have joined already. Each link is verified on the whole sets, so nothing below similarity is joined. Texts without
+    words have no copies. _key is row_key() of the row.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    def identity(h: np.ndarray, cuts: np.ndarray, some: np.ndarray) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(h[cuts[i] : cuts[i + 1]].tobytes()) for i in some.tolist()], np.uint64).view(np.int64)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in steps(batch, "text"):
-                h, cuts = shingle_hashes(data, offsets, width)
+                h, cuts = shingle_sets(data, offsets, width)
                 some = np.flatnonzero(np.diff(cuts))
-                prints = np.stack([fingerprint(x, cuts) for x in (h, mixed(h + np.uint64(WIDE)))], 1)[some].view(np.int64)
                 take = pa.array(some)
-                yield pa.RecordBatch.from_arrays([part.column("_key").take(take), part.column("doc_id").take(take), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["_key", "doc_id", "p0", "p1"])
+                yield pa.RecordBatch.from_arrays([part.column("_key").take(take), part.column("doc_id").take(take), pa.array(identity(h, cuts, some))], ["_key", "doc_id", "node"])
 
-    prints = written(rows.mapInArrow(of, "_key long, doc_id long, p0 long, p1 long"))
-    classes = written(prints.groupBy("p0", "p1").agg(F.min("_key").alias("first")))
-    bits, keys = key_bits(classes.count())
-    rng = np.random.default_rng(3)
-    chosen = [np.sort(rng.choice(WIDE, bits, replace=False)) for _ in range(keys)]
-    masks = np.array([[sum(1 << int(b % 64) for b in c if b // 64 == w) for w in (0, 1)] for c in chosen], np.uint64).view(np.int64)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.col("p0").bitwiseAND(F.lit(int(a))), F.col("p1").bitwiseAND(F.lit(int(b)))).alias("key")) for k, (a, b) in enumerate(masks)]))
+    prints = written(rows.mapInArrow(of, "_key long, doc_id long, node long").dropDuplicates(["_key"]))
+    one_in = max(1, round(math.sqrt(prints.count() / COUNTED)))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in steps(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(data, offsets, width)[0].view(np.int64))], ["h"])
+
+    counted = rows.where(F.pmod(F.xxhash64("_key"), F.lit(one_in)) == 0).select("text").mapInArrow(hashes, "h long").groupBy("h").count()
+    told = counted.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()
+    common, counts = told["h"].to_numpy(np.int64).view(np.uint64), told["count"].to_numpy(np.int64)
+    order = np.argsort(common)
+    common, counts = common[order], counts[order]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in steps(batch, "text"):
+                h, cuts = shingle_sets(data, offsets, width)
+                node = np.zeros(len(cuts) - 1, np.int64)
+                some = np.flatnonzero(np.diff(cuts))
+                node[some] = identity(h, cuts, some)
+                prints = [fingerprint(x, cuts).view(np.int64) for x in (h, mixed(h + np.uint64(WIDE)))]
+                key, row = prefixes(h, cuts, similarity, common, counts)
+                columns = [key.view(np.int64), node[row], *(x[row] for x in prints), np.diff(cuts)[row].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "p0", "p1", "size"])
+
+    dealt = rows.select("text").mapInArrow(deal, "key long, node long, p0 long, p1 long, size int")
 
     def same(x: pa.RecordBatch) -> np.ndarray:
-        band, key = x.column("band").to_numpy(), x.column("key").to_numpy()
-        return np.concatenate(([False], (band[1:] == band[:-1]) & (key[1:] == key[:-1])))
+        key = x.column("key").to_numpy()
+        return np.concatenate(([False], key[1:] == key[:-1]))
+
+    def close(batch: pa.RecordBatch, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, differing bits) of the rows some, i and j within reach of one another."""
+        key, size = batch.column("key").to_numpy()[some], batch.column("size").to_numpy()[some]
+        values = np.stack([batch.column(c).to_numpy()[some].view(np.uint64) for c in ("p0", "p1")], 1)
+        group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))[: len(key)]
+        for i, j in close_lanes(values, group, WIDE_RADIUS, 1 << 13):
+            fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            i, j = i[fits], j[fits]
+            yield i, j, np.bitwise_count(values[i] ^ values[j]).sum(axis=1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, same, 100_000):
-            again = same(batch)
-            group = np.cumsum(~again)
-            some = again | np.concatenate((again[1:], [False]))
-            ids, group = batch.column("first").to_numpy()[some], group[some]
-            values = np.stack([batch.column(c).to_numpy()[some].view(np.uint64) for c in ("p0", "p1")], 1)
-            for i, j in close_lanes(values, group, WIDE_RADIUS):
-                far = np.bitwise_count(values[i] ^ values[j]).sum(axis=1)
+            again, node = same(batch), batch.column("node").to_numpy()
+            fresh = ~(again & np.concatenate(([False], node[1:] == node[:-1])))
+            again = np.concatenate(([False], batch.column("key").to_numpy()[fresh][1:] == batch.column("key").to_numpy()[fresh][:-1]))
+            some = np.flatnonzero(fresh)[again | np.concatenate((again[1:], [False]))]
+            if not len(some):
+                continue
+            ids, key, rest = node[some], batch.column("key").to_numpy()[some], ["key", "a", "b", "p0", "p1", "size"]
+            for i, j, far in close(batch, some):
                 i, j, far = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((far, far))
-                for order in (np.lexsort((j, far, i)), np.lexsort((j, i))):
-                    first = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[first]]), pa.array(ids[j[first]])], ["a", "b"])
+                for by in (np.lexsort((j, far, i)), np.lexsort((j, i))):
+                    if len(by):
+                        first = by[np.concatenate(([True], i[by][1:] != i[by][:-1]))]
+                        whole = batch.take(pa.array(some[i[first]]))
+                        yield pa.RecordBatch.from_arrays([pa.array(key[i[first]]), pa.array(ids[i[first]]), pa.array(ids[j[first]]), *(whole.column(c) for c in ("p0", "p1", "size"))], rest)
 
-    dealt = classes.select(each.alias("_b"), "first", "p0", "p1").select("_b.band", "_b.key", "first", "p0", "p1")
-    between = dealt.repartition(n, "band", "key").sortWithinPartitions("band", "key", "first").mapInArrow(link, "a long, b long")
-    within = prints.join(small_side(classes), ["p0", "p1"]).where("_key != first").select(F.col("_key").alias("a"), F.col("first").alias("b"))
-    pairs = written(between.unionByName(within).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    wanted = written(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct())
+    shape = "key long, a long, b long, p0 long, p1 long, size int"
+    met = written(dealt.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(link, shape))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in steps(batch, "text"):
-                h, cuts = shingle_hashes(data, offsets, width)
-                own = [np.unique(h[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(own, pa.binary())], ["_key", "own"])
+                h, cuts = shingle_sets(data, offsets, width)
+                own = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(identity(h, cuts, np.arange(len(own)))), pa.array(own, pa.binary())], ["node", "own"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,14 +347,40 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = written(rows.join(small_side(wanted), "_key", "left_semi").dropDuplicates(["_key"]).select("_key", "text").mapInArrow(sets, "_key long, own binary"))
-    side = lambda c, as_: own.select(F.col("_key").alias(c), F.col("own").alias(as_))
-    links = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
-    roots = components(links, "a", "b")
-    named = roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
-    named = written(named.join(prints.select(F.col("_key").alias("node"), "doc_id").distinct(), "node"))
-    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("_b"))
-    return named.join(best, "component").select(F.col("node").alias("_key"), F.col("_b.doc_id").alias("keep_id"), (F.col("node") == F.col("_b.node")).alias("kept"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = written(prints.join(wanted, "node").groupBy("node").agg(F.min("_key").alias("_key")).select("_key"))
+        texts = rows.join(small_side(wanted), "_key", "left_semi").dropDuplicates(["_key"]).select("text")
+        own = written(texts.mapInArrow(sets, "node long, own binary"))
+        side = lambda c, as_: own.select(F.col("node").alias(c), F.col("own").alias(as_))
+        return written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+    pairs = written(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = verified(pairs)
+    roots = written(components(links, "a", "b"))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, same, 100_000):
+            key, node, root = (batch.column(c).to_numpy() for c in ("key", "node", "root"))
+            starts = np.flatnonzero(~same(batch))
+            mixed_ = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            some = np.flatnonzero(np.repeat(mixed_, np.diff(np.append(starts, len(key)))))
+            if not len(some):
+                continue
+            node, root = node[some], root[some]
+            for i, j, _ in close(batch, some):
+                apart = root[i] != root[j]
+                i, j = node[i[apart]], node[j[apart]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["a", "b"])
+
+    members = met.select("key", F.col("a").alias("node"), "p0", "p1", "size").distinct()
+    members = members.join(small_side(roots), "node", "left").select("key", "node", "p0", "p1", "size", F.coalesce("component", "node").alias("root"))
+    others = members.repartition(n, "key").sortWithinPartitions("key").mapInArrow(rest, "a long, b long").distinct()
+    others = written(others.join(pairs, ["a", "b"], "left_anti"))
+    roots = written(components(links.unionByName(verified(others)), "a", "b"))
+    named = written(prints.join(small_side(roots), "node", "left").select("_key", "doc_id", F.coalesce("component", "node").alias("component")))
+    best = named.groupBy("component").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))).alias("_b")).where("_n > 1")
+    return named.join(best, "component").select("_key", F.col("_b.doc_id").alias("keep_id"), (F.col("_key") == F.col("_b._key")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -197,6 +197,47 @@ def test_near_copies_keep_one_of_each_group(spark, docs, none):
     assert without_near_copies(none).count() == 0
 
 
+def near_survivors(texts, similarity=0.8):
+    """Brute force: the least index of each component of texts with a similarity of five-word shingle sets of at least similarity."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {top(i) for i in range(len(texts))}
+
+
+def near_edit(rng, base, places):
+    w = base.split()
+    for i in rng.sample(range(0, len(w), 5), places):
+        w[i] = f"e{rng.random()}"
+    return " ".join(w)
+
+
+def survivors(spark, texts):
+    return {r["doc_id"] for r in without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()}
+
+
+def test_near_copies_of_one_original_are_all_found(spark):
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(404))
+    texts = [near_edit(rng, base, rng.randint(4, 9)) for _ in range(300)]  # 0.8 to 0.9 like the original, less like each other
+    texts.insert(150, base)
+    assert survivors(spark, texts) == near_survivors(texts)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7), (None, 1)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
