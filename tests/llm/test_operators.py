@@ -238,6 +238,17 @@ def test_near_copies_of_one_original_are_all_found(spark):
     assert survivors(spark, texts) == near_survivors(texts)
 
 
+def test_near_copies_do_not_depend_on_repeats(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(20):  # one shingle fills over half of every text
+        other = " ".join(f"w{rng.randrange(5000)}" for _ in range(100))
+        texts += ["rep " * 150 + other, "rep " * 170 + near_edit(rng, other, 1)]
+    page = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    texts += [page, page + " a b c d e" * 400]
+    assert survivors(spark, texts) == near_survivors(texts) == set(range(0, 42, 2))
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7), (None, 1)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
