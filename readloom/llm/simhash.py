@@ -212,11 +212,11 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFram
 
 # ---------------------------------------------------------------- copies above a similarity of shingle sets
 
-#: Bits of the fingerprint that is compared before the sets, and the bits in which sets of similarity 0.8 differ at most: 19 of 128 are usual, 49 or
-#: more have a chance below 1 in 100,000 even for the smallest sets.
-WIDE, WIDE_RADIUS = 128, 48
-#: Texts whose shingles are counted at most for a small table, count from which a shingle is common, common shingles at most.
-COUNTED, COMMON, MOST_COMMON = 20_000, 2, 2_000_000
+#: Bits of the fingerprint that is compared before the sets, and the bits in which sets of similarity 0.8 differ at most, small ones (up to SMALL
+#: shingles, whose bits vary more) and others. 19 of 128 are usual; more than these have a chance below 1 in 100,000.
+WIDE, WIDE_RADIUS, SET_RADIUS, SMALL = 128, 48, 44, 64
+#: Texts whose shingles are all counted (of more, about the root of their number times this one's root), count of a common one, common ones at most.
+COUNTED, COMMON, MOST_COMMON = 20_000, 3, 250_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,16 +270,23 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column("_key").take(take), part.column("doc_id").take(take), pa.array(identity(h, cuts, some))], ["_key", "doc_id", "node"])
 
     prints = written(rows.mapInArrow(of, "_key long, doc_id long, node long").dropDuplicates(["_key"]))
-    one_in = max(1, round(math.sqrt(prints.count() / COUNTED)))
+    one_in = max(1, math.ceil(math.sqrt(prints.count() / COUNTED)))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in steps(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(data, offsets, width)[0].view(np.int64))], ["h"])
 
-    counted = rows.where(F.pmod(F.xxhash64("_key"), F.lit(one_in)) == 0).select("text").mapInArrow(hashes, "h long").groupBy("h").count()
-    told = counted.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()
-    common, counts = told["h"].to_numpy(np.int64).view(np.uint64), told["count"].to_numpy(np.int64)
+    sample = rows.where(F.pmod(F.xxhash64("_key"), F.lit(one_in)) == 0).select("text").mapInArrow(hashes, "h long")
+    counted = written(sample.groupBy("h").count().where(F.col("count") >= COMMON))
+    total, least = 0, COMMON
+    for r in counted.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():
+        total += r["n"]
+        if total > MOST_COMMON:
+            least = r["count"] + 1
+            break
+    told = counted.where(F.col("count") >= least).toArrow()
+    common, counts = told["h"].to_numpy().view(np.uint64), told["count"].to_numpy()
     order = np.argsort(common)
     common, counts = common[order], counts[order]
 
@@ -308,8 +315,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))[: len(key)]
         for i, j in close_lanes(values, group, WIDE_RADIUS, 1 << 13):
             fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
-            i, j = i[fits], j[fits]
-            yield i, j, np.bitwise_count(values[i] ^ values[j]).sum(axis=1)
+            far = np.bitwise_count(values[i] ^ values[j]).sum(axis=1)
+            fits &= (far <= SET_RADIUS) | (size[i] <= SMALL)
+            yield i[fits], j[fits], far[fits]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, same, 100_000):

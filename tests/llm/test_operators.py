@@ -18,7 +18,7 @@ from readloom.llm.embedding_dedup import near_vectors
 from readloom.llm.exact_dedup import exact_dedup, exact_groups
 from readloom.llm.packing import pack_documents, plan
 from readloom.llm.quality import features, fit, quality_scores, train
-from readloom.llm.simhash import close_lanes, simhash_groups, without_near_copies
+from readloom.llm.simhash import close_lanes, prefixes, simhash_groups, without_near_copies
 from readloom.llm.substring_dedup import without_repeats
 from readloom.llm.suffix_dedup import BlindTrie, sort_suffixes, without_repeated_bytes
 from readloom.llm.token_files import build_hash, find, fingerprints, read_documents, write_shards
@@ -249,6 +249,26 @@ def test_near_copies_do_not_depend_on_repeats(spark):
     assert survivors(spark, texts) == near_survivors(texts) == set(range(0, 42, 2))
 
 
+def test_near_copies_miss_no_pair_at_the_similarity(spark):
+    rng = random.Random(10)
+    texts = []
+    for _ in range(250):
+        base = " ".join(f"w{rng.randrange(100_000)}" for _ in range(204))
+        texts += [base, near_edit(rng, base, 4)]  # 180 of 220 shingles
+    assert survivors(spark, texts) == near_survivors(texts) == set(range(0, 500, 2))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(12)
+    for _ in range(500):
+        n = int(rng.integers(5, 60))
+        pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(pool[int(rng.integers(0, n // 5 + 1)) : n])
+        common = np.sort(rng.choice(pool, n, replace=False))
+        got = [set(prefixes(z, np.array([0, len(z)]), 0.8, common, np.arange(1, n + 1))[0].tolist()) for z in (x, y)]
+        assert len(y) < 0.8 * len(x) or got[0] & got[1]
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7), (None, 1)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
