@@ -2,12 +2,14 @@
 
 Equal vectors are one point with a multiplicity. Lists start from leaves of random hyperplanes; each round, the members of a point's list (its own
 neighbours and a sample of the points that list it) meet each other, and better neighbours are kept. A list that lies wholly above the threshold is
-saturated and doubles. The links found are audited against brute force for a bounded sample, and rounds go on while the recall is short. Threshold
-edges are verified in double precision; within each component that they join, all links are then counted exactly, tile by tile.
+saturated and doubles. Each round adds new hyperplane tables. Threshold edges are verified in double precision, and the links of a sample are audited against
+brute force: rounds go on while the recall is short, and where the sample holds few links, until the tables alone would find a pair at the threshold.
+Within each component that the edges join, all links are then counted exactly, tile by tile.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -21,10 +23,13 @@ from readloom.llm.simhash import whole_groups
 from readloom.llm.substring_dedup import binary
 from readloom.llm.util import discard, partitions, small_side, written
 
-#: Neighbours a list starts with, hyperplane tables, points of a leaf that meet at the start, proposals a member gets from one list.
+_LOG = logging.getLogger(__name__)
+#: Neighbours a list starts with, hyperplane tables a round, points of a leaf that meet at the start, proposals a member gets from one list.
 NEIGHBOURS, TABLES, LEAF, PROPOSALS = 10, 4, 128, 4
-#: Audited points at most, recall of their links to reach, rounds at least and at most.
-AUDIT, RECALL, LEAST_ROUNDS, MOST_ROUNDS = 1000, 0.99, 1, 6
+#: Audited points at first, true links that they should have, comparisons and numbers of the sample that it grows to otherwise, recall to reach.
+AUDIT, LINKS, AUDIT_PAIRS, AUDIT_NUMBERS, RECALL = 1000, 300, 2_000_000_000, 4_000_000, 0.99
+#: Times a saturated list doubles, rounds after which a short recall is an error (more if the tables need more).
+DOUBLINGS, MOST_ROUNDS = 6, 12
 #: Points a side of a tile.
 TILE = 2048
 #: How far the half-precision cosines of the search may be off.
@@ -50,7 +55,7 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
 
 
 def points(vectors: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, points): rows vec_id, cid (null for a vector that links with nothing); points cid, m rows, least vec_id, unit (double), half, codes."""
+    """(rows, points): rows vec_id, cid (null for a vector that links with nothing); points cid, m rows, least vec_id, unit (double), half."""
     finite = F.forall(column, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(column, lambda x: x != 0)
     valid = F.coalesce(F.col(column).isNotNull() & finite, F.lit(False))
     raw = vectors.select("vec_id", F.when(valid, F.col(column).cast("array<double>")).alias("_v"))
@@ -58,8 +63,6 @@ def points(vectors: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     usual = rows.where("_v is not null").groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = usual["d"] if usual else 1
     rows = rows.withColumn("cid", F.when(F.size("_v") == d, F.col("cid")))
-    planes = np.random.default_rng(11).normal(size=(d, TABLES * 30))
-    weights = 1 << np.arange(29, -1, -1)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,13 +71,11 @@ def points(vectors: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
             x = batch.column("_v").flatten().to_numpy().reshape(-1, d)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            codes = ((x @ planes > 0).reshape(len(x), TABLES, 30) * weights).sum(axis=2)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, TABLES, dtype=np.int32)), pa.array(codes.reshape(-1)))
             cols = [binary([r.tobytes() for r in y]) for y in (x, x.astype(np.float16))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "m", "least")), *cols, lists], ["cid", "m", "least", "unit", "half", "codes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "m", "least")), *cols], ["cid", "m", "least", "unit", "half"])
 
     distinct = rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"), F.first("_v").alias("_v"))
-    return rows.select("vec_id", "cid"), written(distinct.mapInArrow(made, "cid long, m long, least long, unit binary, half binary, codes array<long>"))
+    return rows.select("vec_id", "cid"), written(distinct.mapInArrow(made, "cid long, m long, least long, unit binary, half binary"))
 
 
 _EDGE = "a long, b long, sim float"
@@ -85,11 +86,31 @@ def _edges(a: list, b: list, sim: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cat(a, np.int64)), pa.array(cat(b, np.int64)), pa.array(cat(sim, np.float32))], ["a", "b", "sim"])
 
 
-def start(points: DataFrame, n_points: int) -> DataFrame:
-    """First proposals a, b, sim: points close by in the order of a table's code meet in leaves."""
+def tables_for(n_points: int, threshold: float) -> int:
+    """Tables in which a pair at the threshold shares a leaf of evenly spread codes with a chance of RECALL."""
+    bits = math.log2(max(1, n_points / (LEAF / 2)))
+    apart = 1 - (1 - math.acos(min(1, threshold)) / math.pi) ** bits
+    return math.ceil(math.log(1 - RECALL) / math.log(apart)) if apart > 0 else 1
+
+
+def start(points: DataFrame, n_points: int, turn: int) -> DataFrame:
+    """Proposals a, b, sim of TABLES new tables: points close by in the order of a table's code meet in leaves."""
     n = partitions(points.sparkSession)
     bits = max(0, min(24, math.ceil(math.log2(max(1, n_points / (8 * LEAF))))))
-    each = points.select("cid", "half", F.posexplode("codes").alias("t", "code")).withColumn("leaf", F.shiftright("code", 30 - bits))
+    weights = 1 << np.arange(29, -1, -1)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column("half"), np.float16).astype(np.float32)
+            planes = np.random.default_rng((11, turn)).normal(size=(x.shape[1], TABLES * 30))
+            codes = ((x @ planes > 0).reshape(len(x), TABLES, 30) * weights).sum(axis=2)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, TABLES, dtype=np.int32)), pa.array(codes.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("half"), lists], ["cid", "half", "codes"])
+
+    told = points.select("cid", "half").mapInArrow(coded, "cid long, half binary, codes array<long>")
+    each = told.select("cid", "half", F.posexplode("codes").alias("t", "code")).withColumn("leaf", F.shiftright("code", 30 - bits))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = _same("t", "leaf")
@@ -189,35 +210,68 @@ def verified(edges: DataFrame, points: DataFrame, threshold: float) -> DataFrame
     return written(pairs.join(unit("a", "ua"), "a").join(unit("b", "ub"), "b").select("a", "b", "ua", "ub").mapInArrow(check, "a long, b long"))
 
 
-def audited_recall(lists: DataFrame, points: DataFrame, threshold: float) -> float:
-    """The share of the true links of at most AUDIT points (least hashes) that join the same two points in lists or can be reached there through one
-    more point; brute force for the sample only."""
-    sample = points.orderBy(F.xxhash64("cid")).limit(AUDIT).select("cid", "unit").toPandas()
-    if not len(sample):
-        return 1.0
-    ids, q = sample["cid"].to_numpy(), np.stack([np.frombuffer(x, np.float64) for x in sample["unit"]])
+def true_links(points: DataFrame, size: int, threshold: float) -> DataFrame:
+    """a, b: all links of size points (least hashes), by brute force. Written."""
+    sample = points.orderBy(F.xxhash64("cid")).limit(size).select("cid", "unit").toArrow().combine_chunks()
+    ids, q = sample["cid"].to_numpy(), _matrix(sample["unit"], np.float64)
+    rows = max(1, AUDIT_NUMBERS // len(ids))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 other = batch.column("cid").to_numpy()
                 i, j = np.nonzero(q @ _matrix(batch.column("unit"), np.float64).T >= threshold)
                 keep = ids[i] != other[j]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(other[j][keep])], ["a", "b"])
 
-    truth = points.select("cid", "unit").mapInArrow(brute, "a long, b long")
-    both = lists.where(F.col("sim") >= threshold - SLACK).select("a", "b")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    some = F.broadcast(sample_frame(lists.sparkSession, ids))
-    near = both.join(some, F.col("a") == F.col("s")).select("a", "b")
-    far = near.join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-    found = near.unionByName(far).distinct().withColumn("hit", F.lit(1))
-    row = truth.join(found, ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return row["hits"] / row["n"] if row["n"] else 1.0
-
-
-def sample_frame(spark: SparkSession, ids: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(int(i),) for i in ids], "s long")
+    return written(points.select("cid", "unit").mapInArrow(brute, "a long, b long"))
+
+
+def audit(points: DataFrame, n_points: int, threshold: float) -> tuple[DataFrame, bool]:
+    """(a, b: true links of a sample, whether it says enough: it has LINKS links or is the whole table). It grows until then or up to its bounds."""
+    d = len(points.select("unit").first()["unit"]) // 8
+    most = min(n_points, max(AUDIT, min(AUDIT_PAIRS // n_points, AUDIT_NUMBERS // d)))
+    size = min(AUDIT, most)
+    while True:
+        truth = true_links(points, size, threshold)
+        enough = size >= n_points or truth.count() >= LINKS
+        if enough or size >= most:
+            return truth, enough
+        discard(truth)
+        size = min(4 * size, most)
+
+
+def search(points: DataFrame, n_points: int, threshold: float) -> tuple[DataFrame, float]:
+    """(components of the verified edges, recall: the share of the audited true links whose ends they join; all links in a component are counted)."""
+    if not n_points:
+        return written(components(points.select(F.col("cid").alias("a"), F.col("cid").alias("b")), "a", "b")), 1.0
+    truth, enough = audit(points, n_points, threshold)
+    tables = tables_for(n_points, threshold)
+    lists, turn = None, 0
+    while True:
+        turn += 1
+        before, met = lists, start(points, n_points, turn)
+        if before is None:
+            before = kept_lists(met, threshold - SLACK, 0)
+            met = descend(before, points, turn)
+        else:
+            met = met.unionByName(descend(before, points, turn))
+        lists = kept_lists(before.select("a", "b", "sim").unionByName(met), threshold - SLACK, min(turn, DOUBLINGS))
+        discard(before)
+        edges = verified(lists, points, threshold)
+        roots = written(components(edges, "a", "b"))
+        discard(edges)
+        end = lambda c: roots.select(F.col("node").alias(c), F.col("component").alias(f"r{c}"))  # noqa: E731, B023
+        joined = truth.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ra", "a") == F.coalesce("rb", "b")).count()
+        n = truth.count()
+        recall = joined / n if n else 1.0
+        _LOG.info("round %d: recall %.4f of %d audited links", turn, recall, n)
+        if recall >= RECALL and (enough or turn * TABLES >= tables):
+            return roots, recall
+        if turn >= max(MOST_ROUNDS, 2 * math.ceil(tables / TABLES)):
+            raise RuntimeError(f"recall is {recall:.4f} of {n} audited links after {turn} rounds, below {RECALL}")
+        discard(roots)
 
 
 def tiled_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -260,15 +314,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, column: str = "emb
     """
     rows, nodes = points(vectors, column)
     n_points = nodes.count()
-    lists = kept_lists(start(nodes, n_points), threshold - SLACK, 0)
-    for turn in range(1, MOST_ROUNDS + 1):
-        before = lists
-        lists = kept_lists(before.select("a", "b", "sim").unionByName(descend(before, nodes, turn)), threshold - SLACK, turn)
-        discard(before)
-        if turn >= LEAST_ROUNDS and audited_recall(lists, nodes, threshold) >= RECALL:
-            break
-    edges = verified(lists, nodes, threshold)
-    roots = written(components(edges, "a", "b"))
+    roots, _ = search(nodes, n_points, threshold)
     named = nodes.join(small_side(roots), F.col("cid") == F.col("node"), "left").select("cid", "m", "least", "unit", F.coalesce("component", "cid").alias("component"))
     several = roots.select("component").distinct()
     linked = tiled_links(named.join(several, "component", "left_semi"), threshold)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -371,6 +372,19 @@ def test_embeddings(spark):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+def test_sparse_near_vectors_are_found(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(40):  # cosines 0.952 to 0.97
+        other = x[2 * i + 1] - (x[2 * i + 1] @ x[2 * i]) * x[2 * i]
+        c = rng.uniform(0.952, 0.97)
+        x[2 * i + 1] = c * x[2 * i] + np.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 64).cast(pa.list_(pa.float64()))})
+    got = near_vectors(spark.createDataFrame(table)).where("n_links > 0").collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (1, i - i % 2) for i in range(80)}
+
+
 def test_quality(spark, none):
     good = [(i, words(80) + ". " + words(50) + ".") for i in range(0, 300, 2)]
     bad = [(i, (RNG.choice(VOCAB) + " ") * 120 if i % 4 == 1 else " ".join(w.upper() + "!!" for w in words(90).split())) for i in range(1, 300, 2)]
