@@ -69,26 +69,51 @@ def byte_letters() -> list[str]:
     return out
 
 
+def read_vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], dict[str, int]]:
+    """(token: id, merges by rank, added token: id) of a byte-level BPE file of the tokenizers library whose words are PATTERN's; an error for others."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    before = file.get("pre_tokenizer") or {}
+    if file["model"]["type"] != "BPE" or file.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError(f"{path}: not a byte-level BPE whose words follow the usual pattern")
+    letters = {c: b for b, c in enumerate(byte_letters())}
+    to_bytes = lambda token: bytes(letters[c] for c in token)
+    merges = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
+    ids = {to_bytes(token): i for token, i in file["model"]["vocab"].items()}
+    return ids, [(to_bytes(a), to_bytes(b)) for a, b in merges], {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+
+
+class Pieces:
+    """Cuts texts at the added tokens of a vocabulary."""
+
+    def __init__(self, special: dict[str, int]):
+        self.special = special
+        self.splitter = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+    def __call__(self, text: str) -> Iterator[str | int]:
+        """The stretches between added tokens, and the added tokens' ids."""
+        at = 0
+        if self.splitter is not None and any(s in text for s in self.special):
+            for m in self.splitter.finditer(text):
+                yield text[at : m.start()]
+                yield self.special[m.group()]
+                at = m.end()
+        yield text[at:] if at else text
+
+
 class ByteBpe:
     """The ids of a vocabulary file for whole texts, and back."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        letters = {c: b for b, c in enumerate(byte_letters())}
-        to_bytes = lambda token: bytes(letters[c] for c in token)
-        vocab = file["model"]["vocab"]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
-        self.ids = {to_bytes(token): i for token, i in vocab.items()}
+        self.ids, merges, special = read_vocabulary(path)
         self.ranks: dict[bytes, int] = {}
         for rank, (a, b) in enumerate(merges):
-            self.ranks.setdefault(to_bytes(a + b), rank)
-        self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
-        self.tokens = {i: token for token, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+            self.ranks.setdefault(a + b, rank)
+        self.pieces = Pieces(special)
+        self.tokens = {i: token for token, i in self.ids.items()} | {i: s.encode() for s, i in special.items()}
         self.words = regex.compile(PATTERN)
-        self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(self.ids[to_bytes(a)] << 16 | self.ids[to_bytes(b)], rank, self.ids[to_bytes(a + b)]) for rank, (a, b) in enumerate(merges)]
+        pairs = [(self.ids[a] << 16 | self.ids[b], rank, self.ids[a + b]) for rank, (a, b) in enumerate(merges)]
         self.made_by = np.array([p[2] for p in pairs] or [0], np.int32)
         self.pair_keys, order = np.unique(np.array([p[0] for p in pairs], np.uint32), return_index=True)
         self.pair_ranks = order.astype(np.int32)  # the first of equal pairs
@@ -102,8 +127,9 @@ class ByteBpe:
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
     def merge_many(self, words: list[str]) -> list[bytes]:
-        """merge() of many words at once, as little-endian unsigned 32-bit ids. Each row of a block is one word's contiguous arrays of parts and adjacent ranks; every round scans all
-        rows for their least rank, deletes that boundary by closing the gap, and finds the two ranks beside it anew."""
+        """The ids of each word, little-endian unsigned 32-bit. Each row of a block is one word's contiguous arrays of parts and adjacent ranks;
+        every round scans all rows for their least rank (leftmost of equals), deletes that boundary by closing the gap, and finds the two ranks
+        beside it anew."""
         out: list = [None] * len(words)
         data = [w.encode("utf-8") for w in words]
         sizes = np.array([len(x) for x in data], np.int64)
@@ -144,24 +170,6 @@ class ByteBpe:
             ranks[rows, i] = np.where(i < size - 1, self.rank_of(new, parts[rows, right]), NONE)
             ranks[rows, left] = np.where(i > 0, self.rank_of(parts[rows, left], new), ranks[rows, left])
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        """The ids of one word. bounds holds the parts' boundaries, ranks[i] the rank of joining parts i and i + 1; the least (leftmost of
-        equals) goes first: the boundary inside it is deleted and the ranks beside it are found anew."""
-        data, get, none = word.encode("utf-8"), self.ranks.get, len(self.ranks)
-        if len(data) > 400:
-            return self._scan_long(data)
-        bounds = list(range(len(data) + 1))
-        ranks = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
-        while ranks and (least := min(ranks)) < none:
-            i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(data[bounds[i] : bounds[i + 2]], none)
-            if i:
-                ranks[i - 1] = get(data[bounds[i - 1] : bounds[i + 1]], none)
-        ids = self.ids
-        return tuple([ids[data[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)])
-
     def _scan_long(self, word: bytes) -> tuple[int, ...]:
         """The same merges for a very long word, by a heap over a linked list, so that the time isn't quadratic."""
         n, none = len(word), len(self.ranks)
@@ -186,16 +194,6 @@ class ByteBpe:
             i = after[i]
         return tuple(out)
 
-    def pieces(self, text: str) -> Iterator[str | int]:
-        """The stretches between special tokens, and the special tokens' ids."""
-        at = 0
-        if self.splitter is not None and any(s in text for s in self.special):
-            for m in self.splitter.finditer(text):
-                yield text[at : m.start()]
-                yield self.special[m.group()]
-                at = m.end()
-        yield text[at:] if at else text
-
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
         return next(iter(self.encode_many([text]))).tolist()
@@ -332,6 +330,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: see bpe_digests()."""
     import public_tokenizers
 
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
