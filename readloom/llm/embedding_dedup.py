@@ -12,6 +12,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,27 +56,27 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
 
 
 def points(vectors: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, points): rows vec_id, cid (null for a vector that links with nothing); points cid, m rows, least vec_id, unit (double), half."""
+    """(rows, points): rows vec_id, cid (null for a vector that links with nothing); points d (length), cid, m rows, least vec_id, unit (double),
+    half."""
     finite = F.forall(column, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(column, lambda x: x != 0)
     valid = F.coalesce(F.col(column).isNotNull() & finite, F.lit(False))
     raw = vectors.select("vec_id", F.when(valid, F.col(column).cast("array<double>")).alias("_v"))
     rows = written(raw.select("vec_id", F.when(F.col("_v").isNotNull(), F.xxhash64("_v")).alias("cid"), "_v"))
-    usual = rows.where("_v is not null").groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = usual["d"] if usual else 1
-    rows = rows.withColumn("cid", F.when(F.size("_v") == d, F.col("cid")))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("_v").flatten().to_numpy().reshape(-1, d)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            cols = [binary([r.tobytes() for r in y]) for y in (x, x.astype(np.float16))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "m", "least")), *cols], ["cid", "m", "least", "unit", "half"])
+            sizes = batch.column("d").to_numpy()
+            for d in np.unique(sizes).tolist():
+                some = batch.filter(pa.array(sizes == d))
+                x = some.column("_v").flatten().to_numpy().reshape(-1, d)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                cols = [binary([r.tobytes() for r in y]) for y in (x, x.astype(np.float16))]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("d", "cid", "m", "least")), *cols], ["d", "cid", "m", "least", "unit", "half"])
 
     distinct = rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"), F.first("_v").alias("_v"))
-    return rows.select("vec_id", "cid"), written(distinct.mapInArrow(made, "cid long, m long, least long, unit binary, half binary"))
+    told = distinct.select("cid", "m", "least", F.size("_v").alias("d"), "_v").mapInArrow(made, "d int, cid long, m long, least long, unit binary, half binary")
+    return rows.select("vec_id", "cid"), written(told)
 
 
 _EDGE = "a long, b long, sim float"
@@ -244,8 +245,6 @@ def audit(points: DataFrame, n_points: int, threshold: float) -> tuple[DataFrame
 
 def search(points: DataFrame, n_points: int, threshold: float) -> tuple[DataFrame, float]:
     """(components of the verified edges, recall: the share of the audited true links whose ends they join; all links in a component are counted)."""
-    if not n_points:
-        return written(components(points.select(F.col("cid").alias("a"), F.col("cid").alias("b")), "a", "b")), 1.0
     truth, enough = audit(points, n_points, threshold)
     tables = tables_for(n_points, threshold)
     lists, turn = None, 0
@@ -308,16 +307,23 @@ def tiled_links(members: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
-    Vectors that are null, zero, or hold a null or non-finite component link with nothing and form a component each; so do vectors of another length
-    than the table's most frequent one. Equal vectors link. Repeated vec_ids are rows of their own; a null vec_id takes part, and component_id is the
+    Vectors that are null, zero, or hold a null or non-finite component link with nothing and form a component each. Vectors of different lengths don't
+    link; each length is searched by itself. Equal vectors link. Repeated vec_ids are rows of their own; a null vec_id takes part, and component_id is the
     smallest vec_id that isn't null, so that a row with a null id is kept only if its component has no other.
     """
     rows, nodes = points(vectors, column)
-    n_points = nodes.count()
-    roots, _ = search(nodes, n_points, threshold)
-    named = nodes.join(small_side(roots), F.col("cid") == F.col("node"), "left").select("cid", "m", "least", "unit", F.coalesce("component", "cid").alias("component"))
-    several = roots.select("component").distinct()
-    linked = tiled_links(named.join(several, "component", "left_semi"), threshold)
+    rooted, counted = [], []
+    for r in nodes.groupBy("d").count().where("count > 1").orderBy("d").collect():  # a row for each length
+        some = nodes.where(F.col("d") == r["d"])
+        roots, recall = search(some, r["count"], threshold)
+        _LOG.info("vectors of %d: recall %.4f", r["d"], recall)
+        named = some.join(small_side(roots), F.col("cid") == F.col("node"), "left").select("cid", "m", "unit", F.coalesce("component", "cid").alias("component"))
+        rooted.append(roots)
+        counted.append(tiled_links(named.join(roots.select("component").distinct(), "component", "left_semi"), threshold))
+    none = nodes.limit(0)
+    roots = written(reduce(DataFrame.unionByName, rooted, none.select(F.col("cid").alias("node"), F.col("cid").alias("component"))))
+    linked = reduce(DataFrame.unionByName, counted, none.select("cid", F.col("m").alias("links")))
+    named = nodes.join(small_side(roots), F.col("cid") == F.col("node"), "left").select("cid", "m", "least", F.coalesce("component", "cid").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     result = named.join(least, "component").join(linked, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
     out = rows.join(small_side(written(result)), "cid", "left")
@@ -327,4 +333,5 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, column: str = "emb
 
 
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector: see near_vectors()."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

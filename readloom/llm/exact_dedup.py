@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.util import small_side, with_row, written
+from readloom.llm.util import numbered, small_side, written
 
 #: Characters that the second refinement hashes.
 PREFIX = 64
@@ -16,24 +16,33 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _coarse(norm: Column) -> list[Column]:
-    return [F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("_prefix")]
+def _shared(counted: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """The keys that at least two rows share, with a mark; broadcast if small. Counts are partial sums before the shuffle."""
+    return small_side(written(counted.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias(mark))))
 
 
-def refined(docs: DataFrame, digest_all: bool = False) -> tuple[DataFrame, DataFrame]:
+def staged(docs: DataFrame, digest_all: bool = False) -> DataFrame:
+    """docs (doc_id, _norm and any others) with _len, _prefix and _sha. Each step reads more of a text, and only where the step before leaves it among
+    others: the prefix is hashed where the length is shared, the whole text where length and prefix are, else they are null (digest_all: all texts are
+    hashed, because the hash is asked for)."""
+    sized = docs.withColumn("_len", F.length("_norm"))
+    prefix = F.xxhash64(F.substring("_norm", 1, PREFIX))
+    lengths = _shared(sized.select("_len"), ["_len"], "_l")
+    second = sized.join(lengths, "_len", "left").withColumn("_prefix", F.when(F.col("_l"), prefix)).drop("_l")
+    both = _shared(second.where("_prefix is not null").select("_len", "_prefix"), ["_len", "_prefix"], "_p")
+    third = second.join(both, ["_len", "_prefix"], "left")
+    sha = F.unhex(F.sha2("_norm", 256))
+    return third.withColumn("_sha", sha if digest_all else F.when(F.col("_p"), sha)).withColumn("_alive", F.coalesce("_p", F.lit(False))).drop("_p")
+
+
+def refined(docs: DataFrame, digest_all: bool = False, keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, groups), both written.
 
-    rows: doc_id, _len, _prefix, _sha (binary; null where length and prefix already tell the text from all others, unless digest_all).
+    rows: doc_id, keep (a column of docs), _len, _prefix, _sha (binary), _alive of staged(), and _rid.
     groups: the keys that at least two rows share, with _n rows, _keep (the smallest doc_id, null only if all are) and _tied, the rows that
     have that doc_id. Counts are partial sums before the shuffle, so that a group with a third of all rows is a few rows a task.
     """
-    docs = docs.select(F.col("doc_id").alias("doc_id"), normalised(F.col("text")).alias("_norm"))
-    coarse = written(docs.select(*_coarse(F.col("_norm"))).groupBy("_len", "_prefix").agg(F.count("*").alias("_n")))
-    lengths = coarse.groupBy("_len").agg(F.sum("_n").alias("_same_len")).where("_same_len > 1").select("_len")
-    alive = written(coarse.where("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_prefix", F.lit(True).alias("_alive")))
-    told = docs.select("doc_id", "_norm", *_coarse(F.col("_norm"))).join(small_side(alive), ["_len", "_prefix"], "left")
-    sha = F.unhex(F.sha2(F.col("_norm"), 256))
-    told = told.select("doc_id", "_len", "_prefix", F.col("_alive").isNotNull().alias("_alive"), (sha if digest_all else F.when(F.col("_alive"), sha)).alias("_sha"))
+    told = staged(docs.select(*dict.fromkeys(["doc_id", keep]), normalised(F.col("text")).alias("_norm")), digest_all).drop("_norm")
     rows = written(told.withColumn("_rid", F.monotonically_increasing_id()))
     keys = ["_len", "_prefix", "_sha"]
     each = rows.where("_alive").groupBy(*keys, "doc_id").agg(F.count("*").alias("_c"), F.min("_rid").alias("_first"))
@@ -60,20 +69,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. Full content is hashed only where length and prefix are shared.
 
-    Rows that repeat both doc_id and text come out once."""
-    _, groups = refined(docs)
-    norm = normalised(F.col("text"))
-    coarse = with_row(docs, norm.alias("_norm"), F.col("doc_id")).select("_row", "_norm", "doc_id", *_coarse(F.col("_norm")))
-    shared = written(groups.select("_len", "_prefix").distinct().withColumn("_alive", F.lit(True)))
-    keyed = coarse.join(small_side(shared), ["_len", "_prefix"], "left").withColumn("_sha", F.when(F.col("_alive"), F.unhex(F.sha2("_norm", 256)))).drop("_norm")
-    found = keyed.join(small_side(groups), ["_len", "_prefix", "_sha"], "left")
-    stays = found.where(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
-    if not groups.where("_tied > 1").isEmpty():
-        stays = stays.where("_tied is null or _tied = 1").unionByName(stays.where("_tied > 1").dropDuplicates(["_len", "_prefix", "_sha"]))
-    return stays.select("_row.*")
+    Rows that repeat both doc_id and text come out once; nulls, repeats and empty tables as in exact_groups(). Only numbers meet in the joins."""
+    marked = numbered(docs)
+    rows, groups = refined(marked.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "_key"), keep="_key")
+    beside = rows.where("_alive").join(small_side(groups), ["_len", "_prefix", "_sha"])
+    gone = written(beside.where("not (doc_id <=> _keep) or (_tied > 1 and _rid != _keep_rid)").select("_key"))
+    return marked.join(small_side(gone), "_key", "left_anti").select("_row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document: see exact_groups(). Its last column asks for the hash of every text."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -167,8 +167,9 @@ def text_features(docs: DataFrame, *kept: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVE, unlabelled: int = MOST_UNLABELLED) -> Model:
     """A model from the rows of docs and labels (doc_id, quality) whose fold isn't 1.
 
-    Trusted positives are texts labelled 1, unlabelled ones any texts, labelled or not; the class prior is the share of labels that are 1. The
-    sample's size is bounded by the two parameters; it is drawn by the hash of doc_id. Null doc_ids and labels are no part of it.
+    Trusted positives are texts labelled 1, unlabelled ones any texts, labelled or not; the class prior is estimated as the share
+    of labels that are 1, the only use made of labels 0. The sample's size is bounded by the two parameters; it is drawn by the hash of doc_id. Null
+    doc_ids and labels are no part of it.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (_fold() != 1)).select("doc_id", "quality")
     share = rows.agg(F.avg(F.col("quality").cast("double"))).first()[0]
@@ -199,6 +200,7 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document: see train() and quality_scores(). A null doc_id counts as an empty text in the fold."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality_scores(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", (_fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

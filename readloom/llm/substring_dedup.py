@@ -3,9 +3,9 @@
 Any window of WINDOW words holds a whole block of BLOCK words of its own document's grid (WINDOW >= 2 * BLOCK - 1). So
 1. all documents' grid blocks are the index, all rolling windows of BLOCK words the probes; both meet by hash, packed by slice of documents and
    partition of the hash, distinct within a slice, so that a passage of all documents is one entry a slice;
-2. around each block that occurs elsewhere too, hits are extended: the windows of WINDOW words that hold it are counted by a second, wider hash,
-   and runs of windows that occur twice are the maximal repeats.
-Documents are found again by a hash of their id and text; rows that repeat both share it, and results.
+2. around each block that occurs elsewhere too, hits are extended: the windows of WINDOW words that hold it are counted by 96 bits of two independent
+   hashes, and runs of windows that occur twice are the maximal repeats.
+Rows are numbered once, and results find their row by its number.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from readloom.llm.simhash import whole_groups
-from readloom.llm.util import WORD_BASE, mixed, pack, partitions, ranges, rolling, row_key, small_side, steps, unpack, window_hash, with_row, word_hashes, word_spans, written
+from readloom.llm.util import WORD_BASE, numbered, pack, partitions, ranges, rolling, small_side, steps, unpack, window_hash, word_hashes, word_spans, written
 
 WINDOW, BLOCK = 35, 18
 _SECOND = 0xB5297A4D3F84D5B5
@@ -58,6 +58,12 @@ def utf8_bytes(column: pa.Array) -> bytes:
     return b"".join(x.as_py() for x in column)
 
 
+def _wide(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit and the 32-bit halves of packed hashes, which stand apart in each cell."""
+    cells = [x.as_py() for x in column]
+    return tuple(np.frombuffer(b"".join(x), kind) for x, kind in (([c[: len(c) // 12 * 8] for c in cells], "<u8"), ([c[len(c) // 12 * 8 :] for c in cells], "<u4")))  # type: ignore[return-value]
+
+
 def block_hits(docs: DataFrame, block: int) -> DataFrame:
     """_key, blocks: the grid blocks of each document (docs: _key, text) whose words occur elsewhere too, at any place of any document."""
     n = partitions(docs.sparkSession)
@@ -110,10 +116,10 @@ def block_hits(docs: DataFrame, block: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """_key, starts, counts (arrays): the runs of windows (first word, number) of each document that also start elsewhere. Written."""
+    """_key, starts, counts (arrays): the runs of windows (first word, number) of each row of docs (_key, text) that also start elsewhere. Written."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block at any place")
-    docs = docs.select(row_key(), "text").where("text is not null")
+    docs = docs.select("_key", "text").where("text is not null")
     n = partitions(docs.sparkSession)
     hits = written(block_hits(docs, block))
     found = docs.join(small_side(hits, 6 << 20), "_key").select("_key", "text", "blocks")
@@ -137,13 +143,13 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                 if not len(of):
                     continue
                 first = rows[:-1][of] + word
-                w = word_hashes(data, starts, ends)
-                h = window_hash(rolling(w, WORD_BASE), first, first + window, WORD_BASE)
-                h2 = window_hash(rolling(mixed(w + np.uint64(_SECOND)), _SECOND), first, first + window, _SECOND)
-                q = part_of(h2, n)
-                order = np.lexsort((h, q))
-                hs, qs = h[order], q[order]
-                new = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (qs[1:] != qs[:-1]))))
+                h = window_hash(rolling(word_hashes(data, starts, ends), WORD_BASE), first, first + window, WORD_BASE)
+                h2 = window_hash(rolling(word_hashes(data, starts, ends, 2), _SECOND), first, first + window, _SECOND)
+                q = part_of(h, n)
+                h2 &= np.uint64(0xFFFFFFFF)
+                order = np.lexsort((h2, h, q))
+                hs, rest, qs = h[order], h2[order].astype("<u4"), q[order]
+                new = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (rest[1:] != rest[:-1]))))
                 count = np.diff(np.append(new, len(hs)))
                 seen = np.zeros(len(h), bool)
                 seen[order] = np.repeat(count > 1, count)
@@ -151,20 +157,23 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                 cut1, cut2 = (np.searchsorted(qs[x], np.arange(n + 1)) for x in (one, many))
                 run = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (word[1:] != word[:-1] + 1))))
                 keys = part.column("_key").to_numpy()[of[run]]
-                chunk = int((mixed(keys.view(np.uint64)) * np.arange(1, 2 * len(keys), 2, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64) ^ np.int64(len(h)))
-                made = [(int(abs(chunk) % n), chunk, b"", b"", b"", keys.tobytes(), word[run].astype("<u4").tobytes(), np.diff(np.append(run, len(of))).astype("<u4").tobytes(), np.packbits(seen).tobytes())]
+                chunk = part.column("_key")[0].as_py()  # its first row names a slice
+                made = [(chunk % n, chunk, b"", b"", b"", keys.tobytes(), word[run].astype("<u4").tobytes(), np.diff(np.append(run, len(of))).astype("<u4").tobytes(), np.packbits(seen).tobytes())]
                 for p in np.flatnonzero(np.diff(cut1) + np.diff(cut2)):
                     a, b = one[cut1[p] : cut1[p + 1]], many[cut2[p] : cut2[p + 1]]
-                    made.append((p, chunk, hs[a].tobytes(), order[a].astype("<u4").tobytes(), hs[b].tobytes(), b"", b"", b"", b""))
+                    made.append((p, chunk, hs[a].tobytes() + rest[a].tobytes(), order[a].astype("<u4").tobytes(), hs[b].tobytes() + rest[b].tobytes(), b"", b"", b"", b""))
                 cols = list(zip(*made, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *map(binary, cols[2:])], [x.split()[0] for x in _RUNS.split(", ")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_q(batches):
-            single, multi = joined(batch.column("single"), "<u8"), joined(batch.column("multi"), "<u8")
-            _, where, total = np.unique(np.concatenate((single, multi, multi)), return_inverse=True, return_counts=True)
-            again = (total > 1)[where[: len(single)]]
-            sizes = np.array([len(x.as_py()) // 8 for x in batch.column("single")])
+            sizes = np.array([len(x.as_py()) // 12 for x in batch.column("single")])
+            high, low = (np.concatenate((x, y, y)) for x, y in zip(_wide(batch.column("single")), _wide(batch.column("multi")), strict=True))
+            order = np.lexsort((low, high))
+            new = np.concatenate(([True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))[: len(order)]
+            again = np.zeros(len(order), bool)
+            again[order] = np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))) > 1, np.diff(np.append(np.flatnonzero(new), len(order))))
+            again = again[: int(sizes.sum())]
             cuts = np.concatenate(([0], np.cumsum(sizes)))
             place = joined(batch.column("place"), "<u4")
             places = [place[a:b][again[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -200,12 +209,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
 
     A word goes if a window of `window` words that covers it also starts at any other place, in the same document too; windows are judged on the
     texts as given. Null texts have no words; texts shorter than a window keep all. Rows that repeat doc_id and text are copies of each other like
-    any other rows. Other columns pass through; columns named as the new ones are replaced.
+    any other rows; doc_id isn't read, so nulls in it don't matter. An empty table gives an empty result. Other columns pass through; columns named
+    as the new ones are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept")
-    names = docs.columns
-    runs = repeated_runs(docs, window, block)
-    told = with_row(docs, row_key()).join(small_side(runs, 6 << 20), "_key", "left").select("_row", "starts", "counts")
+    names, rows = docs.columns, numbered(docs)
+    runs = repeated_runs(rows.select("_key", F.col("_row.text").alias("text")), window, block)
+    told = rows.join(small_side(runs, 6 << 20), "_key", "left").select("_row", "starts", "counts")
     at_text, width = names.index("text"), len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +249,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document: see without_repeats() for nulls, repeats and empty texts (sha256 of nothing)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from readloom.llm.substring_dedup import binary, by_q, joined, part_of, utf8_bytes
-from readloom.llm.util import _BYTE, BYTE_BASE, mixed, pack, partitions, powers, ranges, rolling, row_key, small_side, steps, unpack, window_hash, with_row, written
+from readloom.llm.util import _BYTE, BYTE_BASE, mixed, numbered, pack, partitions, powers, ranges, rolling, small_side, steps, unpack, window_hash, written
 
 LENGTH, SEED = 100, 32
 #: Bytes that the words of the shallow sort cover.
@@ -59,14 +59,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
     return row, at[new], start[new], np.diff(np.append(new, len(start))), mixed(h[at[new]])  # anchors have small hashes; these are spread
 
 
-def twins(same: np.ndarray, key: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Which rows are at the same place as the first of their class: the same row of documents, come twice. same: not a class's first."""
+def twins(same: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Which rows are at the same place as the first of their class: the same doc_id, come twice. same: not a class's first."""
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    return same & (key == key[first]) & (lo == lo[first])
-
-
-def _chunk(keys: np.ndarray) -> int:
-    return int((keys * np.arange(1, 2 * len(keys), 2)).sum())
+    return same & (doc == doc[first]) & (lo == lo[first])
 
 
 def repeated_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -89,8 +85,8 @@ def repeated_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 one, many = new[size == 1], new[size > 1]
                 several = order[np.repeat(size > 1, size)]
                 cut1, cut2 = (np.searchsorted(qs[x], np.arange(n + 1)) for x in (one, many))
-                chunk = _chunk(keys)
-                made = [(abs(chunk) % n, chunk, b"", keys[row[several]].tobytes(), place[several].astype("<u4").tobytes(), b"")]
+                chunk = int(keys[0])  # its first row names a slice
+                made = [(chunk % n, chunk, b"", keys[row[several]].tobytes(), place[several].astype("<u4").tobytes(), b"")]
                 for p in range(n):
                     a, b = one[cut1[p] : cut1[p + 1]], many[cut2[p] : cut2[p + 1]]
                     a = a[np.argsort(order[a])]  # by document
@@ -217,13 +213,15 @@ def later_windows(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, doc: np.n
     off = np.cumsum(size) - size
     prefix = rolling(_BYTE[blob], BYTE_BASE)
     rank = np.empty(len(rel), np.int64)
-    rank[np.lexsort((lo + rel, key, doc))] = np.arange(len(rel))
+    rank[np.lexsort((key, lo + rel, doc))] = np.arange(len(rel))
     anchor = window_hash(prefix, off + rel, off + rel + seed, BYTE_BASE)
     whole = window_hash(prefix, off, off + size, BYTE_BASE)
     order = np.lexsort((rank, rel, size, whole, anchor))
     cols = [x[order] for x in (rel, size, whole, anchor)]
     new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in cols], axis=0)))
-    copies = order[~new & ~twins(~new, key[order], lo[order])]
+    twin = twins(~new, doc[order], lo[order])
+    copies = order[~new & ~twin]
+    leader = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))][twin]
     key_out, lo_out, n_out = [key[copies]], [lo[copies]], [wins[copies]]
     firsts = order[new]
     _, group, members = np.unique(anchor[firsts], return_inverse=True, return_counts=True)
@@ -249,9 +247,17 @@ def later_windows(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, doc: np.n
             later[again, at[again] + 1] = 1
         edge = np.diff(later, axis=1)
         which, begin = np.nonzero(edge == 1)
+        size = np.nonzero(edge == -1)[1] - begin
         key_out.append(key[c[which]])
         lo_out.append(lo[c[which]] + begin)
-        n_out.append(np.nonzero(edge == -1)[1] - begin)
+        n_out.append(size)
+        if len(leader):  # what holds for a context holds for its twins
+            by = np.argsort(c[which], kind="stable")
+            a, b = (np.searchsorted(c[which][by], leader, side) for side in ("left", "right"))
+            k = by[ranges(a, b - a)]
+            key_out.append(key[np.repeat(order[twin], b - a)])
+            lo_out.append(lo[c[which[k]]] + begin[k])
+            n_out.append(size[k])
     return tuple(np.concatenate(x) for x in (key_out, lo_out, n_out))  # type: ignore[return-value]
 
 
@@ -305,16 +311,16 @@ def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataF
                 # of equal contexts only the first leaves this slice; the windows of the others are known to be repeats
                 prefix = rolling(_BYTE[data], BYTE_BASE)
                 whole = window_hash(prefix, first, first + wins + length - 1, BYTE_BASE)
-                order = np.lexsort((first, keys[row], ids[row], at - first, wins, whole, h))
+                order = np.lexsort((keys[row], first - offsets[row], ids[row], at - first, wins, whole, h))
                 same = np.concatenate(([False], np.all([x[order][1:] == x[order][:-1] for x in (at - first, wins, whole, h)], axis=0)))
-                later = same & ~twins(same, keys[row[order]], first[order] - offsets[row[order]])
-                gone, order = order[later], order[~same]
+                later = same & ~twins(same, ids[row[order]], first[order] - offsets[row[order]])
+                gone, order = order[later], order[~later]
                 q = part_of(h[order], wide)
                 order = order[np.argsort(q, kind="stable")]
                 cuts = np.searchsorted(np.sort(q), np.arange(wide + 1))
                 lo = (first - offsets[row]).astype("<u4")
                 packed = keys[row[gone]].tobytes(), lo[gone].tobytes(), wins[gone].astype("<u4").tobytes()
-                made = [(int(abs(_chunk(keys)) % wide), *[b""] * 6, *packed)] if len(gone) else []
+                made = [(int(keys[0]) % wide, *[b""] * 6, *packed)] if len(gone) else []
                 for p in np.flatnonzero(np.diff(cuts)):
                     k = order[cuts[p] : cuts[p + 1]]
                     blob = data[ranges(first[k], wins[k] + length - 1)].tobytes()
@@ -333,7 +339,7 @@ def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataF
                 found.append(later_windows(part, rel[k], wins[k], doc[k], keys[k], lo[k], length, seed))
             key, lo, count = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(key):  # dealt by document
-                to = part_of(key.view(np.uint64), n)
+                to = part_of(mixed(key.view(np.uint64)), n)
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(n + 1))
                 some = np.flatnonzero(np.diff(cuts))
@@ -348,13 +354,14 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SE
     """docs with n_bytes, n_removed, n_spans and kept (binary, the remaining bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document of smaller doc_id, or earlier in its own. Null texts
-    are empty; null doc_ids come last. Rows that repeat doc_id but not text follow each other in the order of a hash; rows that repeat both are one
-    document, and each of them gets its result. Other columns pass through; columns named as the new ones are replaced.
+    are empty; null doc_ids come last. Rows that share a doc_id (null too) are one document: a string at the same start in both is no repeat, and
+    rows that repeat doc_id and text have the same result. An empty table gives an empty result. Other columns pass through; columns named as the
+    new ones are replaced.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    names = docs.columns
-    runs = later_runs(docs.select("doc_id", row_key(), "text").where("text is not null"), length, seed)
-    told = with_row(docs, row_key()).join(runs, "_key", "left").select("_row", "starts", "counts")
+    names, rows = docs.columns, numbered(docs)
+    runs = later_runs(rows.select(F.col("_row.doc_id").alias("doc_id"), "_key", F.col("_row.text").alias("text")).where("text is not null"), length, seed)
+    told = rows.join(runs, "_key", "left").select("_row", "starts", "counts")
     at_text, width = names.index("text"), len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,5 +386,6 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SE
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document: see without_repeated_bytes() for nulls, repeats and empty texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

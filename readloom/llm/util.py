@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,22 +18,25 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 #: Text bytes that one vectorised step takes at once (a longer text is a step of its own).
 STEP_BYTES = 2 << 20
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 1500
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 1500, 4 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS, unless they are shorter already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, unless they are shorter already."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """A new folder below the shared one the cluster names in spark.checkpoint.dir; a temporary one where that is unset, in local mode only."""
     short_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="readloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/readloom-{uuid.uuid4().hex}"
@@ -78,9 +82,9 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def row_key() -> Column:
-    """A hash of a document's id and text, by which tables of results find it again."""
-    return F.xxhash64("doc_id", "text").alias("_key")
+def numbered(docs: DataFrame) -> DataFrame:
+    """_key, a number for every row of docs, beside _row with all its columns. Written, so that the numbers hold; what reads _row.text reads no more."""
+    return written(with_row(docs, F.monotonically_increasing_id().alias("_key")))
 
 
 # ---------------------------------------------------------------- hashing on Arrow buffers
@@ -125,6 +129,7 @@ def window_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mixed((prefix[ends] - prefix[starts]) * powers(base, len(prefix))[1][starts])
 
 
+_ONES, _LANE = np.uint64(0xFFFFFFFFFFFFFFFF), 0x9FB21C651E98DF25
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -169,8 +174,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return window_hash(rolling(_BYTE[data], BYTE_BASE), starts, ends, BYTE_BASE)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of each data[starts:ends], none of which is empty. Eight bytes at a time are mixed with their place before they are summed, so that
+    no regular texts collide as they do under a polynomial; another seed gives an independent hash."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    lanes = (size + 7) >> 3
+    first = np.cumsum(lanes) - lanes
+    place = np.arange(int(first[-1] + lanes[-1])) - np.repeat(first, lanes)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    x = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[np.repeat(starts, lanes) + 8 * place]
+    last = first + lanes - 1
+    x[last] &= _ONES >> ((8 * lanes - size) * 8).astype(np.uint64)
+    x += (place + 1).astype(np.uint64) * np.uint64(_LANE * (2 * seed + 1) & 0xFFFFFFFFFFFFFFFF)
+    total = np.add.reduceat(mixed(x), first)
+    return mixed(total + size.astype(np.uint64) * np.uint64(_LANE) + np.uint64(seed))
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
