@@ -1,8 +1,11 @@
 """Token ids as binary shards with a minimal perfect hash index: constant-time keyed access over raw id payloads.
 
-A shard is one row of a Parquet table (part, seq order the shards; Parquet is only the container that Spark commits atomically):
+A shard is one row of an uncompressed Parquet table (part, seq order the shards, a folder for each part; Parquet is only
+the container that Spark commits atomically):
   n_docs, n_ids
-  payload   the ids of its documents in ascending key order, little-endian unsigned 32-bit
+  least, most   the first and the last doc_id, null where all are null
+  width     bytes of an id: 2 if all ids of the shard are below 65536, else 4
+  payload   the ids of its documents in ascending key order, little-endian unsigned
   keys      the documents' ids, int64 in payload order; nulls and repeats: see valid and turns
   valid     one byte per document, 0 where doc_id is null
   turns     uint32, how many earlier documents of the whole set have the same doc_id
@@ -12,26 +15,34 @@ A shard is one row of a Parquet table (part, seq order the shards; Parquet is on
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.bpe import KEPT_CHARS, Store
-from readloom.llm.util import mixed, partitions, scratch_dir, small_side, written
+from readloom.llm.bpe import byte_letters
+from readloom.llm.util import mixed, partitions, ranges, scratch_dir, small_side, steps, word_hashes, word_spans, written
 
 #: A shard is closed once it has so many ids or documents; one longer document is a shard of its own.
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 15
 #: Documents per bucket of the hash, on average.
 BUCKET = 4
-#: Documents whose new words are encoded together.
-TOGETHER = 1000
-SCHEMA = "part int, seq int, n_docs long, n_ids long, payload binary, keys binary, valid binary, turns binary, seeds binary, slots binary"
+#: Known words of a task; beyond, those not met again are forgotten, which changes no result.
+KNOWN = 1_000_000
+#: Fixed value: the word pattern of the vocabulary's pre-tokenizer; and what it comes to on words of ASCII and Latin letters, in lower case.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_EASY = re.compile("[!-~À-ÖØ-öø-įı-ſ]+").fullmatch
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+").findall
+_BYTES = {ord(c): "".join(byte_letters()[b] for b in c.encode()) for c in map(chr, range(0xC0, 0x180))}
+SCHEMA = "part int, seq int, n_docs long, n_ids long, least long, most long, width int, payload binary, keys binary, valid binary, turns binary, seeds binary, slots binary"
 _SLOT = np.dtype([("print", "<u4"), ("first", "<u4"), ("count", "<u4")])
 
 
@@ -89,8 +100,38 @@ def find(h: np.ndarray, seeds: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return np.where(slots["print"][at] == fingerprints(h), at, -1)
 
 
+class _Known:
+    """Words by two independent hashes (sorted by the first), and their ids, one after another. Beyond KNOWN words, those not met again are forgotten."""
+
+    def __init__(self):
+        self.a, self.b, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 where it isn't known."""
+        if not len(self.a):
+            return np.full(len(a), -1)
+        at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+        return np.where((self.a[at] == a) & (self.b[at] == b), at, -1)
+
+    def forget(self) -> None:
+        keep = np.flatnonzero(self.again)
+        self.a, self.b, self.first, self.count = (x[keep] for x in (self.a, self.b, self.first, self.count))
+        self.ids, self.first = self.ids[ranges(self.first, self.count)], np.cumsum(self.count) - self.count
+        self.again = np.zeros(len(keep), bool)
+
+    def add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        first = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate((self.ids, ids))
+        every = [np.concatenate(x) for x in ((self.a, a), (self.b, b), (self.first, first), (self.count, count), (self.again, np.zeros(len(a), bool)))]
+        order = np.argsort(every[0], kind="stable")
+        self.a, self.b, self.first, self.count, self.again = (x[order] for x in every)
+
+
 class Words:
-    """Encodes texts word by word with the tokenizers library, for a vocabulary that drops white space, and keeps the bytes of words seen."""
+    """Encodes texts with the tokenizers library, for a vocabulary that drops white space and lowers case. Each different word goes to the library once
+    (again when it has been forgotten): plain ASCII to its model, cut by the vocabulary's rule, and other Latin letters too, anything else, and all words of a file with other rules,
+    through the whole library. The texts themselves are put together from known words in whole batches."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -98,68 +139,127 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.store = Store()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit; none for a null. What stands between blanks is encoded alone."""
-        split = [text.translate(_BLANKS).split(" ") if text else [] for text in texts]
-        words = set(chain.from_iterable(split))
-        ids = self.store.known(words)
-        lost = list(words.difference(ids))
-        found = (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(lost, add_special_tokens=False))
-        fresh = dict(zip(lost, found, strict=True))
-        self.store.add({w: x for w, x in fresh.items() if len(w) <= KEPT_CHARS})
-        ids.update(fresh)
-        return [b"".join(map(ids.__getitem__, parts)) for parts in split]
-
-
-@lru_cache(maxsize=2)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        steps = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": WORDS} and not cuts[1].get("add_prefix_space")
+        self.special = [t["content"] for t in file.get("added_tokens", [])]
+        self.known = _Known()
+
+    def lone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without blanks, one after another, and their number."""
+        model, seen, odd = self.tokenizer.model.tokenize, {}, []
+        out, count = array("I"), array("q")
+        for word in words:
+            if self.plain and _EASY(word) and not ("<|" in word and any(s in word for s in self.special)):
+                low, before = word.lower(), len(out)
+                for piece in (low,) if low.isalpha() else _PIECES(low):
+                    ids = seen.get(piece)
+                    if ids is None:
+                        ids = seen[piece] = [t.id for t in model(piece if piece.isascii() else piece.translate(_BYTES))]
+                    out.extend(ids)
+                count.append(len(out) - before)
+            else:
+                odd.append(word)
+                count.append(-1)
+        ids, size = np.array(out, np.uint32), np.array(count, np.int64)
+        if odd:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            at = np.flatnonzero(size < 0)
+            size[at] = 0
+            place = np.repeat((np.cumsum(size) - size)[at], [len(x) for x in found])
+            size[at] = [len(x) for x in found]
+            ids = np.insert(ids, place, np.array([i for x in found for i in x], np.uint32))
+        return ids, size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, one after another, and the rows' offsets among them."""
+        starts, ends, rows = word_spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        a, b = word_hashes(data, starts, ends), word_hashes(data, starts, ends, 2)
+        while True:
+            each, some, of = np.unique(a, return_index=True, return_inverse=True)
+            same = b == b[some][of]
+            if same.all():
+                break
+            a = np.where(same, a, mixed(a + b))  # words that share the first hash alone
+        pair = each, b[some]
+        known = self.known
+        at = known.find(*pair)
+        if (at < 0).sum() + len(known.a) > KNOWN:
+            known.again[at[at >= 0]] = True
+            known.forget()
+            at = known.find(*pair)
+        known.again[at[at >= 0]] = True
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            words = [data[s:e].tobytes().decode() for s, e in zip(starts[some[lost]].tolist(), ends[some[lost]].tolist(), strict=True)]
+            known.add(pair[0][lost], pair[1][lost], *self.lone(words))
+            at = known.find(*pair)
+        per_word = known.count[at][of]
+        return known.ids[ranges(known.first[at][of], per_word)], np.concatenate(([0], np.cumsum(per_word)))[rows]
+
+
+@lru_cache(maxsize=1)
 def _library(path: str) -> Words:
     return Words(path)
 
 
-_BLANKS = str.maketrans("\n\t\r", "   ")
-
-
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
     """Writes the ids of docs (doc_id, text) in ascending doc_id order to shards below path, nulls first; repeats of a doc_id in the order of
     their text's hash. Every document ends with end_id; a null or empty text has that one id. An empty table gives no shard."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seq = _library(vocabulary), TaskContext.get().partitionId(), 0
-        last, turn = object(), 0
+        last, turn = None, 0
         end = np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []
         rows: list[tuple[int, int, int]] = []
         held = 0
-        for batch in (x.iloc[at : at + TOGETHER] for x in batches for at in range(0, len(x), TOGETHER)):
-            for key, null, data in zip(batch["_key"], batch["_null"], words.encode(list(batch["text"])), strict=True):
-                turn = turn + 1 if last == (key, null) else 0
-                last = (key, null)
-                ids.append(data + end)
-                rows.append((key, not null, turn))
-                held += len(ids[-1]) // 4
-                if held >= SHARD_IDS or len(rows) >= SHARD_DOCS:
-                    yield shard(part, seq, ids, rows)
-                    seq, held, ids, rows = seq + 1, 0, [], []
+        for batch in batches:
+            for step, data, offsets in steps(batch, "text"):
+                found, cuts = words.encode(data, offsets)
+                found = found.astype("<u4", copy=False)
+                for key, null, a, b in zip(step.column("_key").to_pylist(), step.column("_null").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    turn = turn + 1 if last == (key, null) else 0
+                    last = (key, null)
+                    ids.append(found[a:b].tobytes() + end)
+                    rows.append((key, not null, turn))
+                    held += b - a + 1
+                    if held >= SHARD_IDS or len(rows) >= SHARD_DOCS:
+                        yield shard(part, seq, ids, rows)
+                        seq, held, ids, rows = seq + 1, 0, [], []
         if rows:
             yield shard(part, seq, ids, rows)
 
     n = partitions(docs.sparkSession)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_key"), F.col("doc_id").isNull().alias("_null"), "text")
     ordered = keyed.repartitionByRange(n, F.desc("_null"), "_key").sortWithinPartitions(F.desc("_null"), "_key", F.xxhash64("text"))
-    ordered.mapInPandas(build, SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(build, SCHEMA).write.partitionBy("part").option("compression", "none").parquet(path)
 
 
-def shard(part: int, seq: int, ids: list[bytes], rows: list[tuple[int, int, int]]) -> pd.DataFrame:
+def shard(part: int, seq: int, ids: list[bytes], rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     keys, valid, turns = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.int64, np.uint8, np.uint32), strict=True))
     counts = np.array([len(x) // 4 for x in ids], np.int64)
     h = key_hashes(keys, valid, turns)
     seeds, slot = build_hash(h)
     slots = np.zeros(len(h), _SLOT)
     slots["print"][slot], slots["first"][slot], slots["count"][slot] = fingerprints(h), np.cumsum(counts) - counts, counts
-    row = (part, seq, len(h), int(counts.sum()), b"".join(ids), keys.tobytes(), valid.tobytes(), turns.tobytes(), seeds.tobytes(), slots.tobytes())
-    return pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    known = keys[valid == 1].tolist()
+    payload = np.frombuffer(b"".join(ids), "<u4")
+    width = 2 if not len(payload) or payload.max() < 1 << 16 else 4
+    heads = [[part], [seq], [len(h)], [int(counts.sum())], known[:1] or [None], known[-1:] or [None], [width]]
+    packed = (payload.astype(f"<u{width}").tobytes(), *(x.tobytes() for x in (keys, valid, turns, seeds, slots)))
+    columns = [*(pa.array(x, t) for x, t in zip(heads, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.int32()), strict=True)), *(pa.array([x], pa.binary()) for x in packed)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def _ids(payload: bytes, width: int, first: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Each document's ids of a shard's payload, as little-endian unsigned 32-bit."""
+    spans = zip((width * first.astype(np.int64)).tolist(), (width * (first.astype(np.int64) + count)).tolist(), strict=True)
+    return [payload[a:b] if width == 4 else np.frombuffer(payload[a:b], "<u2").astype("<u4").tobytes() for a, b in spans]
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -182,7 +282,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 if (at < 0).any():
                     raise ValueError(f"shard {row.part}/{row.seq}: a key isn't in its index")
                 first, count = slots["first"][at].astype(np.int64), slots["count"][at].astype(np.int64)
-                ids = [row.payload[4 * a : 4 * (a + n)] for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+                ids = _ids(row.payload, row.width, first, count)
                 doc = pd.array(keys.copy(), dtype="Int64")
                 doc[valid == 0] = pd.NA
                 yield pd.DataFrame({"doc_id": doc, "start": row.start + first, "n_tokens": count, "ids": ids})
@@ -192,6 +292,37 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(small_side(starts), ["part", "seq"]).mapInPandas(look_up, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """doc_id, turn, ids (little-endian binary) of each stored document whose doc_id is in keys (doc_id); absent and null keys give nothing.
+
+    The shards' key ranges, two numbers a shard, lead from a key to its shards; only the files that hold them are read, and in each shard the hash leads
+    to the slot, whose fingerprint tells absent keys (one in 2**32 is taken for another). Keys meet ranges by a join on steps, not by all pairs."""
+    shards = spark.read.schema(SCHEMA).parquet(path)
+    heads = shards.select("part", "seq", "least", "most").where("least is not null")
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    width = heads.agg(F.greatest(F.max(F.col("most") - F.col("least")), F.lit(0)).alias("w")).first()["w"] or 0
+    step = lambda c: F.floor(F.col(c) / F.lit(width + 1))  # noqa: E731  a shard lies in two steps at most
+    near = heads.withColumn("_step", F.explode(F.array_distinct(F.array(step("least"), step("most")))))
+    wanted = asked.withColumn("_step", step("doc_id")).join(near, "_step").where("doc_id between least and most").groupBy("part", "seq").agg(F.collect_set("doc_id").alias("asked"))
+    wanted = written(wanted)
+    parts = [r["part"] for r in wanted.select("part").distinct().collect()]  # a number for each file at most
+    body = shards.where(F.col("part").isin(parts)).select("part", "seq", "width", "payload", "seeds", "slots")
+
+    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                seeds, slots = np.frombuffer(row.seeds, np.int32), np.frombuffer(row.slots, _SLOT)
+                key, turn = np.asarray(row.asked, np.int64), 0
+                while len(key):  # the next repeat of the keys found
+                    at = find(key_hashes(key, np.ones(len(key), np.uint8), np.full(len(key), turn, np.uint32)), seeds, slots)
+                    key, at = key[at >= 0], at[at >= 0]
+                    ids = _ids(row.payload, row.width, slots["first"][at], slots["count"][at])
+                    yield pd.DataFrame({"doc_id": key, "turn": turn, "ids": ids})
+                    turn += 1
+
+    return body.join(small_side(wanted), ["part", "seq"]).select("width", "payload", "seeds", "slots", "asked").mapInPandas(get, "doc_id long, turn long, ids binary")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids, reads the files back and returns each document's place and checksum."""
     import public_tokenizers
