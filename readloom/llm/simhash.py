@@ -9,11 +9,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.components import components
-from readloom.llm.util import _SPACE, mixed, partitions, row_key, small_side, steps, with_row, word_spans, written
+from readloom.llm.util import _SPACE, mixed, partitions, small_side, steps, with_row, word_spans, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -215,6 +215,8 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFram
 #: Bits of the fingerprint that is compared before the sets, and the bits in which sets of similarity 0.8 differ at most, small ones (up to SMALL
 #: shingles, whose bits vary more) and others. 19 of 128 are usual; more than these have a chance below 1 in 100,000.
 WIDE, WIDE_RADIUS, SET_RADIUS, SMALL = 128, 48, 44, 64
+#: Bits of the sketch that proves sets of up to about a thousand shingles to be unlike before whole sets are fetched.
+PARITY = 512
 #: Texts whose shingles are all counted (of more, about the root of their number times this one's root), count of a common one, common ones at most.
 COUNTED, COMMON, MOST_COMMON = 20_000, 3, 250_000
 
@@ -229,6 +231,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return h[fresh], np.searchsorted(row[fresh], np.arange(len(cuts)))
 
 
+def parities(h: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """A sketch of each row's set: of PARITY bits each, whether an odd number of its shingles hash there. Two sketches differ in at most as many bits as
+    there are shingles in one set alone, so that a larger difference proves a lower similarity."""
+    n = len(cuts) - 1
+    at = np.repeat(np.arange(n), np.diff(cuts)) * PARITY + (mixed(h ^ np.uint64(PARITY)) % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * PARITY) & 1).astype(bool).reshape(n, PARITY)
+    return [x.tobytes() for x in np.packbits(odd, axis=1)]
+
+
 def prefixes(h: np.ndarray, cuts: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, rows): of each row's set the first shingles in one order of all shingles, so many that two sets of the similarity share one of them.
 
@@ -246,17 +257,22 @@ def prefixes(h: np.ndarray, cuts: np.ndarray, similarity: float, common: np.ndar
     return h[first], row[first]
 
 
+def _key() -> Column:
+    """128 bits that stand for a row's doc_id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.col("doc_id").cast("string"), F.lit(":")), F.lit("")), F.coalesce("text", F.lit(""))))).alias("_key")
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """_key, keep_id, kept for each distinct (doc_id, text) that has a near copy: words in shingles of width, sets with a Jaccard similarity of at
     least similarity; of each component the smallest doc_id stays (null last).
 
     Equal sets are one node. Sets meet in a bucket for each shingle of their prefix, which no pair of the similarity escapes, and their fingerprints are
     compared there bit-sliced. First, a set is held against its nearest and the first within reach in each bucket; then all pairs within reach are,
-    but those that verified links have joined already. Each link is verified on the whole sets, so nothing below similarity is joined. Texts without
-    words have no copies. _key is row_key() of the row.
+    but those that verified links have joined already or whose sketches prove them unlike. Each link is verified on the whole sets, so nothing below similarity is joined. Texts without
+    words have no copies. _key is _key() of the row.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def identity(h: np.ndarray, cuts: np.ndarray, some: np.ndarray) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(h[cuts[i] : cuts[i + 1]].tobytes()) for i in some.tolist()], np.uint64).view(np.int64)
@@ -267,9 +283,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
                 h, cuts = shingle_sets(data, offsets, width)
                 some = np.flatnonzero(np.diff(cuts))
                 take = pa.array(some)
-                yield pa.RecordBatch.from_arrays([part.column("_key").take(take), part.column("doc_id").take(take), pa.array(identity(h, cuts, some))], ["_key", "doc_id", "node"])
+                yield pa.RecordBatch.from_arrays([part.column("_key").take(take), part.column("doc_id").take(take), pa.array(identity(h, cuts, some)), pa.array(parities(h, cuts), pa.binary()).take(take)], ["_key", "doc_id", "node", "sketch"])
 
-    prints = written(rows.mapInArrow(of, "_key long, doc_id long, node long").dropDuplicates(["_key"]))
+    prints = written(rows.mapInArrow(of, "_key binary, doc_id long, node long, sketch binary").dropDuplicates(["_key"]))
     one_in = max(1, math.ceil(math.sqrt(prints.count() / COUNTED)))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,14 +391,19 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             some = np.flatnonzero(np.repeat(mixed_, np.diff(np.append(starts, len(key)))))
             if not len(some):
                 continue
-            node, root = node[some], root[some]
+            node, root, size = node[some], root[some], batch.column("size").to_numpy()[some]
+            sketch = np.frombuffer(b"".join(x.as_py() for x in batch.column("sketch").take(pa.array(some))), np.uint64).reshape(len(some), -1)
             for i, j, _ in close(batch, some):
                 apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
+                apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-9
                 i, j = node[i[apart]], node[j[apart]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["a", "b"])
 
     members = met.select("key", F.col("a").alias("node"), "p0", "p1", "size").distinct()
-    members = members.join(small_side(roots), "node", "left").select("key", "node", "p0", "p1", "size", F.coalesce("component", "node").alias("root"))
+    members = members.join(small_side(roots), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    sketches = written(prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
+    members = members.join(small_side(sketches), "node").select("key", "node", "p0", "p1", "size", "root", "sketch")
     others = members.repartition(n, "key").sortWithinPartitions("key").mapInArrow(rest, "a long, b long").distinct()
     others = written(others.join(pairs, ["a", "b"], "left_anti"))
     roots = written(components(links.unionByName(verified(others)), "a", "b"))
@@ -394,8 +415,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs but near copies of a row that stays; all columns pass through. Rows that repeat doc_id and text stay or go together."""
     gone = written(near_copies(docs, width, similarity).where("not kept").select("_key"))
-    return with_row(docs, row_key()).join(small_side(gone), "_key", "left_anti").select("_row.*")
+    return with_row(docs, _key()).join(small_side(gone), "_key", "left_anti").select("_row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document: see simhash_groups()."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
