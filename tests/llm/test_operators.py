@@ -19,10 +19,10 @@ from readloom.llm.embedding_dedup import near_vectors
 from readloom.llm.exact_dedup import exact_dedup, exact_groups
 from readloom.llm.packing import pack_documents, plan
 from readloom.llm.quality import features, fit, quality_scores, train
-from readloom.llm.simhash import close_lanes, prefixes, simhash_groups, without_near_copies
+from readloom.llm.simhash import close_lanes, parities, prefixes, simhash_groups, without_near_copies
 from readloom.llm.substring_dedup import without_repeats
 from readloom.llm.suffix_dedup import BlindTrie, sort_suffixes, without_repeated_bytes
-from readloom.llm.token_files import build_hash, find, fingerprints, read_documents, write_shards
+from readloom.llm.token_files import build_hash, find, fingerprints, lookup, read_documents, write_shards
 from readloom.llm.url_filter import RULES, filter_urls
 from readloom.llm.util import mixed, scratch_dir
 
@@ -270,6 +270,15 @@ def test_prefixes_of_similar_sets_meet():
         assert len(y) < 0.8 * len(x) or got[0] & got[1]
 
 
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 900, rng.integers(0, 700))).astype(np.uint64) for _ in range(60)]
+    made = [np.frombuffer(x, np.uint64) for x in parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))]
+    for x, a in zip(sets, made, strict=True):
+        for y, b in zip(sets, made, strict=True):
+            assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7), (None, 1)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
@@ -292,9 +301,22 @@ def test_token_files(spark, docs, none):
         at += r["n_tokens"]
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert order == sorted(order, key=lambda x: (x is not None, x or 0))
+    keys = spark.createDataFrame([(4,), (4,), (7,), (12345,), (-3,), (None,)], "doc_id long")
+    found = lookup(spark, path, keys).collect()
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in found) == Counter((i, x) for i in (4, 7) for x in of[i])
+    assert lookup(spark, path, keys.limit(0)).count() == 0
     path = scratch_dir(spark)
     write_shards(none, WORD, 2, path)
-    assert read_documents(spark, path).count() == 0
+    assert read_documents(spark, path).count() == 0 and lookup(spark, path, keys).count() == 0
+
+
+def test_a_lookup_reads_the_files_of_its_keys_alone(spark):
+    path = scratch_dir(spark)
+    write_shards(spark.range(400).selectExpr("id as doc_id", "concat('text ', id) as text"), WORD, 2, path)
+    got = lookup(spark, path, spark.createDataFrame([(77,)], "doc_id long"))
+    assert [bytes(r["ids"]) for r in got.collect()] == [np.array([*Tokenizer.from_file(WORD).encode("text 77", add_special_tokens=False).ids, 2], "<u4").tobytes()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ = \d+", plan) and spark.read.parquet(path).select("part").distinct().count() > 1
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])
@@ -411,3 +433,46 @@ def test_features_of_empty_and_odd_texts():
     x = features(np.frombuffer(data, np.uint8), np.array([0, 0, 1, 2, len(data)]))
     assert x.shape[0] == 4 and np.isfinite(x).all()
     assert features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[0] == 0
+
+
+def test_regular_words_of_one_polynomial_hash_are_told_apart(spark):
+    """Two long words built from a/b and b/a by doubling, which collide under any polynomial modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    same = [f"w{i}" for i in range(34)]
+    table = spark.createDataFrame([(1, " ".join([*same[:17], a, *same[17:]])), (2, " ".join([*same[:17], b, *same[17:]]))], "doc_id long, text string")
+    assert [r["n_removed"] for r in without_repeats(table).collect()] == [0, 0]
+
+
+def test_long_texts_over_a_step(spark):
+    """Texts longer than what one vectorised step takes, with a passage that repeats across them and a single hot string."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    passage = text(60)
+    table = spark.createDataFrame([(1, text(350_000) + " " + passage), (2, passage + " " + text(10)), (3, "x" * 3_000_000), (4, passage)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in without_repeats(table).select("doc_id", "n_removed").collect()}
+    assert got == {1: 60, 2: 60, 3: 0, 4: 60}
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in without_repeated_bytes(table).select("doc_id", "n_removed", "n_spans").collect()}
+    assert got[1] == (0, 0) and got[3] == (3_000_000 - 1, 1) and got[4] == (len(passage), 1) and got[2][0] >= len(passage)
+
+
+def test_vectors_of_two_lengths_and_odd_ids(spark):
+    rng = np.random.default_rng(5)
+    wide = [[float(x) for x in rng.normal(size=16)] for _ in range(40)]
+    short = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
+    rows = [(i, v) for i, v in enumerate(wide)] + [(50, short), (51, short), (52, [2 * x for x in short]), (52, short), (None, wide[3])]
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = Counter([(i, 1 if i == 3 else 0, i, True) for i in range(40)] + [(50, 3, 50, True), (51, 3, 50, False), (52, 3, 50, False), (52, 3, 50, False), (None, 1, 3, False)])
+    assert got == want
+
+
+def test_a_component_wider_than_a_tile(spark):
+    rng = np.random.default_rng(6)
+    center = rng.normal(size=12)
+    x = center + 0.11 * np.linalg.norm(center) / 12**0.5 * rng.normal(size=(2300, 12))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(table).select("vec_id", "n_links").collect()}
+    assert [got[i] for i in range(len(x))] == near.tolist()
