@@ -59,6 +59,12 @@ def pack_bases(bases: Column) -> Column:
     return F.when(F.length(bases) == 0, F.lit("")).otherwise(F.array_join(nibbles, ""))
 
 
+def unpack_bases(packed: Column, n: Column) -> Column:
+    """The first n bases of pack_bases()."""
+    four = F.transform(F.sequence(F.lit(1), F.greatest(F.length(packed), F.lit(1)), F.lit(2)), lambda i: F.lpad(F.conv(F.substring(packed, i, F.lit(2)), 16, 4), 4, "0"))
+    return F.when(n == 0, F.lit("")).otherwise(F.translate(F.substring(F.array_join(four, ""), F.lit(1), n.cast("int")), "0123", "ACGT"))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing places of two strings, up to the end of the shorter."""
     return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x.isNotNull() & y.isNotNull() & (x != y)).cast("int")), F.lit(0), lambda s, x: s + x)

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.seeds import SEED_K, seeds_of
+from readloom.operators.seeds import LEAST, SEED_K, seeds_of
 
 #: Bases within which a seed looks back, k-mers that a chain covers at least, share of a step that the diagonal may move when it replaces its predecessor.
-LOOK_BACK, LEAST_KMERS, DRIFT = 1000, 2, 0.2
+LOOK_BACK, LEAST_KMERS, DRIFT = 1000, LEAST, 0.2
 SCHEMA = "aread long, bread long, score long, afirst long, alast long, bfirst long, blast long"
 
 

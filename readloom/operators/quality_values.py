@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.huffman import decode, encode, runs, scheme, unrun
+from readloom.sources.tables import READS_SQL, reads
+
 #: The symbol that counts as the run character.
 RUN = " "
 
@@ -55,6 +61,93 @@ def sorted_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count_if(F.col("doc_id") <= F.col("before")).alias("out_of_order"), F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- codec of quality entries
+
+
+_STREAMS = ["del", "ins", "mrg", "sub"]
+
+
+def quality_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, header and five lines of equal length: deletion values and tags, insertion, merge and substitution values, all functions of the bases."""
+    seq = F.col("seq")
+    shift = lambda by: F.translate(seq, "ACGT", by)
+    lines = {"del": shift("!!!%"), "tag": F.translate(F.regexp_replace(seq, "[ACG]", "n"), "T", "a"), "ins": shift('"#$%'), "mrg": F.translate(F.reverse(seq), "ACGT", "+++0"), "sub": shift("5556")}
+    return reads(spark, sf_dir).select("read_id", F.format_string("@m/%d/0_%d RQ=0.850", "read_id", "rlen").alias("header"), *[c.alias(k) for k, c in lines.items()])
+
+
+def read_quiva(lines: DataFrame) -> DataFrame:
+    """Entries of a text of six lines each (value, one entry a row, lines parted by a line feed): header, del, tag, ins, mrg, sub; lines of unequal length
+    are an error."""
+    part = F.split("value", "\n", -1)
+    named = [part[i].alias(c) for i, c in enumerate(["header", "del", "tag", "ins", "mrg", "sub"])]
+    told = lines.select(*named).withColumn("well", F.regexp_extract("header", r"^@[^/]*/(\d+)/", 1).cast("long"))
+    odd = F.exists(F.array("tag", "ins", "mrg", "sub"), lambda x: F.length(x) != F.length("del"))
+    return told.withColumn("del", F.when(odd, F.raise_error(F.concat(F.lit("lines of unequal length: "), F.col("header")))).otherwise(F.col("del")))
+
+
+def quality_schemes(entries: DataFrame, char: str) -> dict[str, dict[int, str]]:
+    """Prefix codes of the four streams and of the runs of char among deletion values, from histograms over all entries (255 rows a stream at most)."""
+    made = {}
+    for c in _STREAMS:
+        signs = entries.select(F.explode(F.split(c, "")).alias("s")).where("s != ''").groupBy(F.ascii("s").alias("s")).count()
+        made[c] = scheme({r["s"]: r["count"] for r in signs.collect()} | {ord(char): 1})
+    gaps = entries.select(F.explode(F.split("del", f"[^{char}]", -1)).alias("g")).select(F.least(F.length("g"), F.lit(255)).alias("n")).groupBy("n").count()
+    made["runs"] = scheme({r["n"]: r["count"] for r in gaps.collect()} | {255: 1, 0: 1})
+    return made
+
+
+def compressed(entries: DataFrame, codes: dict[str, dict[int, str]], char: str, lossy: bool = False) -> DataFrame:
+    """well, n and the streams' codes. Tags go in two bits and only where the deletion value isn't char; lossy: a bit less of insertions, two of merges."""
+    letters = {c: i for i, c in enumerate("acgt")}
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                values = {c: list(getattr(r, c).encode()) for c in ("dele", "ins", "mrg", "sub")}
+                if lossy:
+                    values["ins"], values["mrg"] = [x >> 1 << 1 for x in values["ins"]], [x >> 2 << 2 for x in values["mrg"]]
+                pairs = runs(values["dele"], ord(char))
+                tags = [letters[t.lower()] for t, d in zip(r.tag, r.dele, strict=True) if d != char]
+                bits = "".join(format(t, "02b") for t in tags)
+                out.append((r.well, len(r.dele), len(pairs), encode([n for n, _ in pairs], codes["runs"], 16), encode([s for _, s in pairs[:-1]], codes["del"]),
+                            int("1" + bits, 2).to_bytes(len(bits) // 8 + 1, "big"), *(encode(values[c], codes[c]) for c in ("ins", "mrg", "sub"))))
+            yield pd.DataFrame(out, columns=["well", "n", "pairs", "runs", "del", "tag", "ins", "mrg", "sub"])
+
+    narrow = entries.select("well", F.col("del").alias("dele"), "tag", "ins", "mrg", "sub")
+    return narrow.mapInPandas(pack, "well long, n long, pairs long, runs binary, del binary, tag binary, ins binary, mrg binary, sub binary")
+
+
+def uncompressed(packed: DataFrame, codes: dict[str, dict[int, str]], char: str) -> DataFrame:
+    """well and the five lines of compressed() entries; tags are n where there is none."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.rename(columns={"del": "dele"}).itertuples(index=False):
+                symbols = [*decode(r.dele, r.pairs - 1, codes["del"]), -1]
+                values = unrun(list(zip(decode(r.runs, r.pairs, codes["runs"], 16), symbols, strict=True)), ord(char))
+                bits = format(int.from_bytes(r.tag, "big"), "b")[1:]
+                tags = iter("acgt"[int(bits[i : i + 2], 2)] for i in range(0, len(bits), 2))
+                lines = [bytes(decode(getattr(r, c), r.n, codes[c])).decode() for c in ("ins", "mrg", "sub")]
+                out.append((r.well, bytes(values).decode(), "".join("n" if v == ord(char) else next(tags) for v in values), *lines))
+            yield pd.DataFrame(out, columns=["well", "del", "tag", "ins", "mrg", "sub"])
+
+    return packed.mapInPandas(unpack, "well long, del string, tag string, ins string, mrg string, sub string")
+
+
+def qv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every read's quality lines after they were read from text, compressed and uncompressed; insertions and merges lose bits."""
+    text = quality_entries(spark, sf_dir).select(F.concat_ws("\n", "header", "del", "tag", "ins", "mrg", "sub").alias("value"))
+    entries = read_quiva(text)
+    first = entries.where(F.lower("tag").contains("n")).select(F.substring(F.col("del"), F.instr(F.lower("tag"), "n"), F.lit(1)).alias("c"))
+    char = first.agg(F.min("c").alias("c")).first()["c"] or "!"  # the deletion value at a tag that says none
+    rounded = lambda c, bits: F.concat_ws("", F.transform(F.split(c, ""), lambda s: F.when(s == "", s).otherwise(F.chr(F.shiftleft(F.shiftright(F.ascii(s), bits), bits)))))
+    codes = quality_schemes(entries.withColumns({"ins": rounded("ins", 1), "mrg": rounded("mrg", 2)}), char)
+    back = uncompressed(compressed(entries, codes, char, lossy=True), codes, char)
+    return back.select(F.col("well").alias("read_id"), *[F.md5(c).alias(f"{c}_md5") for c in ("del", "tag", "ins", "mrg", "sub")])
+
+
 _Q = "q as (select doc_id as read_id, coalesce(text, '') as qv from documents)"
 _H = "h as (select cast(unicode(s) as bigint) as c, count(*) as n from (select unnest(regexp_extract_all(qv, '(?s).')) as s from q) group by 1)"
 QUERIES = {
@@ -62,6 +155,7 @@ QUERIES = {
     "qv_runs": (qv_runs, f"with {_Q} select cast(length(r) as bigint) as length, count(*) as n from (select unnest(regexp_extract_all(qv, ' +')) as r from q) group by 1"),
     "qv_pack_tags": (qv_pack_tags, f"with {_Q} select read_id, length(replace(qv, ' ', '')) as packed, md5(replace(qv, ' ', '')) as tags_md5, md5(replace(qv, ' ', 'n')) as unpacked_md5 from q"),
     "qv_lossy": (qv_lossy, f"with {_Q}, {_H} select c // 2 * 2 as ins, c // 4 * 4 as mrg, cast(sum(n) as bigint) as n from h group by 1, 2"),
+    "qv_roundtrip": (qv_roundtrip, f"with {READS_SQL} select read_id, md5(translate(seq, 'ACGT', '!!!%')) as del_md5, md5(translate(seq, 'ACGT', 'nnna')) as tag_md5, md5(translate(seq, 'ACGT', '\"\"$$')) as ins_md5, md5(translate(reverse(seq), 'ACGT', '(((0')) as mrg_md5, md5(translate(seq, 'ACGT', '5556')) as sub_md5 from reads"),
     "track_extra_reduce": (track_extra_reduce, "with b as (select lang, source, sum(n_chars) as total, count(*) as n from documents group by 1, 2) select lang, cast(sum(total) as bigint) as total, cast(sum(n) as bigint) as n, min(n) = max(n) as agrees from b group by lang"),
     "sorted_check": (sorted_check, "with d as (select source, doc_id, lag(doc_id) over (partition by source order by doc_id) as before from documents) select source, count(*) filter (doc_id <= before) as out_of_order, count(*) as n from d group by source"),
 }

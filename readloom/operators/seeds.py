@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from readloom.functions import bases as B
 from readloom.operators.reads import _TRACKS, mask_tracks, merged_masks, unmasked
-from readloom.sources.tables import CONTIGS_SQL, RC_SQL, READS_SQL, complemented, contigs, kmers, kmers_sql, reads, spread
+from readloom.sources.tables import CHUNK, CONTIGS_SQL, RC_SQL, READS_SQL, complemented, contigs, kmers, kmers_sql, reads, spread
 
 #: k of the index queries and of the seed queries, k-mers of a code at which it is dropped, hits that a budget allows, greatest product cap, width of
-#: a diagonal band, near-best share, spacing of the profile, slack of dominance and of zones, scores' ratio of dominance.
-K, SEED_K, MOST_KMERS, BUDGET, MOST_CAP, BAND, NEAR, SPACING, SLACK, ZONE, RATIO = 20, 12, 20, 100_000, 10_000, 64, 0.95, 100, 300, 10, 0.9
+#: a diagonal band, near-best share, spacing of the profile, slack and scores' ratio of dominance, k-mers that a significant candidate covers.
+K, SEED_K, MOST_KMERS, BUDGET, MOST_CAP, BAND, NEAR, SPACING, SLACK, RATIO, LEAST = 20, 12, 20, 100_000, 10_000, 64, 0.95, 100, 300, 0.9, 3
 
 
 def explode_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per read: its k-mers, distinct codes and the sum of their places."""
-    each = kmers(reads(spark, sf_dir), "read_id", K).groupBy("read_id", "code").agg(F.count("*").alias("c"), F.sum("rpos").alias("p"))
-    return each.groupBy("read_id").agg(F.sum("c").cast("long").alias("n"), F.count("*").alias("codes"), F.sum("p").cast("long").alias("places"))
+    """Per read: its k-mers, distinct codes and the sum of their places. All of it is the read's own, so that no k-mer leaves its row."""
+    table = spread(reads(spark, sf_dir).select("read_id", "seq", "rlen")).where(F.col("rlen") >= K)
+    parts = F.transform(F.sequence(F.lit(0), F.col("rlen") - K, F.lit(CHUNK)), lambda at: F.substring("seq", at + 1, F.lit(CHUNK + K - 1)))
+    codes = F.flatten(F.transform(parts, lambda part: F.transform(F.sequence(F.lit(1), F.length(part) - (K - 1)), lambda i: F.substring(part, i, F.lit(K)))))
+    n = (F.col("rlen") - (K - 1)).cast("long")
+    return table.select("read_id", n.alias("n"), F.size(F.array_distinct(codes)).cast("long").alias("codes"), (n * (F.col("rlen") + (K - 2)) / 2).cast("long").alias("places"))
 
 
 def masked_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +102,15 @@ def seed_product_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("product").agg(F.count("*").alias("codes"), F.sum("product").cast("long").alias("seeds"))
 
 
+def capped_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds per read and contig, of the codes under the product cap alone: codes are judged on counts before any of their seeds is made."""
+    products = _products(spark, sf_dir)
+    kept = products.join(F.broadcast(cap_limit(products)), F.col("product") < F.col("limit")).select("code")  # one row
+    a = kmers(reads(spark, sf_dir), "read_id", SEED_K).select(F.col("read_id").alias("aread"), "code").join(kept, "code")
+    b = kmers(contigs(spark, sf_dir), "contig_id", SEED_K).select(F.col("contig_id").alias("bread"), "code")
+    return a.join(b, "code").groupBy("aread", "bread").agg(F.count("*").alias("seeds"))
+
+
 def seed_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("aread", "bread").orderBy("apos", "bpos")
     return seed_join(spark, sf_dir).withColumn("rank", F.row_number().over(order).cast("long"))
@@ -135,8 +147,8 @@ def near_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def significant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that cover at least twice a k-mer."""
-    return diag_band_candidates(spark, sf_dir).where(F.col("covered") >= 2 * SEED_K)
+    """Candidates that cover at least LEAST k-mers."""
+    return diag_band_candidates(spark, sf_dir).where(F.col("covered") >= LEAST * SEED_K)
 
 
 def dominance_orderfree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,15 +159,6 @@ def dominance_orderfree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(d, over, "left_anti").select("aread", "bread", "band", "covered")
 
 
-def zone_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per read, the pairs of candidates that lie in one zone: their intervals overlap by more than ZONE bases."""
-    found = significant(spark, sf_dir).select("aread", "bread", "band", "afirst", "alast")
-    other = found.select(F.col("aread").alias("r"), F.col("bread").alias("b2"), F.col("band").alias("d2"), F.col("afirst").alias("f2"), F.col("alast").alias("l2"))
-    later = F.struct("bread", "band") < F.struct("b2", "d2")
-    lap = (F.col("afirst") < F.col("l2") - ZONE) & (F.col("alast") > F.col("f2") + ZONE)
-    return found.join(other, (F.col("aread") == F.col("r")) & later & lap).groupBy("aread").agg(F.count("*").alias("pairs"))
-
-
 def la_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates c, d of one read and contig that may be chained: d goes on after c in both, by gaps of a ratio up to 1.4."""
     found = diag_band_candidates(spark, sf_dir)
@@ -226,7 +229,7 @@ _C = (
     f"c as (select aread, bread, band, count(*) as seeds, cast(sum(gain) as bigint) as covered, min(apos) - {SEED_K} as afirst, max(apos) as alast, min(bpos) - {SEED_K} as bfirst, max(bpos) as blast from h group by aread, bread, band)"
 )
 _CAND = f"{_SEEDS}, {_C}"
-_SIG = f"{_CAND}, f as (select * from c where covered >= {2 * SEED_K})"
+_SIG = f"{_CAND}, f as (select * from c where covered >= {LEAST * SEED_K})"
 _P = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BK}, a as (select code, count(*) as ca from ka group by code), b as (select code, count(*) as cb from kb group by code), p as (select code, ca * cb as product from a join b using (code))"
 _L = f"l as (select coalesce(min(product), {MOST_CAP}) as lim from (select product, sum(sum(product)) over (order by product) as upto from p where product < {MOST_CAP} group by product) where upto > {BUDGET})"
 _LOG = "cast(case when {0} <= 1 then {0} when {0} >= 10000 then 40 else floor(10 * log10({0}) + 1e-9) end as int)"
@@ -242,12 +245,12 @@ QUERIES = {
     "seed_product_histogram": (seed_product_histogram, f"{_P} select product, count(*) as codes from p group by product"),
     "auto_cap_limit": (auto_cap_limit, f'{_P}, {_L} select cast(lim as bigint) as "limit" from l'),
     "seed_product_cap": (seed_product_cap, f"{_P}, {_L} select product, count(*) as codes, cast(sum(product) as bigint) as seeds from p, l where product < lim group by product"),
+    "capped_seeds": (capped_seeds, f"{_P}, {_L}, kc as (select code from p, l where product < lim) select ka.read_id as aread, kb.contig_id as bread, count(*) as seeds from ka semi join kc using (code) join kb using (code) group by ka.read_id, kb.contig_id"),
     "seed_sort_rank": (seed_sort_rank, f'{_SEEDS} select *, row_number() over (partition by aread, bread order by apos, bpos) as "rank" from s'),
     "diag_band_candidates": (diag_band_candidates, f"{_CAND} select * from c"),
     "best_contig_per_read": (best_contig_per_read, f"{_CAND} select * from c qualify row_number() over (partition by aread order by covered desc, bread, band) = 1"),
     "near_best": (near_best, f"{_CAND}, t as (select aread, max(covered) as top from c group by aread) select aread, bread, band, covered, covered = top as best from c join t using (aread) where covered >= {NEAR} * top"),
     "dominance_orderfree": (dominance_orderfree, f"{_SIG} select aread, bread, band, covered from f n where not exists (select 1 from f d where d.aread = n.aread and d.afirst < n.afirst + {SLACK} and d.alast > n.alast - {SLACK} and {RATIO} * d.covered >= n.covered)"),
-    "zone_overlap_pairs": (zone_overlap_pairs, f"{_SIG} select x.aread, count(*) as pairs from f x join f y on x.aread = y.aread and (x.bread < y.bread or (x.bread = y.bread and x.band < y.band)) and x.afirst < y.alast - {ZONE} and x.alast > y.afirst + {ZONE} group by x.aread"),
     "la_chain_edges": (la_chain_edges, f"{_CAND} select c.aread, c.bread, c.band as cband, d.band as dband from c join c d on c.aread = d.aread and c.bread = d.bread and d.afirst > c.afirst and d.bfirst > c.bfirst and d.afirst - c.alast > -400 and d.bfirst - c.blast > -400 and (d.afirst - c.alast + 500) / cast(d.bfirst - c.blast + 500 as double) between 1 / 1.4 and 1.4"),
     "repeat_profile": (repeat_profile, f"{_SIG}, t as (select read_id, unnest(range(0, (length(seq) - 1) // {SPACING} + 2)) as bin from reads where length(seq) > 0), e as (select aread as read_id, afirst // {SPACING} as bin, 1 as s from f union all select aread, (alast - 1) // {SPACING} + 1, -1 from f), st as (select read_id, bin, sum(s) as s from e group by read_id, bin), cv as (select t.read_id, t.bin, sum(coalesce(s, 0)) over (partition by t.read_id order by t.bin) as cover from t left join st using (read_id, bin)) select read_id, bin, {_LOG.format('cover')} as level from cv"),
     "special_log": (special_log, f"with {READS_SQL}, {_AK}, c as (select distinct count(*) as c from ka group by code) select c, {_LOG.format('c')} as level from c"),

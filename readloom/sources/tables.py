@@ -12,9 +12,9 @@ CHUNK = 256
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores at least; a table that comes in more stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df in as many partitions as there are cores, if it is read from fewer files; a table of more files is split by its scan."""
+    cores = int(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
