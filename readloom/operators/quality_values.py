@@ -91,7 +91,7 @@ def quality_schemes(entries: DataFrame, char: str) -> dict[str, dict[int, str]]:
     for c in _STREAMS:
         signs = entries.select(F.explode(F.split(c, "")).alias("s")).where("s != ''").groupBy(F.ascii("s").alias("s")).count()
         made[c] = scheme({r["s"]: r["count"] for r in signs.collect()} | {ord(char): 1})
-    gaps = entries.select(F.explode(F.split("del", f"[^{char}]", -1)).alias("g")).select(F.least(F.length("g"), F.lit(255)).alias("n")).groupBy("n").count()
+    gaps = entries.select(F.explode(F.split("del", f"[^{char}]", -1)).alias("g")).select((F.length("g") % 256).alias("n")).groupBy("n").count()  # runs() cuts off 255 and the sign behind them
     made["runs"] = scheme({r["n"]: r["count"] for r in gaps.collect()} | {255: 1, 0: 1})
     return made
 

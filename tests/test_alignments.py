@@ -121,6 +121,8 @@ def test_runs():
     for text in ([], [1], [2], [1] * 700, [2, 2, 1, 1, 1, 2], [1] * 255 + [2], [1] * 256):
         pairs = runs(text, 1)
         assert unrun(pairs, 1) == text and all(n <= 255 for n, _ in pairs)
+    for n in (0, 1, 254, 255, 256, 300, 511, 512, 700):  # what the histogram of runs counts on
+        assert [k for k, _ in runs([1] * n, 1)] == [255] * (n // 256) + [n % 256]
 
 
 def test_guards_fail(spark):
