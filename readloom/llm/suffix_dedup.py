@@ -1,10 +1,11 @@
-"""Removal of repeated byte strings by a sparse suffix array, sorted deep-shallow: multikey words to a shallow depth, blind tries below.
+"""Removal of repeated byte strings by a sparse suffix array, sorted deep-shallow: multikey quicksort to a shallow depth, blind tries below.
 
 Every window of LENGTH bytes has one anchor: of the strings of SEED bytes in it, the one with the least hash (leftmost of equals). Equal windows have
 equal anchors at the same place, so
 1. anchors are counted by hash over all documents, packed by slice; those that occur once have no repeated window;
-2. the others go, with the bytes that their windows cover, to the partition of their hash. There equal contexts are one class; in groups with several
-   classes the suffixes behind the anchor are sorted, and windows are equal where the suffixes' common prefix and the bytes before the anchor agree.
+2. the others go, with the bytes that their windows cover, to the partition of their hash. There equal contexts are one class: they meet by hash and are
+   compared byte by byte. In groups with several classes the suffixes from the anchor on are sorted, and so are the bytes before it, read backwards;
+   windows are equal where the common prefixes of both orders cover them. Hashes decide what is compared, bytes what is equal.
 The first occurrence by (doc_id, start) of each window stays, and the windows of all others are removed.
 """
 
@@ -23,7 +24,7 @@ from readloom.llm.substring_dedup import binary, by_q, joined, part_of, utf8_byt
 from readloom.llm.util import _BYTE, BYTE_BASE, mixed, numbered, pack, partitions, powers, ranges, rolling, small_side, steps, unpack, window_hash, written
 
 LENGTH, SEED = 100, 32
-#: Bytes that the words of the shallow sort cover.
+#: Bytes that the shallow sort covers, in words of eight.
 SHALLOW = 16
 _STEP = 1 << 20
 #: Bytes of contexts that are judged at once, groups of one anchor staying whole.
@@ -177,35 +178,75 @@ class BlindTrie:
         return out
 
 
-def sort_suffixes(group: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def multikey_quicksort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the rows of words in order within each group, and which of them differ from the one before. All segments of rows whose first
+    words agree are parted at once, each in three about the next word of a row drawn from it; only the middle part goes on to the word after."""
+    n, depth = words.shape
+    order = np.argsort(group, kind="stable")
+    new = np.concatenate(([True], group[order][1:] != group[order][:-1]))[:n]
+    level = np.zeros(n, np.int64)
+    draw = np.random.default_rng(7)
+    while True:
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, n))
+        live = (size > 1) & (level[begin] < depth)
+        begin, size = begin[live], size[live]
+        if not len(begin):
+            return order, new
+        slot, of = ranges(begin, size), np.repeat(np.arange(len(begin)), size)
+        row, deep = order[slot], level[slot]
+        word = words[row, deep]
+        pivot = begin + draw.integers(0, size)
+        pivot = words[order[pivot], level[pivot]][of]
+        to, at = np.empty(len(slot), np.int64), begin.copy()
+        for side in (word < pivot, word == pivot, word > pivot):
+            upto = np.concatenate(([0], np.cumsum(side)))
+            first = np.cumsum(size) - size
+            to[side] = (at[of] + upto[:-1] - upto[first][of])[side]
+            count = upto[first + size] - upto[first]
+            new[at[count > 0]] = True
+            at += count
+        order[to], level[to] = row, deep + (word == pivot)
+
+
+def sort_suffixes(group: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): text[start : start + size] (size <= depth) in order within each group, and the common prefix of each with the one before
-    (-1 where a group begins). Words of 8 bytes sort to SHALLOW, blind tries order what is still equal."""
+    (-1 where a group begins). Multikey quicksort orders the first `shallow` bytes, blind tries what is still equal."""
     cols = np.arange(depth)
-    signs = np.zeros((len(start), depth), np.uint8)
+    signs = np.zeros((len(start), max(depth, shallow)), np.uint8)
     for at in range(0, len(start), 4096):
         some = slice(at, at + 4096)
-        signs[some] = np.where(cols < size[some, None], text[np.minimum(start[some, None] + cols, len(text) - 1)], np.uint8(0))
-    words = np.ascontiguousarray(signs[:, :SHALLOW]).view(">u8").astype(np.uint64)
-    short = np.minimum(size, SHALLOW)
-    order = np.lexsort((short, *words.T[::-1], group))
-    keys = np.stack((group.astype(np.uint64), *words.T, short.astype(np.uint64)), 1)[order]
-    same = np.concatenate(([False], (keys[1:] == keys[:-1]).all(axis=1)))
-    cuts = np.flatnonzero(~same)
+        signs[some, :depth] = np.where(cols < size[some, None], text[np.minimum(start[some, None] + cols, len(text) - 1)], np.uint8(0))
+    words = np.ascontiguousarray(signs[:, :shallow]).view(">u8").astype(np.uint64)
+    order, new = multikey_quicksort(np.column_stack((words, np.minimum(size, shallow).astype(np.uint64))), group)
+    cuts = np.flatnonzero(new)
     ends = np.append(cuts[1:], len(order))
     for a, b in zip(cuts[ends - cuts > 1], ends[ends - cuts > 1], strict=True):
         mine = order[a:b]
-        if size[mine[0]] < SHALLOW:
+        if size[mine[0]] < shallow:
             continue
         strings: dict[bytes, list[int]] = {}
         for k in mine.tolist():
-            strings.setdefault(signs[k, SHALLOW : size[k]].tobytes(), []).append(k)
-        distinct = list(strings)
-        order[a:b] = [k for i in BlindTrie(distinct).order() for k in strings[distinct[i]]]
-    a, b = signs[order[:-1]], signs[order[1:]]
+            strings.setdefault(signs[k, shallow : size[k]].tobytes(), []).append(k)
+        if len(strings) > 1:
+            distinct = list(strings)
+            order[a:b] = [k for i in BlindTrie(distinct).order() for k in strings[distinct[i]]]
+    a, b = signs[order[:-1], :depth], signs[order[1:], :depth]
     common = np.minimum(np.where((a == b).all(axis=1), depth, (a != b).argmax(axis=1)), np.minimum(size[order[:-1]], size[order[1:]]))
     return order, np.concatenate(([-1], np.where(group[order[1:]] == group[order[:-1]], common, -1)))[: len(order)]
 
 
+def unlike(blob: np.ndarray, start: np.ndarray, size: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which rows belong to a class in which not all of blob[start : start + size] agree byte by byte. same: not a class's first."""
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    of, bad = np.flatnonzero(same), np.zeros(len(same), bool)
+    for at in range(0, len(of), 4096):
+        k = of[at : at + 4096]
+        differ = blob[ranges(start[k], size[k])] != blob[ranges(start[first[k]], size[k])]
+        bad[first[k[np.add.reduceat(differ, np.cumsum(size[k]) - size[k], dtype=np.int64) > 0]]] = True
+    return bad[first]
+
+
 def later_windows(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, doc: np.ndarray, key: np.ndarray, lo: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, first window and number of windows of all runs of windows that aren't their string's first occurrence. blob holds the contexts one
     after another (wins + length - 1 bytes each), rel the anchor's place in each."""
@@ -219,6 +260,7 @@ def later_windows(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, doc: np.n
     order = np.lexsort((rank, rel, size, whole, anchor))
     cols = [x[order] for x in (rel, size, whole, anchor)]
     new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in cols], axis=0)))
+    new |= unlike(blob, off[order], size[order], ~new)
     twin = twins(~new, doc[order], lo[order])
     copies = order[~new & ~twin]
     leader = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))][twin]
@@ -228,21 +270,20 @@ def later_windows(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, doc: np.n
     mixed_up = members[group] > 1
     c, group = firsts[mixed_up], group[mixed_up]
     if len(c):
-        deep = length - seed
-        begin = off[c] + rel[c] + seed
-        by, lcp = sort_suffixes(group, blob, begin, np.minimum(off[c] + size[c] - begin, deep), deep)
-        c = c[by]
+        deep, here = length - seed, off[c] + rel[c]
+        behind, ahead = np.empty((2, len(c)), np.int64)
+        by, lcp = sort_suffixes(group, blob, here, np.minimum(off[c] + size[c] - here, length), length, -(-seed // 8) * 8 + SHALLOW)
+        by_left, lcp_left = sort_suffixes(group, blob[::-1], len(blob) - here, np.minimum(rel[c], deep), deep)
         later = np.zeros((len(c), deep + 3), np.int8)  # a column for each window of a context, and one on either side
         for before in range(deep + 1):
             at = rel[c] - before  # the window's place in its context
             live = np.flatnonzero((at >= 0) & (at < wins[c]))
             if len(live) < 2:
                 continue
-            run = np.cumsum(lcp < deep - before)[live]
-            mine = c[live]
-            left = window_hash(prefix, off[mine] + at[live], off[mine] + rel[mine], BYTE_BASE)
-            sort = np.lexsort((rank[mine], left, run))
-            again = np.concatenate(([False], (run[sort][1:] == run[sort][:-1]) & (left[sort][1:] == left[sort][:-1])))
+            behind[by], ahead[by_left] = np.cumsum(lcp < length - before), np.cumsum(lcp_left < before)
+            right, left = behind[live], ahead[live]
+            sort = np.lexsort((rank[c[live]], left, right))
+            again = np.concatenate(([False], (right[sort][1:] == right[sort][:-1]) & (left[sort][1:] == left[sort][:-1])))
             again = live[sort[again]]
             later[again, at[again] + 1] = 1
         edge = np.diff(later, axis=1)
@@ -313,6 +354,7 @@ def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataF
                 whole = window_hash(prefix, first, first + wins + length - 1, BYTE_BASE)
                 order = np.lexsort((keys[row], first - offsets[row], ids[row], at - first, wins, whole, h))
                 same = np.concatenate(([False], np.all([x[order][1:] == x[order][:-1] for x in (at - first, wins, whole, h)], axis=0)))
+                same &= ~unlike(data, first[order], wins[order] + length - 1, same)
                 later = same & ~twins(same, ids[row[order]], first[order] - offsets[row[order]])
                 gone, order = order[later], order[~later]
                 q = part_of(h[order], wide)

@@ -21,7 +21,8 @@ from readloom.llm.packing import pack_documents, plan
 from readloom.llm.quality import features, fit, quality_scores, train
 from readloom.llm.simhash import close_lanes, parities, prefixes, simhash_groups, without_near_copies
 from readloom.llm.substring_dedup import without_repeats
-from readloom.llm.suffix_dedup import BlindTrie, sort_suffixes, without_repeated_bytes
+from readloom.llm import suffix_dedup
+from readloom.llm.suffix_dedup import BlindTrie, anchors, later_windows, multikey_quicksort, sort_suffixes, without_repeated_bytes
 from readloom.llm.token_files import build_hash, find, fingerprints, lookup, read_documents, write_shards
 from readloom.llm.url_filter import RULES, filter_urls
 from readloom.llm.util import mixed, scratch_dir
@@ -145,6 +146,38 @@ def test_suffix_dedup(docs, none):
     assert without_repeated_bytes(none).count() == 0
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    for n, most in ((0, 2), (1, 2), (500, 2), (3000, 4), (3000, 1000)):
+        words, group = rng.integers(0, most, (n, 4)).astype(np.uint64), rng.integers(0, 5, n)
+        order, new = multikey_quicksort(words, group)
+        rows = [(int(group[k]), *words[k].tolist()) for k in order]
+        assert sorted(order.tolist()) == list(range(n)) and rows == sorted(rows)
+        assert new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(n)]
+
+
+@pytest.mark.parametrize("colliding", [False, True])
+def test_windows_are_equal_by_bytes_even_if_all_hashes_collide(monkeypatch, colliding):
+    length, seed = 20, 8
+    rng = random.Random(4)
+    part = ["".join(rng.choice("ab") for _ in range(rng.choice((9, 30, 60)))) for _ in range(8)]
+    texts = ["".join(rng.choice(part) for _ in range(5)).encode() for _ in range(40)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    row, at, first, wins, _ = anchors(data, offsets, length, seed)
+    blob = np.concatenate([data[a : a + n + length - 1] for a, n in zip(first, wins, strict=True)])
+    if colliding:
+        monkeypatch.setattr(suffix_dedup, "window_hash", lambda prefix, starts, ends, base: np.zeros(len(starts), np.uint64))
+    found = later_windows(blob, at - first, wins, row, row, first - offsets[row], length, seed)
+    got = {(int(k), int(a) + i) for k, a, n in zip(*found, strict=True) for i in range(n)}
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for a in range(len(t) - length + 1):
+            if t[a : a + length] in seen:
+                want.add((i, a))
+            seen.add(t[a : a + length])
+    assert want and got == want
+
+
 def test_suffix_order_and_blind_trie():
     strings = list({bytes(RNG.choice(b"ab") for _ in range(RNG.randint(0, 12))) for _ in range(300)})
     assert [strings[k] for k in BlindTrie(strings).order()] == sorted(strings)
