@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.seeds import LEAST, SEED_K, seeds_of
+from readloom.operators.seeds import LEAST, SEED_K, mapping_seeds
 
 #: Bases within which a seed looks back, k-mers that a chain covers at least, share of a step that the diagonal may move when it replaces its predecessor.
 LOOK_BACK, LEAST_KMERS, DRIFT = 1000, LEAST, 0.2
@@ -76,11 +76,11 @@ def chains_of(seeds: DataFrame) -> DataFrame:
 
 
 def chain_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains_of(seeds_of(spark, sf_dir))
+    return chains_of(mapping_seeds(spark, sf_dir))
 
 
 def chain_candidates_rc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains_of(seeds_of(spark, sf_dir, comp=True))
+    return chains_of(mapping_seeds(spark, sf_dir, comp=True))
 
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,12 @@ from readloom.functions import bases as B
 from readloom.operators.reads import _TRACKS, mask_tracks, merged_masks, unmasked
 from readloom.sources.tables import CHUNK, CONTIGS_SQL, RC_SQL, READS_SQL, complemented, contigs, kmers, kmers_sql, reads, spread
 
-#: k of the index queries and of the seed queries, k-mers of a code at which it is dropped, hits that a budget allows, greatest product cap, width of
-#: a diagonal band, near-best share, spacing of the profile, slack and scores' ratio of dominance, k-mers that a significant candidate covers.
-K, SEED_K, MOST_KMERS, BUDGET, MOST_CAP, BAND, NEAR, SPACING, SLACK, RATIO, LEAST = 20, 12, 20, 100_000, 10_000, 64, 0.95, 100, 300, 0.9, 3
+#: k of the index queries and of the seed queries, k-mers of a code at which it is dropped, greatest product cap, width of a diagonal band, near-best
+#: share, spacing of the profile, slack and scores' ratio of dominance, k-mers that a significant candidate covers.
+K, SEED_K, MOST_KMERS, MOST_CAP, BAND, NEAR, SPACING, SLACK, RATIO, LEAST = 20, 12, 20, 10_000, 64, 0.95, 100, 300, 0.9, 3
+#: Bytes that the seeds of a run may fill, and the seeds of 16 bytes that fill 0.98 of them. A cluster passes what its executors hold together.
+MEMORY = 16 << 30
+BUDGET = MEMORY * 98 // 100 // 16
 
 
 def explode_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +50,22 @@ def kmer_freq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("n").agg(F.count("*").alias("codes"), F.sum("n").cast("long").alias("kmers"))
 
 
-def seeds_of(spark: SparkSession, sf_dir: str, k: int = SEED_K, comp: bool = False) -> DataFrame:
-    """aread, bread, apos, bpos (k-mer ends), diag of every equal k-mer of a read and a contig (comp: its reverse complement). A very frequent code
-    is split by the adaptive skew join; the contig side is the smaller one."""
+def seeds_of(spark: SparkSession, sf_dir: str, k: int = SEED_K, comp: bool = False, most: int | None = None) -> DataFrame:
+    """aread, bread, apos, bpos (k-mer ends), diag of every equal k-mer of a read and a contig (comp: its reverse complement); most: of the codes alone
+    that occur less than most times in the contigs. A very frequent code is split by the adaptive skew join; the contig side is the smaller one."""
     b = contigs(spark, sf_dir)
     left = kmers(reads(spark, sf_dir), "read_id", k).select(F.col("read_id").alias("aread"), (F.col("rpos") + 1).alias("apos"), "code")
     right = kmers(complemented(b) if comp else b, "contig_id", k).select(F.col("contig_id").alias("bread"), (F.col("rpos") + 1).alias("bpos"), "code")
+    right = right if most is None else right.join(rare(right, most).select("code"), "code")
     return left.join(right, "code").select("aread", "bread", "apos", "bpos", (F.col("apos") - F.col("bpos")).alias("diag"))
 
 
+def mapping_seeds(spark: SparkSession, sf_dir: str, comp: bool = False) -> DataFrame:
+    """The seeds that candidates are made of: codes that occur MOST_KMERS times or more in the contigs are dropped before the join, so that a k-mer of
+    a read makes less than MOST_KMERS seeds and their number grows with the reads alone."""
+    return seeds_of(spark, sf_dir, comp=comp, most=MOST_KMERS)
+
+
 def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in names})
 
@@ -130,7 +140,7 @@ def band_candidates(seeds: DataFrame, band: int = BAND) -> DataFrame:
 
 
 def diag_band_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return band_candidates(seeds_of(spark, sf_dir))
+    return band_candidates(mapping_seeds(spark, sf_dir))
 
 
 def best_contig_per_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +211,7 @@ def _flip(found: DataFrame, clen: Column) -> DataFrame:
 
 def flip_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates on complemented contigs with the roles of read and contig swapped."""
-    found = band_candidates(seeds_of(spark, sf_dir, comp=True))
+    found = band_candidates(mapping_seeds(spark, sf_dir, comp=True))
     sizes = reads(spark, sf_dir).select(F.col("read_id").alias("aread"), "rlen")
     of = contigs(spark, sf_dir).select(F.col("contig_id").alias("bread"), "clen")
     return _flip(found.join(sizes, "aread").join(of, "bread"), F.col("clen"))
@@ -222,13 +232,14 @@ def sort_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RK, _AK, _BK = kmers_sql("k", "reads", "read_id", K), kmers_sql("ka", "reads", "read_id", SEED_K), kmers_sql("kb", "contigs", "contig_id", SEED_K)
 _BRK = kmers_sql("kb", "contigs", "contig_id", SEED_K, RC_SQL)
 _S = "s as (select ka.read_id as aread, kb.contig_id as bread, ka.rpos + 1 as apos, kb.rpos + 1 as bpos, ka.rpos - kb.rpos as diag from ka join kb using (code))"
+_FEW = f"rk as (select code from kb group by code having count(*) < {MOST_KMERS}), s as (select ka.read_id as aread, kb.contig_id as bread, ka.rpos + 1 as apos, kb.rpos + 1 as bpos, ka.rpos - kb.rpos as diag from ka join kb using (code) semi join rk using (code))"
 _SEEDS = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BK}, {_S}"
 _SEEDS_RC = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BRK}, {_S}"
 _C = (
     f"g as (select *, cast(floor(diag / {BAND}) as bigint) as band from s), h as (select *, least(coalesce(apos - lag(apos) over (partition by aread, bread, band order by apos, bpos), {SEED_K}), {SEED_K}) as gain from g), "
     f"c as (select aread, bread, band, count(*) as seeds, cast(sum(gain) as bigint) as covered, min(apos) - {SEED_K} as afirst, max(apos) as alast, min(bpos) - {SEED_K} as bfirst, max(bpos) as blast from h group by aread, bread, band)"
 )
-_CAND = f"{_SEEDS}, {_C}"
+_CAND = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BK}, {_FEW}, {_C}"
 _SIG = f"{_CAND}, f as (select * from c where covered >= {LEAST * SEED_K})"
 _P = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BK}, a as (select code, count(*) as ca from ka group by code), b as (select code, count(*) as cb from kb group by code), p as (select code, ca * cb as product from a join b using (code))"
 _L = f"l as (select coalesce(min(product), {MOST_CAP}) as lim from (select product, sum(sum(product)) over (order by product) as upto from p where product < {MOST_CAP} group by product) where upto > {BUDGET})"
@@ -255,7 +266,7 @@ QUERIES = {
     "repeat_profile": (repeat_profile, f"{_SIG}, t as (select read_id, unnest(range(0, (length(seq) - 1) // {SPACING} + 2)) as bin from reads where length(seq) > 0), e as (select aread as read_id, afirst // {SPACING} as bin, 1 as s from f union all select aread, (alast - 1) // {SPACING} + 1, -1 from f), st as (select read_id, bin, sum(s) as s from e group by read_id, bin), cv as (select t.read_id, t.bin, sum(coalesce(s, 0)) over (partition by t.read_id order by t.bin) as cover from t left join st using (read_id, bin)) select read_id, bin, {_LOG.format('cover')} as level from cv"),
     "special_log": (special_log, f"with {READS_SQL}, {_AK}, c as (select distinct count(*) as c from ka group by code) select c, {_LOG.format('c')} as level from c"),
     "string_distances": (string_distances, f"with {CONTIGS_SQL}, p as (select a.contig_id, a.seq as x, b.seq as y, least(length(a.seq), length(b.seq)) as n from contigs a join contigs b on b.contig_id = a.contig_id + 1), d as (select contig_id, n, levenshtein(x, y) as edits, list_transform(range(1, n + 1), lambda i: substring(x, i, 1) = substring(y, i, 1)) as f, list_transform(range(1, n + 1), lambda i: substring(x, length(x) - i + 1, 1) = substring(y, length(y) - i + 1, 1)) as r from p) select contig_id, cast(len(list_filter(f, lambda q: not q)) as bigint) as hamming, cast(coalesce(list_position(f, false) - 1, n) as bigint) as prefix, cast(coalesce(list_position(r, false) - 1, n) as bigint) as suffix, edits from d"),
-    "flip_alignment": (flip_alignment, f"{_SEEDS_RC}, {_C} select aread, bread, band, length(k.seq) - blast as abpos, length(k.seq) - bfirst as aepos, length(r.seq) - alast as bbpos, length(r.seq) - afirst as bepos from c join reads r on r.read_id = aread join contigs k on k.contig_id = bread"),
+    "flip_alignment": (flip_alignment, f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BRK}, {_FEW}, {_C} select aread, bread, band, length(k.seq) - blast as abpos, length(k.seq) - bfirst as aepos, length(r.seq) - alast as bbpos, length(r.seq) - afirst as bepos from c join reads r on r.read_id = aread join contigs k on k.contig_id = bread"),
     "sort_map": (sort_map, f"{_CAND} select aread, bread, band, row_number() over (partition by aread order by afirst, bread, band) as place from c"),
     "sort_pile": (sort_pile, f"{_CAND} select aread, bread, band, row_number() over (partition by aread order by bread, afirst, band) as place from c"),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import bases as B
 from readloom.operators.reads import merged_masks, running, unmasked
+from readloom.operators.seeds import cap_limit, mapping_seeds
 from readloom.plans.registry import QUERIES, SQL
 from readloom.sources.tables import kmers
 
@@ -42,6 +43,19 @@ def test_entry(spark):
     assert frame.count() > 0
 
 
+def test_cap_follows_the_budget(spark):
+    products = spark.createDataFrame([(f"c{i}", p) for i, p in enumerate([1, 1, 4, 6, 6, 20_000])], "code string, product long")
+    assert [cap_limit(products, b).first()["limit"] for b in (1, 2, 6, 17, 18)] == [1, 4, 6, 6, 10_000]
+    assert cap_limit(products).first()["limit"] == 10_000
+
+
+def test_frequent_codes_of_contigs_make_no_seeds(spark, tmp_path):
+    contig, hot = "acgtagcatgccta", "ttgacgtcaggatc"
+    spark.createDataFrame([(1, contig), (2, hot)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, contig)] + [(i, hot) for i in range(1, 21)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r["aread"], r["bread"], r["apos"], r["bpos"]) for r in mapping_seeds(spark, str(tmp_path)).collect()) == [(1, 0, 12, 12), (1, 0, 13, 13), (1, 0, 14, 14)]
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
