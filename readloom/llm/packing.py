@@ -127,9 +127,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield batch.assign(_chunk=part + k, _rank=batch.groupby("length").cumcount())
 
     kept = written(items.mapInPandas(ranked, StructType([*items.schema.fields, *long("_chunk", "_rank")])))
-    sums = kept.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
-    before = written(sums.select("length", "_chunk", "_n", (F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("_n")).alias("_before")))
-    counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
+    sums = written(kept.groupBy("length", "_chunk").agg(F.count("*").alias("_n")).withColumn("_task", F.shiftright("_chunk", 32)))
+    upto = lambda n, order, *by: F.sum(n).over(Window.partitionBy("length", *by).orderBy(order)) - F.col(n)
+    tasks = sums.groupBy("length", "_task").agg(F.sum("_n").alias("_t"))  # so that the window over a length has a row a task, not one a chunk
+    tasks = written(tasks.select("length", "_task", "_t", upto("_t", "_task").alias("_first")))
+    inside = sums.select("length", "_task", "_chunk", upto("_n", "_chunk", "_task").alias("_inside")).join(small_side(tasks), ["length", "_task"])
+    before = written(inside.select("length", "_chunk", (F.col("_first") + F.col("_inside")).alias("_before")))
+    counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("_t").alias("n")).collect()}  # at most capacity rows
     segments = np.array(sorted(plan(counts, capacity).segments), np.int64).reshape(-1, 6)
     firsts = segments[:, 0] * _FAR + segments[:, 1]
 
