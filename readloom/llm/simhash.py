@@ -167,16 +167,37 @@ def whole_groups(batches: Iterator[pa.RecordBatch], same: Callable[[pa.RecordBat
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def near_links(prints: DataFrame, radius: int = 4, column: str = "print") -> DataFrame:
-    """a, b: links that join the distinct fingerprints of a table just as all pairs within radius would (a bucket gives at most one link a row,
-    not its pairs)."""
+#: Rows of a bucket that are compared as one; a larger bucket is dealt out in tiles.
+BUCKET = 16_384
+
+
+def same_group(*columns: str) -> Callable[[pa.RecordBatch], np.ndarray]:
+    def same(x: pa.RecordBatch) -> np.ndarray:
+        cols = [x.column(c).to_numpy() for c in columns]
+        return np.concatenate(([False], np.all([c[1:] == c[:-1] for c in cols], axis=0)))
+
+    return same
+
+
+def in_tiles(rows: DataFrame, member: str) -> DataFrame:
+    """rows (with _blocks, null for 1) with i, j in its place: a group of several blocks is dealt by member, and any two of its blocks meet in the tile
+    i, j. So every pair of a group meets, and no task needs to hold more than two blocks of it."""
+    blocks = F.coalesce("_blocks", F.lit(1))
+    dealt = rows.withColumn("_own", F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_blocks", "_own", "_other")
+
+
+def near_links(prints: DataFrame, radius: int = 4, column: str = "print", bucket: int = BUCKET) -> DataFrame:
+    """a, b: links that join the distinct fingerprints of a table just as all pairs within radius would (a tile gives at most one link a row, not its
+    pairs). Buckets of over `bucket` rows are counted first and compared in tiles."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(column).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(bands(radius))]))
     rows = prints.select(column).where(F.col(column).isNotNull()).distinct().select(each.alias("_b"), column).select("_b.band", "_b.key", F.col(column).alias("print"))
     n = partitions(prints.sparkSession)
-
-    def same(x: pa.RecordBatch) -> np.ndarray:
-        band, key = x.column("band").to_numpy(), x.column("key").to_numpy()
-        return np.concatenate(([False], (band[1:] == band[:-1]) & (key[1:] == key[:-1])))
+    large = rows.groupBy("band", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > bucket)
+    large = written(large.select("band", "key", F.ceil(F.col("_n") / bucket).cast("int").alias("_blocks")))
+    rows = in_tiles(rows.join(small_side(large), ["band", "key"], "left"), "print")
+    group_by = ["band", "key", "i", "j"]
+    same = same_group(*group_by)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, same, 100_000):
@@ -190,7 +211,7 @@ def near_links(prints: DataFrame, radius: int = 4, column: str = "print") -> Dat
             far = np.flatnonzero(label != np.arange(len(values)))
             yield pa.RecordBatch.from_arrays([pa.array(values[far].view(np.int64)), pa.array(values[label[far]].view(np.int64))], ["a", "b"])
 
-    return rows.repartition(n, "band", "key").sortWithinPartitions("band", "key").mapInArrow(link, "a long, b long")
+    return rows.repartition(n, *group_by).sortWithinPartitions(*group_by).mapInArrow(link, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -262,13 +283,14 @@ def _key() -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.col("doc_id").cast("string"), F.lit(":")), F.lit("")), F.coalesce("text", F.lit(""))))).alias("_key")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """_key, keep_id, kept for each distinct (doc_id, text) that has a near copy: words in shingles of width, sets with a Jaccard similarity of at
     least similarity; of each component the smallest doc_id stays (null last).
 
     Equal sets are one node. Sets meet in a bucket for each shingle of their prefix, which no pair of the similarity escapes, and their fingerprints are
-    compared there bit-sliced. First, a set is held against its nearest and the first within reach in each bucket; then all pairs within reach are,
-    but those that verified links have joined already or whose sketches prove them unlike. Each link is verified on the whole sets, so nothing below similarity is joined. Texts without
+    compared there bit-sliced. First, a set is held against its nearest and the first within reach in each bucket, of which one that the counts show to be
+    larger than `bucket` is split; then, in buckets that verified links haven't joined as a whole, all pairs within reach are, tile by tile, but those
+    joined already or whose sketches prove them unlike. Each link is verified on the whole sets, so nothing below similarity is joined. Texts without
     words have no copies. _key is _key() of the row.
     """
     n = partitions(docs.sparkSession)
@@ -315,20 +337,22 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
                 node[some] = identity(h, cuts, some)
                 prints = [fingerprint(x, cuts).view(np.int64) for x in (h, mixed(h + np.uint64(WIDE)))]
                 key, row = prefixes(h, cuts, similarity, common, counts)
-                columns = [key.view(np.int64), node[row], *(x[row] for x in prints), np.diff(cuts)[row].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "p0", "p1", "size"])
-
-    dealt = rows.select("text").mapInArrow(deal, "key long, node long, p0 long, p1 long, size int")
-
-    def same(x: pa.RecordBatch) -> np.ndarray:
-        key = x.column("key").to_numpy()
-        return np.concatenate(([False], key[1:] == key[:-1]))
-
-    def close(batch: pa.RecordBatch, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(i, j, differing bits) of the rows some, i and j within reach of one another."""
-        key, size = batch.column("key").to_numpy()[some], batch.column("size").to_numpy()[some]
-        values = np.stack([batch.column(c).to_numpy()[some].view(np.uint64) for c in ("p0", "p1")], 1)
-        group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))[: len(key)]
+                part = np.full(len(key), -1, np.int32)  # of a bucket that isn't split
+                if len(large):
+                    at = np.minimum(np.searchsorted(large, key), len(large) - 1)
+                    hot = np.flatnonzero(large[at] == key)
+                    part[hot] = mixed(node[row[hot]].view(np.uint64) ^ key[hot]) % blocks[at[hot]]
+                columns = [key.view(np.int64), part, node[row], *(x[row] for x in prints), np.diff(cuts)[row].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "part", "node", "p0", "p1", "size"])
+
+    over = counts * one_in > bucket
+    large, blocks = common[over], (-(-counts[over] * one_in // bucket)).astype(np.uint64)
+    dealt = rows.select("text").mapInArrow(deal, "key long, part int, node long, p0 long, p1 long, size int")
+
+    def close(batch: pa.RecordBatch, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, differing bits) of the rows of one group (labels, sorted), i and j within reach of one another."""
+        size = batch.column("size").to_numpy()
+        values = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1")], 1)
         for i, j in close_lanes(values, group, WIDE_RADIUS, 1 << 13):
             fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
             far = np.bitwise_count(values[i] ^ values[j]).sum(axis=1)
@@ -336,24 +360,27 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             yield i[fits], j[fits], far[fits]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same, equal, rest = same_group("key", "part"), same_group("key", "part", "node"), ["key", "a", "b", "p0", "p1", "size"]
         for batch in whole_groups(batches, same, 100_000):
-            again, node = same(batch), batch.column("node").to_numpy()
-            fresh = ~(again & np.concatenate(([False], node[1:] == node[:-1])))
-            again = np.concatenate(([False], batch.column("key").to_numpy()[fresh][1:] == batch.column("key").to_numpy()[fresh][:-1]))
-            some = np.flatnonzero(fresh)[again | np.concatenate((again[1:], [False]))]
-            if not len(some):
+            batch = batch.filter(pa.array(~equal(batch)))
+            split = batch.filter(pa.array(batch.column("part").to_numpy() >= 0))
+            if split.num_rows:  # what is near may lie in another part, so all of a split bucket are kept
+                yield pa.RecordBatch.from_arrays([split.column("key"), split.column("node"), pa.nulls(split.num_rows, pa.int64()), *(split.column(c) for c in ("p0", "p1", "size"))], rest)
+            again = same(batch)
+            batch = batch.filter(pa.array(again | np.concatenate((again[1:], [False]))))
+            if not batch.num_rows:
                 continue
-            ids, key, rest = node[some], batch.column("key").to_numpy()[some], ["key", "a", "b", "p0", "p1", "size"]
-            for i, j, far in close(batch, some):
+            node = batch.column("node").to_numpy()
+            for i, j, far in close(batch, np.cumsum(~same(batch))):
                 i, j, far = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((far, far))
                 for by in (np.lexsort((j, far, i)), np.lexsort((j, i))):
                     if len(by):
                         first = by[np.concatenate(([True], i[by][1:] != i[by][:-1]))]
-                        whole = batch.take(pa.array(some[i[first]]))
-                        yield pa.RecordBatch.from_arrays([pa.array(key[i[first]]), pa.array(ids[i[first]]), pa.array(ids[j[first]]), *(whole.column(c) for c in ("p0", "p1", "size"))], rest)
+                        whole = batch.take(pa.array(i[first]))
+                        yield pa.RecordBatch.from_arrays([whole.column("key"), whole.column("node"), pa.array(node[j[first]]), *(whole.column(c) for c in ("p0", "p1", "size"))], rest)
 
     shape = "key long, a long, b long, p0 long, p1 long, size int"
-    met = written(dealt.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(link, shape))
+    met = written(dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(link, shape))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,21 +406,18 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         side = lambda c, as_: own.select(F.col("node").alias(c), F.col("own").alias(as_))
         return written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
 
-    pairs = written(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = written(met.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     links = verified(pairs)
     roots = written(components(links, "a", "b"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches, same, 100_000):
-            key, node, root = (batch.column(c).to_numpy() for c in ("key", "node", "root"))
-            starts = np.flatnonzero(~same(batch))
-            mixed_ = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-            some = np.flatnonzero(np.repeat(mixed_, np.diff(np.append(starts, len(key)))))
-            if not len(some):
+        same = same_group("key", "i", "j")
+        for batch in whole_groups(batches, same, 2 * bucket):
+            if not batch.num_rows:
                 continue
-            node, root, size = node[some], root[some], batch.column("size").to_numpy()[some]
-            sketch = np.frombuffer(b"".join(x.as_py() for x in batch.column("sketch").take(pa.array(some))), np.uint64).reshape(len(some), -1)
-            for i, j, _ in close(batch, some):
+            node, root, size = (batch.column(c).to_numpy() for c in ("node", "root", "size"))
+            sketch = np.frombuffer(b"".join(x.as_py() for x in batch.column("sketch")), np.uint64).reshape(len(node), -1)
+            for i, j, _ in close(batch, np.cumsum(~same(batch))):
                 apart = root[i] != root[j]
                 i, j = i[apart], j[apart]
                 apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-9
@@ -402,9 +426,12 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     members = met.select("key", F.col("a").alias("node"), "p0", "p1", "size").distinct()
     members = members.join(small_side(roots), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    several = members.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).where("_lo != _hi")
+    several = written(several.select("key", F.ceil(F.col("_n") / bucket).cast("int").alias("_blocks")))
+    members = written(members.join(small_side(several), "key").select("key", "node", "p0", "p1", "size", "root", "_blocks"))
     sketches = written(prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
-    members = members.join(small_side(sketches), "node").select("key", "node", "p0", "p1", "size", "root", "sketch")
-    others = members.repartition(n, "key").sortWithinPartitions("key").mapInArrow(rest, "a long, b long").distinct()
+    members = in_tiles(members, "node").join(small_side(sketches), "node").select("key", "i", "j", "node", "p0", "p1", "size", "root", "sketch")
+    others = members.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(rest, "a long, b long").distinct()
     others = written(others.join(pairs, ["a", "b"], "left_anti"))
     roots = written(components(links.unionByName(verified(others)), "a", "b"))
     named = written(prints.join(small_side(roots), "node", "left").select("_key", "doc_id", F.coalesce("component", "node").alias("component")))
@@ -412,9 +439,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     return named.join(best, "component").select("_key", F.col("_b.doc_id").alias("keep_id"), (F.col("_key") == F.col("_b._key")).alias("kept"))
 
 
-def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs but near copies of a row that stays; all columns pass through. Rows that repeat doc_id and text stay or go together."""
-    gone = written(near_copies(docs, width, similarity).where("not kept").select("_key"))
+    gone = written(near_copies(docs, width, similarity, bucket).where("not kept").select("_key"))
     return with_row(docs, _key()).join(small_side(gone), "_key", "left_anti").select("_row.*")
 
 

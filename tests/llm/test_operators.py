@@ -19,7 +19,7 @@ from readloom.llm.embedding_dedup import near_vectors
 from readloom.llm.exact_dedup import exact_dedup, exact_groups
 from readloom.llm.packing import pack_documents, plan
 from readloom.llm.quality import features, fit, quality_scores, train
-from readloom.llm.simhash import close_lanes, parities, prefixes, simhash_groups, without_near_copies
+from readloom.llm.simhash import close_lanes, near_links, parities, prefixes, simhash_groups, without_near_copies
 from readloom.llm.substring_dedup import without_repeats
 from readloom.llm import suffix_dedup
 from readloom.llm.suffix_dedup import BlindTrie, anchors, later_windows, multikey_quicksort, sort_suffixes, without_repeated_bytes
@@ -272,6 +272,30 @@ def test_near_copies_of_one_original_are_all_found(spark):
     assert survivors(spark, texts) == near_survivors(texts)
 
 
+def test_large_buckets_in_tiles_lose_no_near_copy(spark):
+    rng = random.Random(11)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(204))
+    texts = [near_edit(rng, base, rng.randint(1, 7)) for _ in range(120)]
+    texts += [near_edit(rng, texts[rng.randrange(120)], 2) for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in without_near_copies(table, bucket=8).select("doc_id").collect()} == near_survivors(texts)
+
+
+def test_large_buckets_in_tiles_lose_no_link(spark):
+    rng = np.random.default_rng(13)
+    prints = rng.integers(0, 2**20, 300).astype(np.int64) | (1 << 40)  # alike in four of six blocks, so that some buckets hold all
+    links = near_links(spark.createDataFrame([(int(x),) for x in prints], "print long"), bucket=16)
+    got = {r["node"]: r["component"] for r in components(links, "a", "b").collect()}
+    distinct = sorted(set(prints.tolist()))
+    root = {x: x for x in distinct}
+    while True:
+        least = {x: min(root[y] for y in distinct if (x ^ y).bit_count() <= 4) for x in distinct}
+        if least == root:
+            break
+        root = least
+    assert got == {x: r for x, r in root.items() if x != r} and len(set(root.values())) > 1
+
+
 def test_near_copies_do_not_depend_on_repeats(spark):
     rng = random.Random(9)
     texts = []
