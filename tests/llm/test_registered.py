@@ -16,6 +16,8 @@ from tokenizers import Tokenizer
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from readloom.llm.queries import QUERIES, SQL  # noqa: E402
 
+from tests.llm.plain import plain_runs  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 DOCS = [(r["doc_id"], r["text"] or "") for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
 LIBRARY = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "word_bpe_49k.json")}
@@ -30,6 +32,9 @@ SHAPES = {
     "op8_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op12_nearest_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
+    "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 
 
@@ -62,10 +67,11 @@ def test_columns(spark, name):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(results, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.sql(SQL[name]).df()[list(results[name].columns)]
-    clean = lambda df: Counter(map(str, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+    whole = lambda v: int(v) if isinstance(v, float) and v == int(v) else v
+    clean = lambda df: Counter(str(tuple(map(whole, r))) for r in df.astype(object).where(df.notna(), None).itertuples(index=False, name=None))
     assert clean(results[name]) == clean(want)
 
 
@@ -161,6 +167,43 @@ def test_quality(results):
     assert sum(g > b for g in good for b in bad) >= 0.9 * len(good) * len(bad)
 
 
+def test_nearest(results):
+    table = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    x = np.array([r["embedding"] for r in table], float)
+    ids, x = np.array([r["vec_id"] for r in table]), x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for q, r, v, s in rows(results, "op12_nearest_neighbours"):
+        got.setdefault(q, []).append((r, v, s))
+    assert set(got) == {i for i in ids.tolist() if i % 50 == 0}
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -9
+        want = np.lexsort((ids, -s.round(12)))[:5]
+        assert [r for r, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
+        assert all(abs(s[ids == v][0] - c) < 1e-12 for _, v, c in found)
+        hits += len({v for _, v, _ in found} & set(ids[want].tolist()))
+    assert hits >= 0.95 * 5 * len(got)
+
+
+def test_runs(results):
+    want = []
+    for i, t in sorted(DOCS):
+        w, h = re.findall("[^\x20\x09-\x0d]+", t), zlib.crc32(str(i).encode())
+        if h % 10 == 0 and w:
+            n, g = len(w), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        runs = plain_runs(w, 12)
+        gone = {k for s, n, p in runs for k in range(s + p, s + n)}
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else None
+        told = "".join(f"{s},{n},{p}\n" for s, n, p in runs)
+        want.append((i, len(runs), *((*best, 1000 * best[1] // best[2]) if best else (None,) * 4), sha(told), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    got = [tuple(None if isinstance(x, float) and x != x else int(x) if isinstance(x, float) else x for x in r) for r in rows(results, "op13_periodic_runs")]
+    assert got == want and sum(r[1] for r in want) > 20
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what its predecessor kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
