@@ -149,22 +149,41 @@ def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
+#: Bytes that the 32-bit offsets of an Arrow binary column reach.
+OFFSET_BYTES = (1 << 31) - 1
+
+
+def as_one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Batches as one with all their rows; binary columns get 64-bit offsets where 32 bits don't reach."""
+    if len(held) == 1:
+        return held[0]
+    columns = []
+    for i, field in enumerate(held[0].schema):
+        parts = [x.column(i) for x in held]
+        if pa.types.is_binary(field.type) or pa.types.is_string(field.type):
+            if sum(x.nbytes for x in parts) > OFFSET_BYTES:
+                parts = [x.cast(pa.large_binary() if pa.types.is_binary(field.type) else pa.large_string()) for x in parts]
+        columns.append(pa.concat_arrays(parts))
+    return pa.RecordBatch.from_arrays(columns, held[0].schema.names)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], same: Callable[[pa.RecordBatch], np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
-    """Batches of at least `least` rows that don't cut a group, from sorted ones; same: whether each row is of its predecessor's group."""
+    """Batches of at least `least` rows that don't cut a group, from sorted ones; same: whether each row is of its predecessor's group. A row is copied once,
+    however many batches its group spans, and none is lost, however many bytes it has."""
     held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
+        last = int(np.flatnonzero(~same(batch))[-1])  # where the last group of the batch begins
+        ends = last > 0 or (held and not same(as_one([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))[1])
+        if ends and n + last >= least:
+            yield as_one([*held, *([batch.slice(0, last)] if last else [])])
+            held, n, batch = [], 0, batch.slice(last)
         held.append(batch)
-        if sum(x.num_rows for x in held) >= least:
-            joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            cuts = np.flatnonzero(~same(joined))
-            if len(cuts) and cuts[-1] > 0:
-                yield joined.slice(0, cuts[-1])
-                joined = joined.slice(cuts[-1])
-            held = [joined]
+        n += batch.num_rows
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield as_one(held)
 
 
 #: Rows of a bucket that are compared as one; a larger bucket is dealt out in tiles.
@@ -279,8 +298,8 @@ def prefixes(h: np.ndarray, cuts: np.ndarray, similarity: float, common: np.ndar
 
 
 def _key() -> Column:
-    """128 bits that stand for a row's doc_id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.col("doc_id").cast("string"), F.lit(":")), F.lit("")), F.coalesce("text", F.lit(""))))).alias("_key")
+    """128 bits that stand for a row's doc_id and text; whether there is a doc_id is said first, so that no text reads like one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("#"), F.col("doc_id").cast("string"), F.lit(":")), F.lit("-")), F.coalesce("text", F.lit(""))))).alias("_key")
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
