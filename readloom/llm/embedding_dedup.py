@@ -94,8 +94,26 @@ def tables_for(n_points: int, threshold: float) -> int:
     return math.ceil(math.log(1 - RECALL) / math.log(apart)) if apart > 0 else 1
 
 
-def start(points: DataFrame, n_points: int, turn: int) -> DataFrame:
-    """Proposals a, b, sim of TABLES new tables: points close by in the order of a table's code meet in leaves."""
+def middle(points: DataFrame) -> np.ndarray:
+    """The mean of all unit vectors of one length; a task sends one row of sums."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for batch in batches:
+            if batch.num_rows:
+                total, n = total + _matrix(batch.column("unit"), np.float64).sum(axis=0), n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), n))], ["i", "s", "n"])
+
+    told = points.select("unit").mapInArrow(of, "i long, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("x")).toArrow()
+    out = np.zeros(len(told))
+    out[told["i"].to_numpy()] = told["x"].to_numpy()
+    return out
+
+
+def start(points: DataFrame, n_points: int, turn: int, mean: np.ndarray) -> DataFrame:
+    """Proposals a, b, sim of TABLES new tables: points close by in the order of a table's code meet in leaves. Codes say on which side of hyperplanes through
+    the mean a point lies, so that points with a common direction are spread as well."""
     n = partitions(points.sparkSession)
     bits = max(0, min(24, math.ceil(math.log2(max(1, n_points / (8 * LEAF))))))
     weights = 1 << np.arange(29, -1, -1)
@@ -106,7 +124,7 @@ def start(points: DataFrame, n_points: int, turn: int) -> DataFrame:
                 continue
             x = _matrix(batch.column("half"), np.float16).astype(np.float32)
             planes = np.random.default_rng((11, turn)).normal(size=(x.shape[1], TABLES * 30))
-            codes = ((x @ planes > 0).reshape(len(x), TABLES, 30) * weights).sum(axis=2)
+            codes = (((x - mean.astype(np.float32)) @ planes > 0).reshape(len(x), TABLES, 30) * weights).sum(axis=2)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, TABLES, dtype=np.int32)), pa.array(codes.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("half"), lists], ["cid", "half", "codes"])
 
@@ -244,13 +262,17 @@ def audit(points: DataFrame, n_points: int, threshold: float) -> tuple[DataFrame
 
 
 def search(points: DataFrame, n_points: int, threshold: float) -> tuple[DataFrame, float]:
-    """(components of the verified edges, recall: the share of the audited true links whose ends they join; all links in a component are counted)."""
+    """(components of the verified edges, recall: the share of the audited true links whose ends they join, nan if there
+    are none; all links in a component are counted)."""
     truth, enough = audit(points, n_points, threshold)
-    tables = tables_for(n_points, threshold)
+    mean = middle(points)
+    common = min(0.999, float(mean @ mean))
+    # a pair at the threshold has this cosine around the mean
+    tables = tables_for(n_points, max(0.0, (threshold - common) / (1 - common)))
     lists, turn = None, 0
     while True:
         turn += 1
-        before, met = lists, start(points, n_points, turn)
+        before, met = lists, start(points, n_points, turn, mean)
         if before is None:
             before = kept_lists(met, threshold - SLACK, 0)
             met = descend(before, points, turn)
@@ -264,9 +286,9 @@ def search(points: DataFrame, n_points: int, threshold: float) -> tuple[DataFram
         end = lambda c: roots.select(F.col("node").alias(c), F.col("component").alias(f"r{c}"))  # noqa: E731, B023
         joined = truth.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ra", "a") == F.coalesce("rb", "b")).count()
         n = truth.count()
-        recall = joined / n if n else 1.0
+        recall = joined / n if n else math.nan  # nothing was measured; the tables decide
         _LOG.info("round %d: recall %.4f of %d audited links", turn, recall, n)
-        if recall >= RECALL and (enough or turn * TABLES >= tables):
+        if not recall < RECALL and (enough or turn * TABLES >= tables):
             return roots, recall
         if turn >= max(MOST_ROUNDS, 2 * math.ceil(tables / TABLES)):
             raise RuntimeError(f"recall is {recall:.4f} of {n} audited links after {turn} rounds, below {RECALL}")

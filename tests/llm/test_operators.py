@@ -533,3 +533,45 @@ def test_a_component_wider_than_a_tile(spark):
     near = (unit @ unit.T >= 0.95).sum(axis=1) - 1
     got = {r["vec_id"]: r["n_links"] for r in near_vectors(table).select("vec_id", "n_links").collect()}
     assert [got[i] for i in range(len(x))] == near.tolist()
+
+
+def test_near_vectors_with_a_common_direction(spark, monkeypatch, caplog):
+    """Background cosine 0.85, sparse pairs above 0.95, and an audit that sees few or none of them."""
+    from readloom.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 10)
+    monkeypatch.setattr(embedding_dedup, "AUDIT_PAIRS", 1)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64)) + 2.4
+    x[:60] = x[100:160] + 0.6 * rng.normal(size=(60, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.95), strict=True) if i != j}
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = sum(r["n_links"] for r in near_vectors(table).select("n_links").collect())
+    assert len(want) >= 60 and 0.99 * len(want) <= found <= len(want)
+
+
+def test_keys_of_near_copies_tell_ids_from_texts(spark):
+    words_ = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(5, words_), (None, "5:" + words_), (1, words_), (None, "#5:" + words_)]
+    kept = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted((i or 0, t) for i, t in rows if i != 5)
+
+
+@pytest.mark.parametrize("limit", [1 << 31, 64])
+def test_groups_lose_no_row(monkeypatch, limit):
+    """Groups that span many batches come out whole and once, also where 32-bit offsets don't reach."""
+    from readloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "OFFSET_BYTES", limit)
+    rng = random.Random(3)
+    for _ in range(60):
+        q = sorted(rng.randrange(6) for _ in range(rng.randint(0, 60)))
+        cuts = sorted(rng.randint(0, len(q)) for _ in range(8))
+        made = pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([bytes([k]) * 9 for k in range(len(q))], pa.binary())], ["q", "x"])
+        batches = [made.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(q)])]
+        least = rng.choice([1, 5, 30])
+        out = list(simhash.whole_groups(iter(batches), simhash.same_group("q"), least))
+        assert [v for b in out for v in b.column("q").to_pylist()] == q
+        assert [v for b in out for v in b.column("x").to_pylist()] == [bytes([k]) * 9 for k in range(len(q))]
+        assert all(a.column("q")[-1] != b.column("q")[0] for a, b in zip(out, out[1:])) and all(b.num_rows >= least for b in out[:-1])
