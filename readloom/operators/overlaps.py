@@ -1,6 +1,6 @@
 """Overlaps of sequences: records with traces, their checks, orders, scores, chains, zones and renderings.
 
-The fixture maps documents of odd id onto those of even id by k-mers that are rare in both (a filter before the join). An overlap is a band of
+The fixture maps documents of odd id onto those of even id by the k-mers that they share, but for codes over the product cap. An overlap is a band of
 diagonals; its trace has, for each stretch of SPACE bases of the read, the differences and the bases of the contig that lie there.
 """
 
@@ -10,13 +10,16 @@ import struct
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.alignments import BIAS, edit_script, reach, rendered, trace_points, walked
-from readloom.operators.seeds import K, MOST_KMERS, rare
-from readloom.sources.tables import READS_SQL, kmers, kmers_sql, reads
+from readloom.functions.bases import reverse_complement
+from readloom.operators.seeds import K, MOST_CAP, MOST_KMERS
+from readloom.sources.scratch import stored
+from readloom.sources.tables import RC_SQL, READS_SQL, STRANDED_SQL, complemented, kmers, kmers_sql, reads, stranded
 
 #: Diagonals of a band, spacing of trace points, k-mers that an overlap covers at least, share of identity of the alignments.
 BAND, SPACE, LEAST_KMERS, IDENTITY = 16, 100, 3, 0.85
@@ -28,22 +31,33 @@ _PAIR = ["aread", "bread", "band"]
 _BOX = ["abpos", "aepos", "bbpos", "bepos"]
 
 
-def rare_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aread, bread, apos, bpos, diag of k-mers that reads (odd ids) and contigs (even ids) share, of codes that occur less than MOST_KMERS times.
+def overlap_seeds(spark: SparkSession, sf_dir: str, most: int = MOST_CAP, strands: bool = False) -> DataFrame:
+    """aread, bread, comp, apos, bpos, diag of k-mers that reads (odd ids) and contigs (even ids) share, of the codes that make less than `most` seeds. Of
+    strands, a third of all sequences are complements, and comp says that the contig's complement was matched, in whose coordinates bpos is.
 
-    Codes are counted first, so that the join makes MOST_KMERS**2 / 4 rows a code at most; both joins and the count share one shuffle by code."""
-    each = kmers(reads(spark, sf_dir), "read_id", K)
-    kept = each.join(rare(each).select("code"), "code")
-    a = kept.where("read_id % 2 = 1").select(F.col("read_id").alias("aread"), (F.col("rpos") + 1).alias("apos"), "code")
-    b = kept.where("read_id % 2 = 0").select(F.col("read_id").alias("bread"), (F.col("rpos") + 1).alias("bpos"), "code")
-    return a.join(b, "code").select("aread", "bread", "apos", "bpos", (F.col("apos") - F.col("bpos")).alias("diag"))
-
-
-def boxes(seeds: DataFrame) -> DataFrame:
-    """aread, bread, band, seeds, covered, abpos, aepos, bbpos, bepos of bands that cover at least LEAST_KMERS k-mers."""
+    The seeds of a code are known from its counts before the join; no code is dropped for its count on one side alone. K-mers are made once: those that make
+    seeds are stored and joined from there."""
+    table = reads(spark, sf_dir)
+    table = stranded(table) if strands else table
+    a = kmers(table.where("read_id % 2 = 1"), "read_id", K).select("read_id", "rpos", "code", F.lit(False).alias("comp"), F.lit(True).alias("is_a"))
+    even = table.where("read_id % 2 = 0")
+    b = kmers(even, "read_id", K).select("read_id", "rpos", "code", F.lit(False).alias("comp"), F.lit(False).alias("is_a"))
+    if strands:
+        b = b.unionByName(kmers(complemented(even), "read_id", K).select("read_id", "rpos", "code", F.lit(True).alias("comp"), F.lit(False).alias("is_a")))
+    each = a.unionByName(b)
+    counts = each.groupBy("code").agg((F.count_if("is_a") * F.count_if(~F.col("is_a"))).alias("seeds"))
+    kept = stored(each.join(counts.where((F.col("seeds") > 0) & (F.col("seeds") < most)).select("code"), "code"))
+    left = kept.where("is_a").select(F.col("read_id").alias("aread"), (F.col("rpos") + 1).alias("apos"), "code")
+    right = kept.where("not is_a").select(F.col("read_id").alias("bread"), "comp", (F.col("rpos") + 1).alias("bpos"), "code")
+    return left.join(right, "code").select("aread", "bread", "comp", "apos", "bpos", (F.col("apos") - F.col("bpos")).alias("diag"))
+
+
+def boxes(seeds: DataFrame, *keys: str) -> DataFrame:
+    """keys (aread, bread, band unless given), seeds, covered, abpos, aepos, bbpos, bepos of bands that cover at least LEAST_KMERS k-mers."""
+    keys = keys or tuple(_PAIR)
     banded = seeds.withColumn("band", F.floor(F.col("diag") / BAND).cast("long"))
-    step = F.least(F.coalesce(F.col("apos") - F.lag("apos").over(Window.partitionBy(*_PAIR).orderBy("apos", "bpos")), F.lit(K)), F.lit(K))
-    found = banded.withColumn("gain", step).groupBy(*_PAIR).agg(
+    step = F.least(F.coalesce(F.col("apos") - F.lag("apos").over(Window.partitionBy(*keys).orderBy("apos", "bpos")), F.lit(K)), F.lit(K))
+    found = banded.withColumn("gain", step).groupBy(*keys).agg(
         F.count("*").alias("seeds"), F.sum("gain").cast("long").alias("covered"), (F.min("apos") - K).cast("long").alias("abpos"),
         F.max("apos").cast("long").alias("aepos"), (F.min("bpos") - K).cast("long").alias("bbpos"), F.max("bpos").cast("long").alias("bepos"),
     )
@@ -53,7 +67,7 @@ def boxes(seeds: DataFrame) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """boxes() cut at the multiples of SPACE in the read: i, a0, a1, b0, b1 and both strings, b's cuts in proportion."""
     table = reads(spark, sf_dir)
-    found = boxes(rare_seeds(spark, sf_dir)).select(*_PAIR, *_BOX)
+    found = boxes(overlap_seeds(spark, sf_dir)).select(*_PAIR, *_BOX)
     found = found.join(table.select(F.col("read_id").alias("aread"), F.col("seq").alias("x")), "aread").join(table.select(F.col("read_id").alias("bread"), F.col("seq").alias("y")), "bread")
     at = F.explode(F.sequence(F.floor(F.col("abpos") / SPACE), F.floor((F.col("aepos") - 1) / SPACE))).alias("i")
     cut = found.select(*_PAIR, *_BOX, "x", "y", at).withColumns({"a0": F.greatest("abpos", F.col("i") * SPACE), "a1": F.least("aepos", (F.col("i") + 1) * SPACE)})
@@ -164,7 +178,7 @@ def score_nonneg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sort_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of a pair's overlaps from the last to the first in the read."""
     order = Window.partitionBy("aread", "bread").orderBy(F.desc("abpos"), F.desc("bbpos"), "band")
-    return boxes(rare_seeds(spark, sf_dir)).select(*_PAIR, F.row_number().over(order).cast("long").alias("place"))
+    return boxes(overlap_seeds(spark, sf_dir)).select(*_PAIR, F.row_number().over(order).cast("long").alias("place"))
 
 
 def sort_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +198,7 @@ def entwine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zone_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per read, the pairs of overlaps that lie in one zone: their intervals overlap by more than ZONE bases."""
-    found = boxes(rare_seeds(spark, sf_dir)).select(*_PAIR, "abpos", "aepos")
+    found = boxes(overlap_seeds(spark, sf_dir)).select(*_PAIR, "abpos", "aepos")
     other = found.select(F.col("aread").alias("r"), F.col("bread").alias("b2"), F.col("band").alias("d2"), F.col("abpos").alias("f2"), F.col("aepos").alias("l2"))
     lap = (F.col("abpos") < F.col("l2") - ZONE) & (F.col("aepos") > F.col("f2") + ZONE)
     return found.join(other, (F.col("aread") == F.col("r")) & (F.struct("bread", "band") < F.struct("b2", "d2")) & lap).groupBy("aread").agg(F.count("*").alias("pairs"))
@@ -253,19 +267,23 @@ def render_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select(*_PAIR, "i", "a", "b").mapInPandas(run, "aread long, bread long, band long, i long, marked long, whole boolean")
 
 
-def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int, int]]:
-    """(aread, bread, band, s (seeds of the band), x, y (both sequences), the alignment specification) of the bands of LEAST_KMERS k-mers and more."""
-    table, seeds = reads(spark, sf_dir), rare_seeds(spark, sf_dir).withColumn("band", F.floor(F.col("diag") / BAND).cast("long"))
+def _seeded(spark: SparkSession, sf_dir: str, strands: bool = False) -> tuple[DataFrame, tuple[int, int, int, int]]:
+    """(aread, bread, comp, band, s (seeds of the band), x, y (both sequences, y complemented if comp), the alignment specification) of the bands of
+    LEAST_KMERS k-mers and more."""
+    table = reads(spark, sf_dir)
+    table = (stranded(table) if strands else table).select("read_id", "seq")
+    keys = ["aread", "bread", "comp", "band"]
+    seeds = stored(overlap_seeds(spark, sf_dir, strands=strands).withColumn("band", F.floor(F.col("diag") / BAND).cast("long")))
     at = spec(spark, sf_dir).first()
-    lists = seeds.groupBy(*_PAIR).agg(F.collect_list(F.struct("apos", "bpos")).alias("s")).where(F.size("s") > 1).join(boxes(rare_seeds(spark, sf_dir)).select(*_PAIR), _PAIR)
+    lists = seeds.groupBy(*keys).agg(F.collect_list(F.struct("apos", "bpos")).alias("s")).where(F.size("s") > 1).join(boxes(seeds, *keys).select(*keys), keys)
     found = lists.join(table.select(F.col("read_id").alias("aread"), F.col("seq").alias("x")), "aread").join(table.select(F.col("read_id").alias("bread"), F.col("seq").alias("y")), "bread")
-    return found.select(*_PAIR, "s", "x", "y"), (at["bias"], at["ave_path"], at["mscore"], at["dscore"])
+    return found.select(*keys, "s", "x", F.when(F.col("comp"), reverse_complement(F.col("y"))).otherwise(F.col("y")).alias("y")), (at["bias"], at["ave_path"], at["mscore"], at["dscore"])
 
 
-def aligned_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aread, bread, band, abpos, aepos, bbpos, bepos, diffs, trace: the local alignments that the seeds of each band extend to. A band's sequences and
+def aligned_of(spark: SparkSession, sf_dir: str, strands: bool = False) -> DataFrame:
+    """aread, bread, comp, band, abpos, aepos, bbpos, bepos, diffs, trace: the local alignments that the seeds of each band extend to. A band's sequences and
     seeds are one row, so that nothing larger than a pair meets in a task."""
-    found, means = _seeded(spark, sf_dir)
+    found, means = _seeded(spark, sf_dir, strands)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -273,14 +291,14 @@ def aligned_of(spark: SparkSession, sf_dir: str) -> DataFrame:
             for r in batch.itertuples(index=False):
                 for a0, a1, b0, b1 in walked(r.x, r.y, [(int(t["apos"]), int(t["bpos"])) for t in r.s], means, K, LEAST_KMERS * K):
                     trace = trace_points(r.x[a0:a1], r.y[b0:b1], SPACE, a0)
-                    out.append((r.aread, r.bread, r.band, a0, a1, b0, b1, sum(d for d, _ in trace), [{"d": d, "b": b} for d, b in trace]))
-            yield pd.DataFrame(out, columns=[*_PAIR, *_BOX, "diffs", "trace"])
+                    out.append((r.aread, r.bread, r.comp, r.band, a0, a1, b0, b1, sum(d for d, _ in trace), [{"d": d, "b": b} for d, b in trace]))
+            yield pd.DataFrame(out, columns=["aread", "bread", "comp", "band", *_BOX, "diffs", "trace"])
 
-    return found.mapInPandas(run, "aread long, bread long, band long, abpos long, aepos long, bbpos long, bepos long, diffs long, trace array<struct<d:long,b:long>>")
+    return found.mapInPandas(run, "aread long, bread long, comp boolean, band long, abpos long, aepos long, bbpos long, bepos long, diffs long, trace array<struct<d:long,b:long>>")
 
 
 def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aligned_of(spark, sf_dir).withColumn("trace", said(F.col("trace")))
+    return aligned_of(spark, sf_dir).drop("comp").withColumn("trace", said(F.col("trace")))
 
 
 def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,27 +323,26 @@ def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_links(rows: list[tuple]) -> list[tuple[int, int]]:
     """(score, next) of overlaps (abpos, aepos, bbpos, bepos, diffs) of one read, contig and strand from the last to the first in the read: each goes on
-    with the later one that makes the best chain, near ties by the lesser gap; scores are cut towards zero at each step."""
+    with the later one that makes the best chain, near ties by the lesser gap; scores are cut towards zero at each step.
+
+    All later overlaps that may follow come from one mask. They are tried from the nearest on; of two whose scores are within TIE of each other the one with a
+    gap smaller by more than TIE_GAP wins, else the better one, then the one nearer in the read."""
+    table = np.array(rows, float).reshape(-1, 5)
+    own = (table[:, 1] - table[:, 0]) - DIFF * table[:, 4]
+    made = np.zeros(len(table), np.int64)
     out: list[tuple[int, int]] = []
-    for c, (a0, a1, b0, b1, diffs) in enumerate(rows):
-        own = (a1 - a0) - DIFF * diffs
-        best, link = int(own), -1
-        for d in range(c - 1, -1, -1):
-            x0, _, y0, _, _ = rows[d]
-            if y0 < b0 or x0 <= a1 - LAP or y0 <= b1 - LAP:
-                continue
-            ratio = (x0 - a1 + OFF) / (y0 - b1 + OFF)
-            if ratio * PLAY < 1 or ratio > PLAY:
-                continue
-            made, gap = int(out[d][0] + own), x0 - a1
-            if made < best - TIE:
-                continue
-            if made <= best + TIE:
-                held = rows[link][0] - a1 if link >= 0 else 0
-                if gap > held + TIE_GAP or (gap >= held - TIE_GAP and (made < best or (made == best and gap >= held))):
-                    continue
-            best, link = made, d
-        out.append((best, link))
+    for c, (_, aend, bbeg, bend, _) in enumerate(table):
+        gap, leap = table[:c, 0] - aend, table[:c, 2] - bend
+        stretch = (gap + OFF) / np.where(leap == -OFF, np.inf, leap + OFF)
+        may = np.flatnonzero((gap > -LAP) & (leap > -LAP) & (table[:c, 2] >= bbeg) & (stretch * PLAY >= 1) & (stretch <= PLAY))[::-1]
+        held = (int(own[c]), 0.0, -1)  # score, gap, overlap
+        for d, total, by in zip(may.tolist(), np.trunc(made[may] + own[c]).astype(np.int64).tolist(), gap[may].tolist(), strict=True):
+            closer = np.sign(by - held[1]) if abs(by - held[1]) > TIE_GAP else 0
+            rank = (0, total - held[0], held[1] - by) if closer == 0 else (-closer,)
+            if total > held[0] + TIE or (total >= held[0] - TIE and rank > (0,) * len(rank)):
+                held = (total, by, d)
+        made[c] = held[0]
+        out.append((held[0], held[2]))
     return out
 
 
@@ -369,8 +386,9 @@ def fused(rows: list[dict]) -> list[dict]:
     return [r for r in live if r is not None]
 
 
-def nonredundant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aread, bread, abpos, aepos, bbpos, bepos, diffs of every pair's local alignments after fusion; equal ones, found from two bands, are one."""
+def fused_of(spark: SparkSession, sf_dir: str, strands: bool = False) -> DataFrame:
+    """aread, bread, comp, abpos, aepos, bbpos, bepos, diffs of every pair's and strand's local alignments after fusion; equal ones, found from two bands, are
+    one."""
     keys = [*_BOX, "diffs"]
 
     def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -382,24 +400,28 @@ def nonredundant(spark: SparkSession, sf_dir: str) -> DataFrame:
                     points[at] = (b, before)
                 at, b, before = at + SPACE, b + int(t["b"]), before + int(t["d"])
             rows.setdefault((r.abpos, r.aepos, r.bbpos, r.bepos), {**{c: getattr(r, c) for c in keys}, "points": points})
-        out = [[pdf["aread"].iloc[0], pdf["bread"].iloc[0], *(r[c] for c in keys)] for r in fused(list(rows.values()))]
-        return pd.DataFrame(out, columns=["aread", "bread", *keys])
+        out = [[*(pdf[c].iloc[0] for c in ("aread", "bread", "comp")), *(r[c] for c in keys)] for r in fused(list(rows.values()))]
+        return pd.DataFrame(out, columns=["aread", "bread", "comp", *keys])
 
-    return aligned_of(spark, sf_dir).groupBy("aread", "bread").applyInPandas(fuse, "aread long, bread long, abpos long, aepos long, bbpos long, bepos long, diffs long")
+    return aligned_of(spark, sf_dir, strands).groupBy("aread", "bread", "comp").applyInPandas(fuse, "aread long, bread long, comp boolean, abpos long, aepos long, bbpos long, bepos long, diffs long")
 
 
-def chosen_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per read the alignments of chains that stay: chain, place in it (0 starts), zone, score, best. A read's alignments meet in one task; rare k-mers
-    bound the contigs that they come from."""
-    found = nonredundant(spark, sf_dir)
+def nonredundant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused_of(spark, sf_dir).drop("comp")
+
+
+def chosen_of(spark: SparkSession, sf_dir: str, strands: bool = False) -> DataFrame:
+    """Per read the alignments of chains that stay: chain, place in it (0 starts), zone, score, best. Chains are of one contig and strand, zones of all of a
+    read's chains. A read's alignments meet in one task; the product cap bounds the seeds that they come from."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bread", "abpos", "bbpos", "aepos"], ascending=[True, False, False, True]).reset_index(drop=True)
+        pdf = pdf.sort_values(["bread", "comp", "abpos", "bbpos", "aepos"], ascending=[True, True, False, False, True]).reset_index(drop=True)
         links: list[tuple[int, int]] = []
-        for _, g in pdf.groupby("bread", sort=False):
+        for _, g in pdf.groupby(["bread", "comp"], sort=False):
             base = len(links)
             links += [(s, n + base if n >= 0 else -1) for s, n in chain_links(list(g[[*_BOX, "diffs"]].itertuples(index=False, name=None)))]
-        heads = [k for k in range(len(links)) if k not in {n for _, n in links} and links[k][0] >= 0]
+        followed = {n for _, n in links}
+        heads = [k for k in range(len(links)) if k not in followed and links[k][0] >= 0]
         path = {}
         for k in heads:
             path[k] = [k]
@@ -412,13 +434,70 @@ def chosen_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
                 if n in taken:  # shared with a better chain, which ends this one
                     break
                 taken.add(n)
-                out.append((*(int(pdf[c][n]) for c in ("aread", "bread", *_BOX)), k, place, kept[k][0], links[k][0], kept[k][1]))
-        return pd.DataFrame(out, columns=["aread", "bread", *_BOX, "chain", "place", "zone", "score", "best"])
+                out.append((int(pdf["aread"][n]), int(pdf["bread"][n]), bool(pdf["comp"][n]), *(int(pdf[c][n]) for c in _BOX), k, place, kept[k][0], links[k][0], kept[k][1]))
+        return pd.DataFrame(out, columns=["aread", "bread", "comp", *_BOX, "chain", "place", "zone", "score", "best"])
+
+    return fused_of(spark, sf_dir, strands).groupBy("aread").applyInPandas(choose, "aread long, bread long, comp boolean, abpos long, aepos long, bbpos long, bepos long, chain long, place long, zone long, score long, best boolean")
+
+
+def chosen_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_of(spark, sf_dir).drop("comp")
+
+
+# ---------------------------------------------------------------- both strands
+
+_STRAND = ["aread", "bread", "comp", "band"]
+
+
+def forward(found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """found with bbpos, bepos of complemented contigs turned into places of the contig itself; lengths: read_id, rlen."""
+    sized = found.join(lengths.select(F.col("read_id").alias("bread"), "rlen"), "bread")
+    flip = lambda c, other: F.when(F.col("comp"), F.col("rlen") - F.col(other)).otherwise(F.col(c)).cast("long")
+    return sized.withColumns({"_b0": flip("bbpos", "bepos"), "_b1": flip("bepos", "bbpos")}).drop("bbpos", "bepos", "rlen").withColumnsRenamed({"_b0": "bbpos", "_b1": "bepos"})
+
+
+def strand_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of both strands of reads of which a third are complements, contig places on the forward strand."""
+    found = boxes(overlap_seeds(spark, sf_dir, strands=True), *_STRAND)
+    return forward(found, reads(spark, sf_dir)).select(*_STRAND, "seeds", "covered", *_BOX)
+
+
+def strand_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate of each read that covers most, on whichever strand; ties to the lesser contig, the forward strand, the lesser band."""
+    order = Window.partitionBy("aread").orderBy(F.desc("covered"), "bread", "comp", "band")
+    return strand_candidates(spark, sf_dir).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
-    return found.groupBy("aread").applyInPandas(choose, "aread long, bread long, abpos long, aepos long, bbpos long, bepos long, chain long, place long, zone long, score long, best boolean")
 
+def sort_alignments_rc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a pair's and strand's candidates: from the last to the first in the read, and in the contig's own direction, which on its complement is from
+    the least end up."""
+    found = strand_candidates(spark, sf_dir)
+    along = F.when(F.col("comp"), F.col("bepos")).otherwise(-F.col("bbpos"))
+    order = Window.partitionBy("aread", "bread", "comp").orderBy(F.desc("abpos"), along, "band")
+    return found.select(*_STRAND, F.row_number().over(order).cast("long").alias("place"))
 
-_CODES = f"k2 as ({kmers_sql('', 'reads', 'read_id', K)[5:-1]}), low as (select code from k2 group by code having count(*) < {MOST_KMERS}), kr as (select k2.* from k2 semi join low using (code))"
+
+def strand_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chosen_of() both strands, contig places on the forward strand."""
+    columns = ["aread", "bread", "comp", *_BOX, "chain", "place", "zone", "score", "best"]
+    return forward(chosen_of(spark, sf_dir, strands=True), reads(spark, sf_dir)).select(*columns)
+
+
+def strand_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen alignments of both strands, judged: how many, those whose edit distance over their box isn't their differences' worth of score, those out of
+    the sequences, and pairs of zones' best chains of one read that overlap too far. All but the first are 0."""
+    table = stranded(reads(spark, sf_dir)).select("read_id", "seq", "rlen")
+    found = strand_chosen(spark, sf_dir)
+    x, y = (table.select(F.col("read_id").alias(k), F.col("seq").alias(v), F.col("rlen").alias(f"{v}len")) for k, v in (("aread", "x"), ("bread", "y")))
+    cut = found.join(x, "aread").join(y, "bread")
+    part = lambda s, p, q: F.substring(F.col(s), (F.col(p) + 1).cast("int"), (F.col(q) - F.col(p)).cast("int"))
+    other = part("y", "bbpos", "bepos")
+    edits = F.levenshtein(part("x", "abpos", "aepos"), F.when(F.col("comp"), reverse_complement(other)).otherwise(other))
+    cut = cut.select("aread", "abpos", "aepos", "comp", edits.alias("edits"), ((F.col("aepos") > F.col("xlen")) | (F.col("bepos") > F.col("ylen")) | (F.col("abpos") < 0) | (F.col("bbpos") < 0)).alias("out"))
+    return cut.groupBy("comp").agg(F.count("*").alias("n"), F.count_if(F.col("edits") > (1 - IDENTITY + 0.1) * (F.col("aepos") - F.col("abpos"))).alias("poor"), F.count_if("out").alias("out"))
+
+
+_CODES = f"k2 as ({kmers_sql('', 'reads', 'read_id', K)[5:-1]}), low as (select code from k2 group by code having count(*) filter (read_id % 2 = 1) * count(*) filter (read_id % 2 = 0) < {MOST_CAP}), kr as (select k2.* from k2 semi join low using (code))"
 _SEEDS = f"with {READS_SQL}, {_CODES}, s as (select a.read_id as aread, b.read_id as bread, a.rpos + 1 as apos, b.rpos + 1 as bpos, a.rpos - b.rpos as diag from kr a join kr b using (code) where a.read_id % 2 = 1 and b.read_id % 2 = 0)"
 _BOXES = (
     f"{_SEEDS}, g as (select *, cast(floor(diag / {BAND}) as bigint) as band from s), h as (select *, least(coalesce(apos - lag(apos) over (partition by aread, bread, band order by apos, bpos), {K}), {K}) as gain from g), "
@@ -433,7 +512,23 @@ _OVL = f"{_SEGS}, e as (select *, levenshtein(a, b) as d from seg), r as (select
 _SCORE = f"sc as (select *, cast(trunc((aepos - abpos) - cast({DIFF} as double) * diffs) as bigint) as score from r)"
 _FACTOR = "case bias " + " ".join(f"when {k} then {x}::double" for k, x in enumerate(BIAS)) + " else 1.0::double end"
 
+_SK = (
+    f"kb as (select *, false as comp from ({kmers_sql('', 'sreads', 'read_id', K)[5:-1]}) where read_id % 2 = 0 union all select *, true from ({kmers_sql('', 'sreads', 'read_id', K, RC_SQL)[5:-1]}) where read_id % 2 = 0), ka as (select * from ({kmers_sql('', 'sreads', 'read_id', K)[5:-1]}) where read_id % 2 = 1)"
+)
+_STRANDS = (
+    f"with {READS_SQL}, {STRANDED_SQL}, {_SK}, low as (select code from (select code, count(*) as na from ka group by code) join (select code, count(*) as nb from kb group by code) using (code) where na * nb < {MOST_CAP}), "
+    f"s as (select ka.read_id as aread, kb.read_id as bread, comp, ka.rpos + 1 as apos, kb.rpos + 1 as bpos, cast(floor((ka.rpos - kb.rpos) / {BAND}) as bigint) as band from ka join kb using (code) semi join low using (code)), "
+    f"h as (select *, least(coalesce(apos - lag(apos) over (partition by aread, bread, comp, band order by apos, bpos), {K}), {K}) as gain from s), "
+    f"o as (select aread, bread, comp, band, count(*) as seeds, cast(sum(gain) as bigint) as covered, min(apos) - {K} as abpos, max(apos) as aepos, min(bpos) - {K} as b0, max(bpos) as b1 from h group by aread, bread, comp, band having sum(gain) >= {LEAST_KMERS * K}), "
+    "f as (select aread, bread, comp, band, seeds, covered, abpos, aepos, case when comp then length(seq) - b1 else b0 end as bbpos, case when comp then length(seq) - b0 else b1 end as bepos from o join reads on read_id = bread)"
+)
+
 QUERIES = {
+    "strand_candidates": (strand_candidates, f"{_STRANDS} select * from f"),
+    "strand_best": (strand_best, f"{_STRANDS} select * from f qualify row_number() over (partition by aread order by covered desc, bread, comp, band) = 1"),
+    "sort_alignments_rc": (sort_alignments_rc, f"{_STRANDS} select aread, bread, comp, band, row_number() over (partition by aread, bread, comp order by abpos desc, case when comp then bepos else -bbpos end, band) as place from f"),
+    "strand_chosen": (strand_chosen, None),
+    "strand_checked": (strand_checked, None),
     "overlaps": (overlaps, f"{_OVL} select * from r"),
     "las_roundtrip": (las_roundtrip, f"{_OVL} select * from r"),
     "check_trace_points": (check_trace_points, f"{_SEGS}, t as (select aread, bread, band, 2 * count(*) as n, ((aepos - 1) // {SPACE} - abpos // {SPACE}) * 2 + 2 as want, cast(sum(b1 - b0) as bigint) as bsum, bepos - bbpos as bases from seg group by aread, bread, band, abpos, aepos, bbpos, bepos) select *, n = want and bsum = bases as \"right\" from t"),

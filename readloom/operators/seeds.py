@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from readloom.functions import bases as B
 from readloom.operators.reads import _TRACKS, mask_tracks, merged_masks, unmasked
-from readloom.sources.tables import CHUNK, CONTIGS_SQL, RC_SQL, READS_SQL, complemented, contigs, kmers, kmers_sql, reads, spread
+from readloom.sources.scratch import stored
+from readloom.sources.tables import CONTIGS_SQL, RC_SQL, READS_SQL, as_side, codes_of, complemented, contigs, kmers, kmers_sql, reads, spread
 
 #: k of the index queries and of the seed queries, k-mers of a code at which it is dropped, greatest product cap, width of a diagonal band, near-best
 #: share, spacing of the profile, slack and scores' ratio of dominance, k-mers that a significant candidate covers.
@@ -20,10 +26,19 @@ BUDGET = MEMORY * 98 // 100 // 16
 def explode_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per read: its k-mers, distinct codes and the sum of their places. All of it is the read's own, so that no k-mer leaves its row."""
     table = spread(reads(spark, sf_dir).select("read_id", "seq", "rlen")).where(F.col("rlen") >= K)
-    parts = F.transform(F.sequence(F.lit(0), F.col("rlen") - K, F.lit(CHUNK)), lambda at: F.substring("seq", at + 1, F.lit(CHUNK + K - 1)))
-    codes = F.flatten(F.transform(parts, lambda part: F.transform(F.sequence(F.lit(1), F.length(part) - (K - 1)), lambda i: F.substring(part, i, F.lit(K)))))
-    n = (F.col("rlen") - (K - 1)).cast("long")
-    return table.select("read_id", n.alias("n"), F.size(F.array_distinct(codes)).cast("long").alias("codes"), (n * (F.col("rlen") + (K - 2)) / 2).cast("long").alias("places"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                row, place, code = codes_of(some.column("seq"), K)
+                each = np.sort(row << (2 * K) | code) >> (2 * K)
+                same = np.sort(row << (2 * K) | code)
+                distinct = np.bincount(each[np.concatenate((np.ones(min(1, len(same)), bool), same[1:] != same[:-1]))], minlength=some.num_rows)
+                places = np.bincount(row, place + (K - 1), some.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column("read_id"), pa.array(np.bincount(row, minlength=some.num_rows)), pa.array(distinct), pa.array(places)], ["read_id", "n", "codes", "places"])
+
+    return table.select("read_id", "seq").mapInArrow(of, StructType([table.schema["read_id"], *(StructField(c, LongType()) for c in ("n", "codes", "places"))]))
 
 
 def masked_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +52,7 @@ def masked_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kmer_bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-mers by their code's low byte, which is their last four bases."""
-    return kmers(reads(spark, sf_dir), "read_id", K).groupBy(B.kmer_code(F.right("code", F.lit(4))).alias("bucket")).agg(F.count("*").alias("n"))
+    return kmers(reads(spark, sf_dir), "read_id", K).groupBy(F.col("code").bitwiseAND(F.lit(255)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def rare(index: DataFrame, most: int = MOST_KMERS) -> DataFrame:
@@ -50,20 +65,35 @@ def kmer_freq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("n").agg(F.count("*").alias("codes"), F.sum("n").cast("long").alias("kmers"))
 
 
-def seeds_of(spark: SparkSession, sf_dir: str, k: int = SEED_K, comp: bool = False, most: int | None = None) -> DataFrame:
-    """aread, bread, apos, bpos (k-mer ends), diag of every equal k-mer of a read and a contig (comp: its reverse complement); most: of the codes alone
-    that occur less than most times in the contigs. A very frequent code is split by the adaptive skew join; the contig side is the smaller one."""
+def _sides(spark: SparkSession, sf_dir: str, k: int, comp: bool = False, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(aread, apos, code of the reads (table: of these); bread, bpos, code of the contigs (comp: their complements); the contigs)."""
     b = contigs(spark, sf_dir)
-    left = kmers(reads(spark, sf_dir), "read_id", k).select(F.col("read_id").alias("aread"), (F.col("rpos") + 1).alias("apos"), "code")
+    left = kmers(reads(spark, sf_dir) if table is None else table, "read_id", k).select(F.col("read_id").alias("aread"), (F.col("rpos") + 1).alias("apos"), "code")
     right = kmers(complemented(b) if comp else b, "contig_id", k).select(F.col("contig_id").alias("bread"), (F.col("rpos") + 1).alias("bpos"), "code")
-    right = right if most is None else right.join(rare(right, most).select("code"), "code")
-    return left.join(right, "code").select("aread", "bread", "apos", "bpos", (F.col("apos") - F.col("bpos")).alias("diag"))
+    return left, right, b
+
 
+def seeds_of(spark: SparkSession, sf_dir: str, k: int = SEED_K, comp: bool = False) -> DataFrame:
+    """aread, bread, apos, bpos (k-mer ends), diag of every equal k-mer of a read and a contig (comp: its reverse complement). A very frequent code is split
+    by the adaptive skew join, where the contigs are too many to broadcast."""
+    left, right, b = _sides(spark, sf_dir, k, comp)
+    return left.join(as_side(right, b, k), "code").select("aread", "bread", "apos", "bpos", (F.col("apos") - F.col("bpos")).alias("diag"))
 
-def mapping_seeds(spark: SparkSession, sf_dir: str, comp: bool = False) -> DataFrame:
-    """The seeds that candidates are made of: codes that occur MOST_KMERS times or more in the contigs are dropped before the join, so that a k-mer of
-    a read makes less than MOST_KMERS seeds and their number grows with the reads alone."""
-    return seeds_of(spark, sf_dir, comp=comp, most=MOST_KMERS)
+
+def mapping_seeds(spark: SparkSession, sf_dir: str, comp: bool = False, budget: int = BUDGET, most: int | None = None, table: DataFrame | None = None) -> DataFrame:
+    """The seeds that candidates are made of: those of the codes under the product cap. The cap follows from how many seeds a run may hold (budget), and is
+    MOST_CAP at most; it is taken on the counts of both sides before a seed is made, and no copy of a contig or read changes it by itself. most: also drops
+    codes that occur so often in the contigs; off unless asked for.
+
+    The reads' k-mers meet the contigs' counts first. What is left, the k-mers that make seeds at all, is stored, counted for the cap, and joined for the seeds."""
+    left, right, b = _sides(spark, sf_dir, SEED_K, comp, table)
+    counts = right.groupBy("code").agg(F.count("*").alias("cb"))
+    counts = counts if most is None else counts.where(F.col("cb") < most)
+    hits = stored(left.join(as_side(counts, b, SEED_K), "code"))  # the reads' k-mers are made once
+    products = hits.groupBy("code").agg((F.count("*") * F.first("cb")).alias("product"))
+    allowed = products.join(F.broadcast(cap_limit(products, budget)), F.col("product") < F.col("limit")).select("code")  # one row
+    kept = right.join(as_side(allowed, b, SEED_K), "code", "left_semi")
+    return hits.join(as_side(kept, b, SEED_K), "code").select("aread", "bread", "apos", "bpos", (F.col("apos") - F.col("bpos")).alias("diag"))
 
 
 def _long(df: DataFrame, *names: str) -> DataFrame:
@@ -232,7 +262,8 @@ def sort_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RK, _AK, _BK = kmers_sql("k", "reads", "read_id", K), kmers_sql("ka", "reads", "read_id", SEED_K), kmers_sql("kb", "contigs", "contig_id", SEED_K)
 _BRK = kmers_sql("kb", "contigs", "contig_id", SEED_K, RC_SQL)
 _S = "s as (select ka.read_id as aread, kb.contig_id as bread, ka.rpos + 1 as apos, kb.rpos + 1 as bpos, ka.rpos - kb.rpos as diag from ka join kb using (code))"
-_FEW = f"rk as (select code from kb group by code having count(*) < {MOST_KMERS}), s as (select ka.read_id as aread, kb.contig_id as bread, ka.rpos + 1 as apos, kb.rpos + 1 as bpos, ka.rpos - kb.rpos as diag from ka join kb using (code) semi join rk using (code))"
+_L = f"l as (select coalesce(min(product), {MOST_CAP}) as lim from (select product, sum(sum(product)) over (order by product) as upto from p where product < {MOST_CAP} group by product) where upto > {BUDGET})"
+_FEW = f"pa as (select code, count(*) as ca from ka group by code), pb as (select code, count(*) as cb from kb group by code), p as (select code, ca * cb as product from pa join pb using (code)), {_L}, kc as (select code from p, l where product < lim), s as (select ka.read_id as aread, kb.contig_id as bread, ka.rpos + 1 as apos, kb.rpos + 1 as bpos, ka.rpos - kb.rpos as diag from ka join kb using (code) semi join kc using (code))"
 _SEEDS = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BK}, {_S}"
 _SEEDS_RC = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BRK}, {_S}"
 _C = (
@@ -242,7 +273,6 @@ _C = (
 _CAND = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BK}, {_FEW}, {_C}"
 _SIG = f"{_CAND}, f as (select * from c where covered >= {LEAST * SEED_K})"
 _P = f"with {READS_SQL}, {CONTIGS_SQL}, {_AK}, {_BK}, a as (select code, count(*) as ca from ka group by code), b as (select code, count(*) as cb from kb group by code), p as (select code, ca * cb as product from a join b using (code))"
-_L = f"l as (select coalesce(min(product), {MOST_CAP}) as lim from (select product, sum(sum(product)) over (order by product) as upto from p where product < {MOST_CAP} group by product) where upto > {BUDGET})"
 _LOG = "cast(case when {0} <= 1 then {0} when {0} >= 10000 then 40 else floor(10 * log10({0}) + 1e-9) end as int)"
 
 QUERIES = {

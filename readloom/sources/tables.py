@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from readloom.functions.bases import reverse_complement, to_bases
 
-#: Bases of the stretches that a long sequence is cut into before its k-mers are taken: a substring of a long string costs its distance.
-CHUNK = 256
-
 
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, if it is read from fewer files; a table of more files is split by its scan."""
@@ -33,13 +35,60 @@ def complemented(table: DataFrame) -> DataFrame:
     return table.withColumn("seq", reverse_complement(F.col("seq")))
 
 
+def stranded(table: DataFrame, key: str = "read_id") -> DataFrame:
+    """table with every third sequence (key divisible by 3) as its reverse complement: reads come from either strand, the driver's texts from one."""
+    return table.withColumn("seq", F.when(F.col(key) % 3 == 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+
+
+#: What each base is in a code of two bits a base, and k-mers of an Arrow batch.
+_BITS = np.zeros(256, np.uint64)
+_BITS[list(b"ACGT")] = range(4)
+BATCH = 1 << 17
+
+
+def codes_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, code) of every k-mer (k up to 31) of a column of base strings: place counts from the row's first base, code has two bits a base, the first
+    base highest. A code of 2m bases is put together from two of m, so that all k-mers take about log k steps."""
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    size = np.maximum(np.diff(offsets) - k + 1, 0)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    have, power, code, done = _BITS[data], 1, np.zeros(len(data), np.uint64), 0
+    while done < k:  # the bits of k, from the last: code is of the bases from each place on
+        if k & power:
+            code = have if not done else (have[: len(code) - power] << np.uint64(2 * done)) | code[power:]
+            done += power
+        if done < k:
+            have = (have[:-power] << np.uint64(2 * power)) | have[power:]
+            power *= 2
+    return row, place, code[(offsets[:-1] - offsets[0])[row] + place].astype(np.int64)
+
+
 def kmers(table: DataFrame, key: str, k: int) -> DataFrame:
-    """key, rpos (the k-mer's last base), code (the k-mer) of every k-mer; sequences shorter than k have none."""
+    """key, rpos (the k-mer's last base), code (the k-mer, two bits a base) of every k-mer; null sequences and ones shorter than k have none."""
     whole = spread(table.select(key, "seq")).where(F.length("seq") >= k)
-    at = F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(CHUNK))).alias("at")
-    chunks = whole.select(key, "seq", at).select(key, "at", F.substring("seq", F.col("at") + 1, F.lit(CHUNK + k - 1)).alias("part"))
-    each = chunks.select(key, "at", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("i"))
-    return each.select(key, (F.col("at") + F.col("i") + k - 1).alias("rpos"), F.substring("part", F.col("i") + 1, F.lit(k)).alias("code"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, code = codes_of(batch.column(1), k)
+            for at in range(0, len(row), BATCH):
+                part = slice(at, at + BATCH)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[part])), pa.array((place[part] + k - 1).astype(np.int32)), pa.array(code[part])], [key, "rpos", "code"])
+
+    return whole.mapInArrow(of, StructType([whole.schema[key], StructField("rpos", IntegerType()), StructField("code", LongType())]))
+
+
+#: K-mers of a side of a join up to which it is broadcast, about 24 MB.
+BROADCAST_KMERS = 1_000_000
+
+
+def as_side(index: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """An index of the k-mers of table as a join's side: their number is counted first, from the lengths alone, as Spark would take the index to be no larger
+    than the table. Beyond BROADCAST_KMERS the join shuffles."""
+    n = table.agg(F.coalesce(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(index) if n <= BROADCAST_KMERS else index.hint("merge")
 
 
 #: The same tables in SQL, as common table expressions.
@@ -47,6 +96,7 @@ _BASES = "regexp_replace(translate(lower(coalesce(text, '')), 'abcdefghijklmnopq
 READS_SQL = f"reads as (select doc_id as read_id, {_BASES} as seq from documents)"
 CONTIGS_SQL = f"contigs as (select item_id as contig_id, {_BASES} as seq from benchmark)"
 RC_SQL = "reverse(translate(seq, 'ACGT', 'TGCA'))"
+STRANDED_SQL = f"sreads as (select read_id, case when read_id % 3 = 0 then {RC_SQL} else seq end as seq from reads)"
 
 
 def kmers_sql(name: str, table: str, key: str, k: int, seq: str = "seq") -> str:

@@ -2,6 +2,7 @@
 
 import importlib
 import os
+import random
 
 import duckdb
 import pytest
@@ -49,11 +50,23 @@ def test_cap_follows_the_budget(spark):
     assert cap_limit(products).first()["limit"] == 10_000
 
 
-def test_frequent_codes_of_contigs_make_no_seeds(spark, tmp_path):
-    contig, hot = "acgtagcatgccta", "ttgacgtcaggatc"
-    spark.createDataFrame([(1, contig), (2, hot)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, contig)] + [(i, hot) for i in range(1, 21)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert sorted((r["aread"], r["bread"], r["apos"], r["bpos"]) for r in mapping_seeds(spark, str(tmp_path)).collect()) == [(1, 0, 12, 12), (1, 0, 13, 13), (1, 0, 14, 14)]
+def test_copies_change_no_candidate(spark, tmp_path):
+    """50 copies of a contig give each read's band 50 times, and 20 copies of each read every band of it; only the budget's cap and a filter asked for drop."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("acgt") for _ in range(60)) for _ in range(4)]
+    spark.createDataFrame([(10 * k + i, t) for i, t in enumerate(texts) for k in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100 * k + i, t) for i, t in enumerate(texts) for k in range(50)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf = str(tmp_path)
+    found = QUERIES["diag_band_candidates"](spark, sf).where("covered = 60").collect()
+    assert {(r["aread"], r["bread"]) for r in found} == {(10 * k + i, 100 * n + i) for i in range(4) for k in range(20) for n in range(50)}
+    assert mapping_seeds(spark, sf).count() == 4 * 20 * 50 * 49
+    assert mapping_seeds(spark, sf, most=50).count() == 0 and mapping_seeds(spark, sf, budget=100_000).count() == 0
+    boxes_ = QUERIES["sort_alignments"](spark, sf).select("aread", "bread").distinct().count()
+    assert boxes_ == 2 * 20 * 20 * 0 + sum(1 for a in range(80) for b in range(80) if a % 4 == b % 4 and _id(a) % 2 == 1 and _id(b) % 2 == 0)
+
+
+def _id(k):
+    return 10 * (k // 4) + k % 4
 
 
 def value(spark, column):
@@ -98,7 +111,11 @@ def test_kmers_of_short_and_long_sequences(spark):
     got = {}
     for r in kmers(table, "id", 4).collect():
         got.setdefault(r["id"], {})[r["rpos"]] = r["code"]
-    assert got == {3: {3: "ACGT"}, 4: {i + 3: long[i : i + 4] for i in range(len(long) - 3)}}
+    code = lambda kmer: int(kmer.translate(str.maketrans("ACGT", "0123")), 4)
+    assert got == {3: {3: code("ACGT")}, 4: {i + 3: code(long[i : i + 4]) for i in range(len(long) - 3)}}
+    for k in (1, 3, 12, 20, 31):
+        each = {r["rpos"]: r["code"] for r in kmers(table, "id", k).where("id = 4").collect()}
+        assert each == {i + k - 1: code(long[i : i + k]) for i in range(len(long) - k + 1)}
 
 
 def test_masks_merge_and_complement(spark):
