@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.alignments import BIAS, edit_script, reach, rendered, trace_points, walked
+from readloom.functions.alignments import BIAS, aligned, edit_script, reach, rendered, trace_points, walked
 from readloom.functions.bases import reverse_complement
+from readloom.functions.scripts import DIFF_ALIGN, align, crossing, improved, linear_script, passes
 from readloom.operators.seeds import K, MOST_CAP, MOST_KMERS
 from readloom.sources.scratch import stored
 from readloom.sources.tables import RC_SQL, READS_SQL, STRANDED_SQL, complemented, kmers, kmers_sql, reads, stranded
@@ -253,18 +254,91 @@ def irregular_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(*_PAIR).agg(F.sum("d").cast("long").alias("diffs"), F.sum(F.col("a1") - F.col("a0")).cast("long").alias("asteps"))
 
 
+def mid_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per overlap the exact scripts between the middles of its segments, the places where a best path leaves the first half of the read's bases: differences,
+    shift, and the sum of the middles' places in the contig. Cuts at middles lie on best paths, those at trace points need not."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(c=[crossing(a, b) for a, b in zip(batch["a"], batch["b"], strict=True)])
+
+    cut = segments(spark, sf_dir).select(*_PAIR, "i", "a0", "b0", "a", "b")
+    found = cut.mapInPandas(run, "aread long, bread long, band long, i long, a0 long, b0 long, a string, b string, c long")
+    half = F.floor(F.length("a") / 2).cast("int")
+    part = lambda s, p, q: F.substring(F.col(s), p + 1, q - p)
+    c = F.col("c").cast("int")
+    halves = found.select(
+        *_PAIR, "i", "a0", "b0", (F.col("a0") + half).alias("am"), (F.col("b0") + F.col("c")).alias("bm"),
+        part("a", F.lit(0), half).alias("a1"), part("a", half, F.length("a")).alias("a2"), part("b", F.lit(0), c).alias("b1"), part("b", c, F.length("b")).alias("b2"),
+    )
+    along = Window.partitionBy(*_PAIR).orderBy("i")
+    before = lambda x, other: F.coalesce(F.lag(x).over(along), other)
+    none, last = F.lit(""), F.lead("i").over(along).isNull()
+    each = halves.select(
+        *_PAIR, before("am", F.col("a0")).alias("a0"), before("bm", F.col("b0")).alias("b0"), F.concat(before("a2", none), F.col("a1")).alias("a"),
+        F.concat(before("b2", none), F.col("b1")).alias("b"), "am", "bm", F.when(last, F.col("a2")).alias("ra"), F.when(last, F.col("b2")).alias("rb"),
+    )
+    each = stored(each)
+    ends = each.where("ra is not null").select(*_PAIR, F.col("am").alias("a0"), F.col("bm").alias("b0"), F.col("ra").alias("a"), F.col("rb").alias("b"), F.lit(0).cast("long").alias("bm"))
+    pieces = _scripts(each.select(*_PAIR, "a0", "b0", "a", "b", "bm").unionByName(ends))
+    dashes = lambda sign: F.sum(F.size(F.filter("gaps", lambda g: g * sign > 0))).cast("long")
+    return pieces.groupBy(*_PAIR).agg(F.sum("d").cast("long").alias("diffs"), (dashes(-1) - dashes(1)).alias("shift"), F.sum("bm").cast("long").alias("middles"))
+
+
+def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """aread, bread, band, abpos, bbpos, a, b: every overlap's box, cut from both sequences."""
+    table = reads(spark, sf_dir)
+    found = boxes(overlap_seeds(spark, sf_dir)).select(*_PAIR, *_BOX)
+    part = lambda p, q: F.substring(F.col("seq"), (F.col(p) + 1).cast("int"), (F.col(q) - F.col(p)).cast("int"))
+    a = found.join(table.select(F.col("read_id").alias("aread"), "seq"), "aread").withColumn("a", part("abpos", "aepos")).drop("seq")
+    return a.join(table.select(F.col("read_id").alias("bread"), "seq"), "bread").select(*_PAIR, "abpos", "bbpos", "a", part("bbpos", "bepos").alias("b"))
+
+
+def linear_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap's box aligned as a whole, in memory that grows with its length alone: differences, shift, trace points."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                diffs, gaps = align(r.a, r.b, DIFF_ALIGN)
+                trace = trace_points(r.a, r.b, SPACE, r.abpos, gaps)
+                out.append((r.aread, r.bread, r.band, diffs, sum(1 if g < 0 else -1 for g in gaps), len(trace), sum(b for _, b in trace)))
+            yield pd.DataFrame(out, columns=[*_PAIR, "diffs", "shift", "points", "bases"])
+
+    return _boxed(spark, sf_dir).mapInPandas(run, "aread long, bread long, band long, diffs long, shift long, points long, bases long")
+
+
+def gap_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap's whole script with its gaps improved: gap bases and substitutions that the box needs at least (diffs), shift, whether passes rose, gap
+    bases changed, or the rows aren't the bases any more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                diffs, gaps = linear_script(r.a, r.b)
+                better = improved(r.a, r.b, gaps)
+                x, y = aligned(r.a, r.b, better)
+                rose = sum(passes(r.a, r.b, better)) > sum(passes(r.a, r.b, gaps))
+                out.append((r.aread, r.bread, r.band, diffs, sum(1 if g < 0 else -1 for g in better), rose, len(better) != len(gaps), x.replace("-", "") != r.a or y.replace("-", "") != r.b))
+            yield pd.DataFrame(out, columns=[*_PAIR, "diffs", "shift", "rose", "changed", "broken"])
+
+    return _boxed(spark, sf_dir).mapInPandas(run, "aread long, bread long, band long, diffs long, shift long, rose boolean, changed boolean, broken boolean")
+
+
 def render_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every segment's alignment as text: columns of its rows, columns that differ, and whether the rows without dashes are the bases."""
+    """Every segment's alignment as text: columns that differ, and both rows without dashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for a, b in zip(batch["a"], batch["b"], strict=True):
                 lines = rendered(a, b, edit_script(a, b)[1], 1 << 20).split("\n")
-                out.append((lines[1].count("*"), lines[0].replace("-", "") == a and lines[2].replace("-", "") == b) if len(lines) == 3 else (0, not a and not b))
-            yield batch[[*_PAIR, "i"]].assign(marked=[o[0] for o in out], whole=[o[1] for o in out])
+                out.append((lines[1].count("*"), lines[0].replace("-", ""), lines[2].replace("-", "")) if len(lines) == 3 else (0, "", ""))
+            yield batch[[*_PAIR, "i"]].assign(marked=[o[0] for o in out], first=[o[1] for o in out], second=[o[2] for o in out])
 
-    return segments(spark, sf_dir).select(*_PAIR, "i", "a", "b").mapInPandas(run, "aread long, bread long, band long, i long, marked long, whole boolean")
+    return segments(spark, sf_dir).select(*_PAIR, "i", "a", "b").mapInPandas(run, "aread long, bread long, band long, i long, marked long, first string, second string")
 
 
 def _seeded(spark: SparkSession, sf_dir: str, strands: bool = False) -> tuple[DataFrame, tuple[int, int, int, int]]:
@@ -484,8 +558,8 @@ def strand_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strand_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen alignments of both strands, judged: how many, those whose edit distance over their box isn't their differences' worth of score, those out of
-    the sequences, and pairs of zones' best chains of one read that overlap too far. All but the first are 0."""
+    """The chosen alignments of both strands, judged per strand: how many, those with more differences than their identity allows, and those that leave their
+    sequences. Differences are taken anew, from the places on the forward strand."""
     table = stranded(reads(spark, sf_dir)).select("read_id", "seq", "rlen")
     found = strand_chosen(spark, sf_dir)
     x, y = (table.select(F.col("read_id").alias(k), F.col("seq").alias(v), F.col("rlen").alias(f"{v}len")) for k, v in (("aread", "x"), ("bread", "y")))
@@ -523,7 +597,17 @@ _STRANDS = (
     "f as (select aread, bread, comp, band, seeds, covered, abpos, aepos, case when comp then length(seq) - b1 else b0 end as bbpos, case when comp then length(seq) - b0 else b1 end as bepos from o join reads on read_id = bread)"
 )
 
+_BOXED = f"{_BOXES}, w as (select aread, bread, band, abpos, bbpos, substring(x.seq, abpos + 1, aepos - abpos) as a, substring(y.seq, bbpos + 1, bepos - bbpos) as b from o join reads x on x.read_id = aread join reads y on y.read_id = bread)"
+_MIDS = (
+    f"{_SEGS}, m as (select *, length(a) // 2 as h, unnest(range(0, length(b) + 1)) as c from seg), m1 as (select * from m qualify row_number() over (partition by aread, bread, band, i order by levenshtein(substring(a, 1, h), substring(b, 1, c)) + levenshtein(substring(a, h + 1), substring(b, c + 1)), c) = 1), "
+    "m2 as (select *, coalesce(lag(substring(a, h + 1)) over p, '') || substring(a, 1, h) as pa, coalesce(lag(substring(b, c + 1)) over p, '') || substring(b, 1, c) as pb, lead(i) over p is null as final from m1 window p as (partition by aread, bread, band order by i)), "
+    "pc as (select aread, bread, band, pa, pb, b0 + c as mid from m2 union all select aread, bread, band, substring(a, h + 1), substring(b, c + 1), 0 from m2 where final)"
+)
+
 QUERIES = {
+    "mid_traces": (mid_traces, f"{_MIDS} select aread, bread, band, cast(sum(levenshtein(pa, pb)) as bigint) as diffs, cast(sum(length(pb) - length(pa)) as bigint) as shift, cast(sum(mid) as bigint) as middles from pc group by aread, bread, band"),
+    "linear_alignments": (linear_alignments, f"{_BOXED} select aread, bread, band, levenshtein(a, b) as diffs, length(b) - length(a) as shift, (abpos + length(a) - 1) // {SPACE} - abpos // {SPACE} + 1 as points, length(b) as bases from w"),
+    "gap_improved": (gap_improved, f"{_BOXED} select aread, bread, band, levenshtein(a, b) as diffs, length(b) - length(a) as shift, false as rose, false as changed, false as broken from w"),
     "strand_candidates": (strand_candidates, f"{_STRANDS} select * from f"),
     "strand_best": (strand_best, f"{_STRANDS} select * from f qualify row_number() over (partition by aread order by covered desc, bread, comp, band) = 1"),
     "sort_alignments_rc": (sort_alignments_rc, f"{_STRANDS} select aread, bread, comp, band, row_number() over (partition by aread, bread, comp order by abpos desc, case when comp then bepos else -bbpos end, band) as place from f"),
@@ -544,7 +628,7 @@ QUERIES = {
     "seed_statistics": (seed_statistics, f"with {READS_SQL}, k2 as ({kmers_sql('', 'reads', 'read_id', K)[5:-1]}), c as (select code, count(*) as n, count(*) filter (read_id % 2 = 1) as na from k2 group by code) select cast(sum(n) as bigint) as kmers, cast(sum(n) filter (n < {MOST_KMERS}) as bigint) as revised, count(*) filter (n < {MOST_KMERS}) as codes, cast(sum(na * (n - na)) filter (n < {MOST_KMERS}) as bigint) as hits from c"),
     "trace_scripts": (trace_scripts, f"{_SEGS} select aread, bread, band, cast(sum(levenshtein(a, b)) as bigint) as diffs, cast(sum(length(b) - length(a)) as bigint) as shift from seg group by aread, bread, band"),
     "irregular_scripts": (irregular_scripts, f"{_SEGS}, w as (select aread, bread, band, i // 2 as h, string_agg(a, '' order by i) as a, string_agg(b, '' order by i) as b from seg group by aread, bread, band, i // 2) select aread, bread, band, cast(sum(levenshtein(a, b)) as bigint) as diffs, cast(sum(length(a)) as bigint) as asteps from w group by aread, bread, band"),
-    "render_alignments": (render_alignments, f"{_SEGS} select aread, bread, band, i, levenshtein(a, b) as marked, true as whole from seg"),
+    "render_alignments": (render_alignments, f"{_SEGS} select aread, bread, band, i, levenshtein(a, b) as marked, a as first, b as second from seg"),
     "local_alignments": (local_alignments, None),
     "extensions": (extensions, None),
     "chosen_overlaps": (chosen_overlaps, None),

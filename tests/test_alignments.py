@@ -79,6 +79,37 @@ def test_chains_go_on_with_what_scores_best():
     assert chain_links([]) == [] and chain_links([(0, 100, 0, 100, 60)]) == [(-38, -1)]
 
 
+def plain_links(rows):
+    """The rule said plainly: of all later overlaps that may follow, tried from the nearest on, the first stays unless another is clearly better."""
+    out = []
+    for c, (a0, a1, b0, b1, diffs) in enumerate(rows):
+        own = a1 - a0 - 2.3 * diffs
+        score, gap, link = int(own), 0, -1
+        for d in range(c)[::-1]:
+            p, q = rows[d][0] - a1, rows[d][2] - b1
+            if rows[d][2] >= b0 and p > -400 and q > -400 and 1 / 1.4 <= (p + 500) / (q + 500) <= 1.4:
+                total = int(out[d][0] + own)
+                clearly, nearly = total > score + 50, score - 50 <= total <= score + 50
+                nearer = p < gap - 500
+                alike = gap - 500 <= p <= gap + 500
+                if clearly or (nearly and (nearer or (alike and (total > score or (total == score and p < gap))))):
+                    score, gap, link = total, p, d
+        out.append((score, link))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_equal_the_plain_rule(seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(rng.randint(0, 40)):
+        a, b, n = rng.randrange(6000), rng.randrange(6000), rng.randint(60, 900)
+        b = a + rng.randint(-300, 300) if seed % 2 else b
+        rows.append((a, a + n, b, b + n + rng.randint(-20, 20), rng.randrange(n // 4)))
+    rows.sort(key=lambda r: (-r[0], -r[2]))
+    assert chain_links(rows) == plain_links(rows)
+
+
 def test_zones_hold_what_overlaps_their_first_chain():
     got = zones([(1000, 0, 1000, 1), (990, 50, 900, 2), (900, 10, 990, 3), (1000, 0, 1000, 4), (500, 950, 2000, 5), (100, 1880, 2500, 6)])
     assert got == [(1, 0, True), (4, 0, True), (2, 0, False), (5, 1, True)]  # 3 scores too little, 6 lies in zone 1
