@@ -19,7 +19,8 @@ from readloom.functions.alignments import BIAS, aligned, edit_script, reach, ren
 from readloom.functions.bases import reverse_complement
 from readloom.functions.scripts import DIFF_ALIGN, align, crossing, improved, linear_script, passes
 from readloom.operators.seeds import K, MOST_CAP, MOST_KMERS
-from readloom.sources.scratch import stored
+from readloom.sources.overlap_files import NAME, register
+from readloom.sources.scratch import scratch_path, stored
 from readloom.sources.tables import RC_SQL, READS_SQL, STRANDED_SQL, complemented, kmers, kmers_sql, reads, stranded
 
 #: Diagonals of a band, spacing of trace points, k-mers that an overlap covers at least, share of identity of the alignments.
@@ -136,6 +137,15 @@ def las_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_records(overlaps_of(spark, sf_dir))).withColumn("trace", said(F.col("trace")))
 
 
+def overlap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps after they were written as files, a range of reads a file, and read back through the data source."""
+    register(spark)
+    path = scratch_path(spark)
+    found = overlaps_of(spark, sf_dir).withColumn("comp", F.lit(False)).select("aread", "bread", "comp", "band", *_BOX, "diffs", "trace")
+    found.repartitionByRange("aread", "bread", "band").sortWithinPartitions("aread", "bread", "band").write.format(NAME).mode("append").save(path)
+    return spark.read.format(NAME).load(path).withColumn("trace", said(F.col("trace")))
+
+
 def check_trace_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every record read back: numbers in its trace, how many there should be, the contig bases they sum to, and whether both are right."""
     found = read_records(write_records(overlaps_of(spark, sf_dir)))
@@ -615,6 +625,7 @@ QUERIES = {
     "strand_checked": (strand_checked, None),
     "overlaps": (overlaps, f"{_OVL} select * from r"),
     "las_roundtrip": (las_roundtrip, f"{_OVL} select * from r"),
+    "overlap_files": (overlap_files, f"{_OVL} select *, false as comp from r"),
     "check_trace_points": (check_trace_points, f"{_SEGS}, t as (select aread, bread, band, 2 * count(*) as n, ((aepos - 1) // {SPACE} - abpos // {SPACE}) * 2 + 2 as want, cast(sum(b1 - b0) as bigint) as bsum, bepos - bbpos as bases from seg group by aread, bread, band, abpos, aepos, bbpos, bepos) select *, n = want and bsum = bases as \"right\" from t"),
     "compress_trace": (compress_trace, f"{_SEGS}, e as (select *, levenshtein(a, b) as d from seg), t as (select aread, bread, band, max(greatest(d, b1 - b0)) < 256 as fits, string_agg(printf('%02X%02X', d, b1 - b0), '' order by i) as packed from e group by aread, bread, band) select aread, bread, band, fits, case when fits then packed end as packed from t"),
     "print_overlap": (print_overlap, f"{_SEGS}, e as (select *, levenshtein(a, b) as d from seg), t as (select aread, bread, band, abpos, aepos, bbpos, bepos, sum(d)::bigint as diffs, string_agg(d || '@' || b1, ' ' order by i) as points from e group by aread, bread, band, abpos, aepos, bbpos, bepos) select aread, bread, band, printf('%d vs. %d [%d,%d] x [%d,%d] : <%d diffs>', aread, bread, abpos, aepos, bbpos, bepos, diffs) as line, points from t"),

@@ -6,19 +6,22 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read back: what follows reads it as often as it likes, and a lost executor costs its tasks alone. Where the
-    setting is missing, a temporary folder takes its place, in local mode only."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new place below spark.checkpoint.dir. Where the setting is missing, a temporary folder takes its place, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="readloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/readloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/readloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to scratch_path() and read back: what follows reads it as often as it likes, and a lost executor costs its tasks alone."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
