@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from readloom.operators import catalog, chains, overlaps, quality_values, reads, seeds
+from readloom.operators import catalog, chains, dominance, overlaps, quality_values, reads, seeds
 
-_ALL = reads.QUERIES | seeds.QUERIES | quality_values.QUERIES | chains.QUERIES | overlaps.QUERIES | catalog.QUERIES
+_ALL = reads.QUERIES | seeds.QUERIES | quality_values.QUERIES | chains.QUERIES | overlaps.QUERIES | catalog.QUERIES | dominance.QUERIES
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
