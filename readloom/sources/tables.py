@@ -14,7 +14,9 @@ from readloom.functions.bases import reverse_complement, to_bases
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if it is read from fewer files; a table of more files is split by its scan."""
+    """df in as many partitions as there are cores, if it is read from fewer files; a table of more files is split by its scan, a stream by its trigger."""
+    if df.isStreaming:
+        return df
     cores = int(df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
