@@ -279,26 +279,24 @@ def loaded(path: str) -> ByteBpe:
 
 def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of token ids. A null or empty text has no ids; other columns pass through (a column named as ids is replaced)."""
-    kept = docs.drop(ids)
 
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = loaded(vocabulary)
         for batch in texts:
             yield pd.Series([ids.astype(np.int32) for ids in bpe.encode_many(batch)])
 
-    return kept.withColumn(ids, F.pandas_udf(encode, "array<int>")(kept[text]))
+    return docs.withColumn(ids, F.pandas_udf(encode, "array<int>")(docs[text]))
 
 
 def bpe_decode(docs: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text of its ids; bytes that aren't UTF-8 come out as U+FFFD. Null ids give an empty text."""
-    kept = docs.drop(text)
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = loaded(vocabulary)
         for batch in batches:
             yield pd.Series([bpe.decode(x).decode("utf-8", "replace") if x is not None else "" for x in batch])
 
-    return kept.withColumn(text, F.pandas_udf(decode, "string")(kept[ids]))
+    return docs.withColumn(text, F.pandas_udf(decode, "string")(docs[ids]))
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:

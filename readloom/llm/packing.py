@@ -115,10 +115,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """items with sequence_id and offset. items: any columns and length (1 to capacity); rows may repeat, each is packed.
 
-    Other columns pass through, but for columns named sequence_id, offset, _chunk or _rank, which are replaced. Equal lengths are ranked chunk by
+    Other columns pass through, whatever their names, but for sequence_id and offset, which are replaced. Equal lengths are ranked chunk by
     chunk (an Arrow batch), so that no task sees all items of a length, however many there are.
     """
-    items = items.drop("sequence_id", "offset", "_chunk", "_rank")
+    items = items.drop("sequence_id", "offset")
+    given = items.columns
+    items = items.toDF(*["length" if c == "length" else f"c{k}" for k, c in enumerate(given)])  # no name clashes with the steps' own
     long = lambda *names: [StructField(n, LongType()) for n in names]
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +149,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield out.assign(sequence_id=seg[:, 4] + i // seg[:, 3], offset=seg[:, 5] + i % seg[:, 3] * size)
 
     joined = kept.join(small_side(before), ["length", "_chunk"]).select(*kept.columns, "_before")
-    return joined.mapInPandas(placed, StructType([*items.schema.fields, *long("sequence_id", "offset")]))
+    return joined.mapInPandas(placed, StructType([*items.schema.fields, *long("sequence_id", "offset")])).toDF(*given, "sequence_id", "offset")
 
 
 class Encoder:

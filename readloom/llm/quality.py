@@ -105,6 +105,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def gradients(w: list[np.ndarray], x: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[list[np.ndarray], float]:
+    """(the step's gradients by w, the second part of the risk) on standardised rows x, of which is_p are positives: the risk's gradients where the second part
+    isn't below zero, else those that undo it."""
+    hidden = np.tanh(x @ w[0] + w[1])
+    out = hidden @ w[2] + w[3]
+    s = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+    loss0 = np.logaddexp(0, out)
+    negative = loss0[~is_p].mean() - prior * loss0[is_p].mean()
+    n_p, n_u = is_p.sum(), (~is_p).sum()
+    g_neg = np.where(is_p, -prior / n_p, 1 / n_u) * s
+    g = np.where(is_p, prior / n_p, 0) * (s - 1) + g_neg if negative >= 0 else -g_neg
+    back = np.outer(g, w[2]) * (1 - hidden**2)
+    return [x.T @ back, back.sum(0), hidden.T @ g, g.sum()], negative
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 5) -> Model:
     """Minimises prior * R(positive as 1) + max(0, R(unlabelled as 0) - prior * R(positive as 0)) by Adam, R the mean logistic loss. Where the
     second part falls below zero, the step goes the other way, so that the network can't gain from calling unlabelled positives negative.
@@ -128,16 +143,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             is_p = np.arange(len(x)) < len(of_p[k::batches])
             if is_p.all() or not is_p.any():
                 continue
-            hidden = np.tanh(x @ w[0] + w[1])
-            out = hidden @ w[2] + w[3]
-            s = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-            loss0 = np.logaddexp(0, out)
-            negative = loss0[~is_p].mean() - prior * loss0[is_p].mean()
-            n_p, n_u = is_p.sum(), (~is_p).sum()
-            g_neg = np.where(is_p, -prior / n_p, 1 / n_u) * s
-            g = np.where(is_p, prior / n_p, 0) * (s - 1) + g_neg if negative >= 0 else -g_neg
-            back = np.outer(g, w[2]) * (1 - hidden**2)
-            grads = [x.T @ back + DECAY * w[0], back.sum(0), hidden.T @ g + DECAY * w[2], g.sum()]
+            grads, _ = gradients(w, x, is_p, prior)
+            grads[0], grads[2] = grads[0] + DECAY * w[0], grads[2] + DECAY * w[2]
             step += 1
             for i, d in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * d
@@ -169,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVE, un
 
     Trusted positives are texts labelled 1, unlabelled ones any texts, labelled or not; the class prior is estimated as the share
     of labels that are 1, the only use made of labels 0. The sample's size is bounded by the two parameters; it is drawn by the hash of doc_id. Null
-    doc_ids and labels are no part of it.
+    doc_ids and labels are no part of it; of rows that repeat a doc_id, the least text is.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (_fold() != 1)).select("doc_id", "quality")
     share = rows.agg(F.avg(F.col("quality").cast("double"))).first()[0]
@@ -177,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVE, un
     p = rows.where("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("_p"))
     u = docs.where(F.col("doc_id").isNotNull() & (_fold() != 1)).select("doc_id").distinct().orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(True).alias("_u"))
     sample = F.broadcast(p.join(u, "doc_id", "full"))  # bounded by the two parameters
-    found = text_features(docs.select("doc_id", "text").join(sample, "doc_id"), "_p", "_u").toPandas()
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "_p", "_u").agg(F.min("text").alias("text"))
+    found = text_features(texts, "_p", "_u").toPandas()
     x = np.stack(found["features"]) if len(found) else np.zeros((0, 1))
     of_p, of_u = (found[c].eq(True).to_numpy(bool) if len(found) else np.zeros(0, bool) for c in ("_p", "_u"))
     order = np.lexsort(x.T[::-1])  # so that the fit doesn't depend on the order of arrival
