@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.huffman import decode, encode, runs, scheme, unrun
+from readloom.functions.huffman import scheme
+from readloom.functions.quality_codec import LINES, Packed, pack_entry, unpack_entry
+from readloom.sources import quality_files as source
+from readloom.sources.scratch import scratch_path
 from readloom.sources.tables import READS_SQL, reads
 
 #: The symbol that counts as the run character.
@@ -98,20 +101,15 @@ def quality_schemes(entries: DataFrame, char: str) -> dict[str, dict[int, str]]:
 
 def compressed(entries: DataFrame, codes: dict[str, dict[int, str]], char: str, lossy: bool = False) -> DataFrame:
     """well, n and the streams' codes. Tags go in two bits and only where the deletion value isn't char; lossy: a bit less of insertions, two of merges."""
-    letters = {c: i for i, c in enumerate("acgt")}
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                values = {c: list(getattr(r, c).encode()) for c in ("dele", "ins", "mrg", "sub")}
+                dele, ins, mrg, sub = (getattr(r, c).encode() for c in ("dele", "ins", "mrg", "sub"))
                 if lossy:
-                    values["ins"], values["mrg"] = [x >> 1 << 1 for x in values["ins"]], [x >> 2 << 2 for x in values["mrg"]]
-                pairs = runs(values["dele"], ord(char))
-                tags = [letters[t.lower()] for t, d in zip(r.tag, r.dele, strict=True) if d != char]
-                bits = "".join(format(t, "02b") for t in tags)
-                out.append((r.well, len(r.dele), len(pairs), encode([n for n, _ in pairs], codes["runs"], 16), encode([s for _, s in pairs[:-1]], codes["del"]),
-                            int("1" + bits, 2).to_bytes(len(bits) // 8 + 1, "big"), *(encode(values[c], codes[c]) for c in ("ins", "mrg", "sub"))))
+                    ins, mrg = [x >> 1 << 1 for x in ins], [x >> 2 << 2 for x in mrg]
+                out.append((r.well, *pack_entry([dele, ins, mrg, sub], r.tag.lower(), codes, ord(char))))
             yield pd.DataFrame(out, columns=["well", "n", "pairs", "runs", "del", "tag", "ins", "mrg", "sub"])
 
     narrow = entries.select("well", F.col("del").alias("dele"), "tag", "ins", "mrg", "sub")
@@ -124,13 +122,8 @@ def uncompressed(packed: DataFrame, codes: dict[str, dict[int, str]], char: str)
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for r in batch.rename(columns={"del": "dele"}).itertuples(index=False):
-                symbols = [*decode(r.dele, r.pairs - 1, codes["del"]), -1]
-                values = unrun(list(zip(decode(r.runs, r.pairs, codes["runs"], 16), symbols, strict=True)), ord(char))
-                bits = format(int.from_bytes(r.tag, "big"), "b")[1:]
-                tags = iter("acgt"[int(bits[i : i + 2], 2)] for i in range(0, len(bits), 2))
-                lines = [bytes(decode(getattr(r, c), r.n, codes[c])).decode() for c in ("ins", "mrg", "sub")]
-                out.append((r.well, bytes(values).decode(), "".join("n" if v == ord(char) else next(tags) for v in values), *lines))
+            for well, *streams in batch.itertuples(index=False):
+                out.append((well, *unpack_entry(Packed(*streams), codes, ord(char))))
             yield pd.DataFrame(out, columns=["well", "del", "tag", "ins", "mrg", "sub"])
 
     return packed.mapInPandas(unpack, "well long, del string, tag string, ins string, mrg string, sub string")
@@ -148,6 +141,17 @@ def qv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("well").alias("read_id"), *[F.md5(c).alias(f"{c}_md5") for c in ("del", "tag", "ins", "mrg", "sub")])
 
 
+def quality_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every read's quality lines after they went as text through one data source, and packed, a range of wells a file, through another."""
+    source.register(spark)
+    text, packed = scratch_path(spark), scratch_path(spark)
+    quality_entries(spark, sf_dir).select(F.concat_ws("\n", "header", *LINES)).write.text(text)
+    found = spark.read.format(source.TEXT).load(text)
+    found.repartitionByRange("well").sortWithinPartitions("well").write.format(source.NAME).mode("append").save(packed)
+    back = spark.read.format(source.NAME).load(packed)
+    return back.select(F.col("well").alias("read_id"), "header", *[F.md5(c).alias(f"{c}_md5") for c in LINES])
+
+
 _Q = "q as (select doc_id as read_id, coalesce(text, '') as qv from documents)"
 _H = "h as (select cast(unicode(s) as bigint) as c, count(*) as n from (select unnest(regexp_extract_all(qv, '(?s).')) as s from q) group by 1)"
 QUERIES = {
@@ -156,6 +160,7 @@ QUERIES = {
     "qv_pack_tags": (qv_pack_tags, f"with {_Q} select read_id, length(replace(qv, ' ', '')) as packed, md5(replace(qv, ' ', '')) as tags_md5, md5(replace(qv, ' ', 'n')) as unpacked_md5 from q"),
     "qv_lossy": (qv_lossy, f"with {_Q}, {_H} select c // 2 * 2 as ins, c // 4 * 4 as mrg, cast(sum(n) as bigint) as n from h group by 1, 2"),
     "qv_roundtrip": (qv_roundtrip, f"with {READS_SQL} select read_id, md5(translate(seq, 'ACGT', '!!!%')) as del_md5, md5(translate(seq, 'ACGT', 'nnna')) as tag_md5, md5(translate(seq, 'ACGT', '\"\"$$')) as ins_md5, md5(translate(reverse(seq), 'ACGT', '(((0')) as mrg_md5, md5(translate(seq, 'ACGT', '5556')) as sub_md5 from reads"),
+    "quality_files": (quality_files, f"with {READS_SQL} select read_id, '@m/' || read_id || '/0_' || length(seq) || ' RQ=0.850' as header, md5(translate(seq, 'ACGT', '!!!%')) as del_md5, md5(translate(seq, 'ACGT', 'nnna')) as tag_md5, md5(translate(seq, 'ACGT', '\"#$%')) as ins_md5, md5(translate(reverse(seq), 'ACGT', '+++0')) as mrg_md5, md5(translate(seq, 'ACGT', '5556')) as sub_md5 from reads"),
     "track_extra_reduce": (track_extra_reduce, "with b as (select lang, source, sum(n_chars) as total, count(*) as n from documents group by 1, 2) select lang, cast(sum(total) as bigint) as total, cast(sum(n) as bigint) as n, min(n) = max(n) as agrees from b group by lang"),
     "sorted_check": (sorted_check, "with d as (select source, doc_id, lag(doc_id) over (partition by source order by doc_id) as before from documents) select source, count(*) filter (doc_id <= before) as out_of_order, count(*) as n from d group by source"),
 }

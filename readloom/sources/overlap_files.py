@@ -30,7 +30,7 @@ BATCH = 4096
 _ARROW = pa.schema([*((c, pa.bool_() if c == "comp" else pa.int64()) for c in _NAMES[:-1]), ("trace", pa.list_(pa.struct([("d", pa.int64()), ("b", pa.int64())])))])
 
 
-def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
+def place(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -53,7 +53,7 @@ def unpacked(data: bytes) -> Iterator[tuple]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A file: its name, records, bytes, least and greatest aread."""
+    """A file: its name, records, bytes, least and greatest key."""
 
     name: str
     n: int
@@ -69,12 +69,14 @@ class Part(InputPartition):
 
 
 class Writer(DataSourceWriter):
+    LIST = _LIST
+
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[Row]) -> Written:
         """A task's file, under a name of its own: of two attempts only the committed one is in the list."""
-        fs, path = _place(self.path)
+        fs, path = place(self.path)
         fs.create_dir(path)
         name, n, size, low, high = f"{_PART}-{uuid.uuid4().hex}", 0, 0, None, None
         with fs.open_output_stream(f"{path}/{name}") as out:
@@ -86,42 +88,44 @@ class Writer(DataSourceWriter):
         return Written(name, n, size, low, high)
 
     def commit(self, messages: Sequence[Written | None]) -> None:
-        fs, path = _place(self.path)
+        fs, path = place(self.path)
         fs.create_dir(path)
-        had = [] if self.overwrite else listed(self.path, missing=True)
-        gone = listed(self.path, missing=True) if self.overwrite else []
+        had = [] if self.overwrite else listed(self.path, self.LIST, missing=True)
+        gone = listed(self.path, self.LIST, missing=True) if self.overwrite else []
         files = [*had, *(vars(m) for m in messages if m is not None)]
-        with fs.open_output_stream(f"{path}/{_LIST}") as out:
+        with fs.open_output_stream(f"{path}/{self.LIST}") as out:
             out.write(json.dumps(files).encode())
         for f in gone:
             fs.delete_file(f"{path}/{f['name']}")
 
     def abort(self, messages: Sequence[Written | None]) -> None:
-        fs, path = _place(self.path)
+        fs, path = place(self.path)
         for m in messages:
             if m is not None:
                 fs.delete_file(f"{path}/{m.name}")
 
 
-def listed(path: str, missing: bool = False) -> list[dict]:
+def listed(path: str, name: str = _LIST, missing: bool = False) -> list[dict]:
     """The committed files of a folder; one without a list is an error unless it may be missing."""
-    fs, at = _place(path)
-    if fs.get_file_info(f"{at}/{_LIST}").type == pa.fs.FileType.NotFound:
+    fs, at = place(path)
+    if fs.get_file_info(f"{at}/{name}").type == pa.fs.FileType.NotFound:
         if missing:
             return []
-        raise FileNotFoundError(f"no committed overlaps in {path}")
-    with fs.open_input_stream(f"{at}/{_LIST}") as file:
+        raise FileNotFoundError(f"no committed files in {path}")
+    with fs.open_input_stream(f"{at}/{name}") as file:
         return json.loads(file.read())
 
 
 class Reader(DataSourceReader):
+    KEY, LIST = "aread", _LIST
+
     def __init__(self, path: str):
         self.path, self.low, self.high = path, None, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on aread leave out whole files; Spark still applies every filter to the rows."""
+        """Bounds on the key leave out whole files; Spark still applies every filter to the rows."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("aread",) and isinstance(getattr(f, "value", None), int):
+            if getattr(f, "attribute", None) == (self.KEY,) and isinstance(getattr(f, "value", None), int):
                 if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
                     self.low = f.value if self.low is None else max(self.low, f.value)
                 if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
@@ -129,13 +133,16 @@ class Reader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Part]:
-        files = [f for f in listed(self.path) if f["n"]]
-        return [Part(f["name"], f["size"]) for f in files if (self.low is None or f["high"] >= self.low) and (self.high is None or f["low"] <= self.high)]
+        return [Part(f["name"], f["size"]) for f in listed(self.path, self.LIST) if f["n"] and self.wanted(f["low"], f["high"])]
+
+    def wanted(self, low: int, high: int) -> bool:
+        """Whether keys from low to high may be within the bounds."""
+        return (self.low is None or high >= self.low) and (self.high is None or low <= self.high)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing is left to read
             return
-        fs, path = _place(self.path)
+        fs, path = place(self.path)
         with fs.open_input_stream(f"{path}/{partition.name}") as file:
             data = file.read()
         if len(data) != partition.size:
