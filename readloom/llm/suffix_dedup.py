@@ -5,7 +5,9 @@ equal anchors at the same place, so
 1. anchors are counted by hash over all documents, packed by slice; those that occur once have no repeated window;
 2. the others go, with the bytes that their windows cover, to the partition of their hash. There equal contexts are one class: they meet by hash and are
    compared byte by byte. In groups with several classes the suffixes from the anchor on are sorted, and so are the bytes before it, read backwards;
-   windows are equal where the common prefixes of both orders cover them. Hashes decide what is compared, bytes what is equal.
+   windows are equal where the common prefixes of both orders cover them. Hashes decide what is compared, bytes what is equal;
+3. contexts of an anchor that occurs very often are narrowed first: their windows are parted by how far before the anchor they begin, and each part goes to the
+   partition of the bytes that all its windows share, most of a window. So a common line with different bytes around it is spread over all tasks.
 The first occurrence by (doc_id, start) of each window stays, and the windows of all others are removed.
 """
 
@@ -27,11 +29,13 @@ LENGTH, SEED = 100, 32
 #: Bytes that the shallow sort covers, in words of eight.
 SHALLOW = 16
 _STEP = 1 << 20
+#: Occurrences from which on an anchor's contexts are narrowed, parts of the windows then, anchors so treated at most (the most frequent; it bounds memory alone).
+HOT, PARTS, MOST_HOT = 100_000, 6, 1 << 20
 #: Bytes of contexts that are judged at once, groups of one anchor staying whole.
 _JUDGED = 2 << 20
 _TOP = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
-_COUNTS = "q int, chunk long, single binary, keys binary, place binary, multi binary"
+_COUNTS = "q int, chunk long, single binary, keys binary, place binary, multi binary, times binary"
 _CONTEXTS = "q int, blob binary, rel binary, wins binary, doc binary, keys binary, lo binary, gone_keys binary, gone_lo binary, gone_wins binary"
 
 
@@ -66,8 +70,22 @@ def twins(same: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return same & (doc == doc[first]) & (lo == lo[first])
 
 
-def repeated_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """_key, places: the ordinals of each document's anchors whose hash occurs at least twice."""
+def narrowed(prefix: np.ndarray, at: np.ndarray, first: np.ndarray, wins: np.ndarray, length: int, seed: int, parts: int = PARTS) -> tuple[np.ndarray, ...]:
+    """which, first window, number of windows and hash of the parts of contexts: windows that begin near to far bytes before the anchor share the bytes from
+    near before it to the end of the farthest, and the hash is of these. Equal windows begin equally far before it, so that they meet."""
+    span, made = length - seed + 1, []
+    step = -(-span // parts)
+    for near in range(0, span, step):
+        far = min(near + step, span) - 1
+        a, b = np.maximum(first, at - far), np.minimum(first + wins - 1, at - near)
+        k = np.flatnonzero(a <= b)
+        made.append((k, a[k], b[k] - a[k] + 1, window_hash(prefix, at[k] - near, at[k] - far + length, BYTE_BASE)))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
+def repeated_anchors(docs: DataFrame, length: int, seed: int, hot: int = HOT) -> DataFrame:
+    """_key, places: the ordinals of each document's anchors whose hash occurs at least twice. Rows with a _key below zero are no documents: -1 - _key is the hash
+    (low 40 bits) of an anchor that occurs `hot` times or more, and places says how often."""
     n = partitions(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,23 +101,24 @@ def repeated_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 hs, qs = h[order], q[order]
                 new = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (qs[1:] != qs[:-1]))))
                 size = np.diff(np.append(new, len(hs)))
-                one, many = new[size == 1], new[size > 1]
+                one, many, times = new[size == 1], new[size > 1], size[size > 1].astype("<u4")
                 several = order[np.repeat(size > 1, size)]
                 cut1, cut2 = (np.searchsorted(qs[x], np.arange(n + 1)) for x in (one, many))
                 chunk = int(keys[0])  # its first row names a slice
-                made = [(chunk % n, chunk, b"", keys[row[several]].tobytes(), place[several].astype("<u4").tobytes(), b"")]
+                made = [(chunk % n, chunk, b"", keys[row[several]].tobytes(), place[several].astype("<u4").tobytes(), b"", b"")]
                 for p in range(n):
                     a, b = one[cut1[p] : cut1[p + 1]], many[cut2[p] : cut2[p + 1]]
                     a = a[np.argsort(order[a])]  # by document
                     if len(a) or len(b):
-                        made.append((p, chunk, pack(hs[a], 5), keys[row[order[a]]].tobytes(), place[order[a]].astype("<u4").tobytes(), pack(hs[b], 5)))
+                        made.append((p, chunk, pack(hs[a], 5), keys[row[order[a]]].tobytes(), place[order[a]].astype("<u4").tobytes(), pack(hs[b], 5), times[cut2[p] : cut2[p + 1]].tobytes()))
                 cols = list(zip(*made, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *map(binary, cols[2:])], [x.split()[0] for x in _COUNTS.split(", ")])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_q(batches):
             single, multi = (unpack(utf8_bytes(batch.column(c)), 5) for c in ("single", "multi"))
-            _, where, total = np.unique(np.concatenate((single, multi, multi)), return_inverse=True, return_counts=True)
+            have, where = np.unique(np.concatenate((single, multi)), return_inverse=True)
+            total = np.bincount(where, np.concatenate((np.ones(len(single)), joined(batch.column("times"), "<u4"))), len(have))
             again = (total > 1)[where[: len(single)]]
             at, keys, places = 0, [], []
             for s, k, p in zip(batch.column("single"), batch.column("keys"), batch.column("place"), strict=True):
@@ -108,7 +127,11 @@ def repeated_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 at += size
                 keys.append(k[keep].tobytes())
                 places.append(p[keep].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), binary(keys), binary(places)], ["q", "keys", "place"])
+            often = np.flatnonzero(total >= hot)
+            keys.append((-1 - have[often].astype("<i8")).tobytes())
+            places.append(np.minimum(total[often], (1 << 31) - 1).astype("<u4").tobytes())
+            chunks = pa.concat_arrays([batch.column("chunk"), batch.column("chunk").slice(0, 1)])
+            yield pa.RecordBatch.from_arrays([chunks, binary(keys), binary(places)], ["q", "keys", "place"])
 
     found = docs.mapInArrow(count, _COUNTS).repartition(n, "q").sortWithinPartitions("q").mapInArrow(repeated, "q long, keys binary, place binary")
     pairs = found.repartition(n, "q").sortWithinPartitions("q").mapInArrow(_lists("place"), "_key long, place array<int>")
@@ -331,11 +354,13 @@ def anchored(blob: np.ndarray, rel: np.ndarray, wins: np.ndarray, length: int, s
         at = end
 
 
-def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """_key, starts, counts: the runs of windows of each document (docs: doc_id, _key, text) that also start earlier. Written."""
     n = partitions(docs.sparkSession)
     wide = 4 * n
-    places = written(repeated_anchors(docs, length, seed))
+    places = written(repeated_anchors(docs, length, seed, hot))
+    often = places.where("_key < 0").orderBy(F.desc(F.element_at("places", -1)), "_key").limit(MOST_HOT).select("_key").toPandas()["_key"].to_numpy(np.int64)
+    often = docs.sparkSession.sparkContext.broadcast(np.sort(-1 - often).astype(np.uint64))
     found = docs.join(small_side(places, 6 << 20), "_key").select("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text", "places")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +374,13 @@ def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataF
                 if not len(row):
                     continue
                 keys, ids = part.column("_key").to_numpy(), part.column("doc_id").to_numpy()
-                # of equal contexts only the first leaves this slice; the windows of the others are known to be repeats
                 prefix = rolling(_BYTE[data], BYTE_BASE)
+                narrow = np.isin(h & np.uint64(0xFFFFFFFFFF), often.value)
+                if narrow.any():
+                    which, begin, count, shared = narrowed(prefix, at[narrow], first[narrow], wins[narrow], length, seed)
+                    parts = row[narrow][which], at[narrow][which], begin, count, shared
+                    row, at, first, wins, h = (np.concatenate((x[~narrow], y)) for x, y in zip((row, at, first, wins, h), parts, strict=True))
+                # of equal contexts only the first leaves this slice; the windows of the others are known to be repeats
                 whole = window_hash(prefix, first, first + wins + length - 1, BYTE_BASE)
                 order = np.lexsort((keys[row], first - offsets[row], ids[row], at - first, wins, whole, h))
                 same = np.concatenate(([False], np.all([x[order][1:] == x[order][:-1] for x in (at - first, wins, whole, h)], axis=0)))
@@ -392,17 +422,17 @@ def later_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataF
     return written(runs.repartition(n, "q").sortWithinPartitions("q").mapInArrow(_lists("starts", "counts"), "_key long, starts array<int>, counts array<int>"))
 
 
-def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary, the remaining bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document of smaller doc_id, or earlier in its own. Null texts
     are empty; null doc_ids come last. Rows that share a doc_id (null too) are one document: a string at the same start in both is no repeat, and
     rows that repeat doc_id and text have the same result. An empty table gives an empty result. Other columns pass through; columns named as the
-    new ones are replaced.
+    new ones are replaced. The result doesn't depend on hot, the occurrences from which on an anchor's contexts are spread over all tasks.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     names, rows = docs.columns, numbered(docs)
-    runs = later_runs(rows.select(F.col("_row.doc_id").alias("doc_id"), "_key", F.col("_row.text").alias("text")).where("text is not null"), length, seed)
+    runs = later_runs(rows.select(F.col("_row.doc_id").alias("doc_id"), "_key", F.col("_row.text").alias("text")).where("text is not null"), length, seed, hot)
     told = rows.join(runs, "_key", "left").select("_row", "starts", "counts")
     at_text, width = names.index("text"), len(names)
 
