@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.alignments import BIAS, aligned, edit_script, reach, rendered, trace_points, walked
+from readloom.functions.alignments import BIAS, aligned, edit_script, reach, rendered, trace_points, walked, walked_traces
 from readloom.functions.bases import reverse_complement
 from readloom.functions.scripts import DIFF_ALIGN, align, crossing, improved, linear_script, passes
 from readloom.operators.seeds import K, MOST_CAP, MOST_KMERS
@@ -385,6 +385,24 @@ def local_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned_of(spark, sf_dir).drop("comp").withColumn("trace", said(F.col("trace")))
 
 
+def pebbled_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The local alignments of both strands with the traces of the searches that found them, and what the box needs at least (best): differences are never fewer,
+    and no script is sought a second time."""
+    found, means = _seeded(spark, sf_dir, strands=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                for box, diffs, trace in walked_traces(r.x, r.y, [(int(t["apos"]), int(t["bpos"])) for t in r.s], means, K, LEAST_KMERS * K, SPACE):
+                    a0, a1, b0, b1 = box
+                    out.append((r.aread, r.bread, r.comp, r.band, *box, diffs, [{"d": d, "b": b} for d, b in trace], r.x[a0:a1], r.y[b0:b1]))
+            yield pd.DataFrame(out, columns=["aread", "bread", "comp", "band", *_BOX, "diffs", "trace", "x", "y"])
+
+    made = found.mapInPandas(run, "aread long, bread long, comp boolean, band long, abpos long, aepos long, bbpos long, bepos long, diffs long, trace array<struct<d:long,b:long>>, x string, y string")
+    return made.select("aread", "bread", "comp", "band", *_BOX, "diffs", F.levenshtein("x", "y").cast("long").alias("best"), said(F.col("trace")).alias("trace"))
+
+
 def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each band's first seed extends towards the ends of both sequences, and its last one towards their starts."""
     found, means = _seeded(spark, sf_dir)
@@ -641,6 +659,7 @@ QUERIES = {
     "irregular_scripts": (irregular_scripts, f"{_SEGS}, w as (select aread, bread, band, i // 2 as h, string_agg(a, '' order by i) as a, string_agg(b, '' order by i) as b from seg group by aread, bread, band, i // 2) select aread, bread, band, cast(sum(levenshtein(a, b)) as bigint) as diffs, cast(sum(length(a)) as bigint) as asteps from w group by aread, bread, band"),
     "render_alignments": (render_alignments, f"{_SEGS} select aread, bread, band, i, levenshtein(a, b) as marked, a as first, b as second from seg"),
     "local_alignments": (local_alignments, None),
+    "pebbled_alignments": (pebbled_alignments, None),
     "extensions": (extensions, None),
     "chosen_overlaps": (chosen_overlaps, None),
     "nonredundant": (nonredundant, None),
