@@ -11,7 +11,7 @@ from pyspark.sql.functions import arrow_udtf
 
 from readloom.operators import chains, dominance, seeds
 from readloom.operators.seeds import BAND, LEAST, SEED_K
-from readloom.sources.tables import BATCH, codes_of, contigs, reads
+from readloom.sources.tables import codes_in_parts, contigs, reads
 
 #: Functions of one expression: name and parameters, type, expression.
 EXPRESSIONS = {
@@ -33,11 +33,9 @@ class KmersOf:
         whole = table.filter(pc.fill_null(pc.greater_equal(pc.binary_length(seq), size), False))
         if not whole.num_rows:
             return
-        row, place, code = codes_of(whole.column("seq"), size)
         ids = whole.column("id").cast(pa.int64())
-        for at in range(0, len(row), BATCH):
-            part = slice(at, at + BATCH)
-            yield pa.table({"id": ids.take(pa.array(row[part])), "rpos": pa.array(place[part] + size - 1), "code": pa.array(code[part])})
+        for row, place, code in codes_in_parts(whole.column("seq"), size):
+            yield pa.table({"id": ids.take(pa.array(row)), "rpos": pa.array(place + size - 1), "code": pa.array(code)})
 
 
 @arrow_udtf(returnType=chains.SCHEMA)
