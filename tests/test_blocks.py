@@ -43,3 +43,10 @@ def test_nothing_in_common_and_empty_tables(spark, tmp_path):
     found, n = observed_candidates(spark, sf)
     assert found.count() == 0 and n["seeds"] == n["a_kmers"] == n["candidates"] == 0
     assert block_seeds(spark, sf, 2, Counted()).count() == 0
+
+
+def test_no_kmer_is_shuffled_or_stored(spark, tmp_path):
+    sf = tables(spark, tmp_path, [(i, "acgttgcaagtcctagatcc" * 5) for i in range(30)], [(1, "acgttgcaagtcctagatcc")])
+    plan = block_seeds(spark, sf, 9, Counted())._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "RepartitionByExpression" not in above and "merge" not in above.lower() and "broadcast" in above.lower()
