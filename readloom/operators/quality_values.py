@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from readloom.functions.huffman import scheme
 from readloom.functions.quality_codec import LINES, Packed, pack_entry, unpack_entry
 from readloom.sources import quality_files as source
 from readloom.sources.scratch import scratch_path
-from readloom.sources.tables import READS_SQL, reads
+from readloom.sources.tables import READS_SQL, reads, spread
 
 #: The symbol that counts as the run character.
 RUN = " "
@@ -75,7 +77,7 @@ def quality_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.col("seq")
     shift = lambda by: F.translate(seq, "ACGT", by)
     lines = {"del": shift("!!!%"), "tag": F.translate(F.regexp_replace(seq, "[ACG]", "n"), "T", "a"), "ins": shift('"#$%'), "mrg": F.translate(F.reverse(seq), "ACGT", "+++0"), "sub": shift("5556")}
-    return reads(spark, sf_dir).select("read_id", F.format_string("@m/%d/0_%d RQ=0.850", "read_id", "rlen").alias("header"), *[c.alias(k) for k, c in lines.items()])
+    return spread(reads(spark, sf_dir)).select("read_id", F.format_string("@m/%d/0_%d RQ=0.850", "read_id", "rlen").alias("header"), *[c.alias(k) for k, c in lines.items()])
 
 
 def read_quiva(lines: DataFrame) -> DataFrame:
@@ -88,15 +90,31 @@ def read_quiva(lines: DataFrame) -> DataFrame:
     return told.withColumn("del", F.when(odd, F.raise_error(F.concat(F.lit("lines of unequal length: "), F.col("header")))).otherwise(F.col("del")))
 
 
-def quality_schemes(entries: DataFrame, char: str) -> dict[str, dict[int, str]]:
-    """Prefix codes of the four streams and of the runs of char among deletion values, from histograms over all entries (255 rows a stream at most)."""
-    made = {}
-    for c in _STREAMS:
-        signs = entries.select(F.explode(F.split(c, "")).alias("s")).where("s != ''").groupBy(F.ascii("s").alias("s")).count()
-        made[c] = scheme({r["s"]: r["count"] for r in signs.collect()} | {ord(char): 1})
-    gaps = entries.select(F.explode(F.split("del", f"[^{char}]", -1)).alias("g")).select((F.length("g") % 256).alias("n")).groupBy("n").count()  # runs() cuts off 255 and the sign behind them
-    made["runs"] = scheme({r["n"]: r["count"] for r in gaps.collect()} | {255: 1, 0: 1})
-    return made
+def quality_schemes(entries: DataFrame, char: str, lossy: bool = False) -> dict[str, dict[int, str]]:
+    """Prefix codes of the four streams and of the runs of char among deletion values, from histograms over all entries (255 rows a stream at most), all taken
+    in one pass; lossy: of what compressed() keeps of the values."""
+    cut = {"ins": 1, "mrg": 2} if lossy else {}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {c: np.zeros(256, np.int64) for c in [*_STREAMS, "runs"]}
+        for batch in batches:
+            for c in _STREAMS:
+                lines = [x for x in batch.column(c).to_pylist() if x is not None]
+                signs = np.frombuffer("\n".join(lines).encode(), np.uint8)
+                sums[c] += np.bincount(signs, minlength=256)
+                sums[c][10] -= max(0, len(lines) - 1)
+                if c == "del" and lines:  # a line's end parts runs as any other sign does
+                    others = np.flatnonzero(signs != ord(char))
+                    sums["runs"] += np.bincount((np.diff(others, prepend=-1, append=len(signs)) - 1) % 256, minlength=256)  # runs() cuts off 255 and the sign behind them
+        rows = [(c, int(s) >> cut.get(c, 0) << cut.get(c, 0), int(n[s])) for c, n in sums.items() for s in np.flatnonzero(n)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["stream", "s", "n"])
+
+    made: dict[str, dict[int, int]] = {c: {ord(char): 1} for c in _STREAMS} | {"runs": {}}
+    for r in entries.select(*_STREAMS).mapInArrow(count, "stream string, s long, n long").groupBy("stream", "s").agg(F.sum("n").alias("n")).collect():
+        if not (r["stream"] != "runs" and r["s"] == ord(char)):
+            made[r["stream"]][r["s"]] = r["n"]
+    made["runs"] |= {255: 1, 0: 1}
+    return {c: scheme(n) for c, n in made.items()}
 
 
 def compressed(entries: DataFrame, codes: dict[str, dict[int, str]], char: str, lossy: bool = False) -> DataFrame:
@@ -135,8 +153,7 @@ def qv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = read_quiva(text)
     first = entries.where(F.lower("tag").contains("n")).select(F.substring(F.col("del"), F.instr(F.lower("tag"), "n"), F.lit(1)).alias("c"))
     char = first.agg(F.min("c").alias("c")).first()["c"] or "!"  # the deletion value at a tag that says none
-    rounded = lambda c, bits: F.concat_ws("", F.transform(F.split(c, ""), lambda s: F.when(s == "", s).otherwise(F.chr(F.shiftleft(F.shiftright(F.ascii(s), bits), bits)))))
-    codes = quality_schemes(entries.withColumns({"ins": rounded("ins", 1), "mrg": rounded("mrg", 2)}), char)
+    codes = quality_schemes(entries, char, lossy=True)
     back = uncompressed(compressed(entries, codes, char, lossy=True), codes, char)
     return back.select(F.col("well").alias("read_id"), *[F.md5(c).alias(f"{c}_md5") for c in ("del", "tag", "ins", "mrg", "sub")])
 
