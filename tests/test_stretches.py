@@ -37,6 +37,39 @@ def test_runs_are_the_seeds_of_all_pairs(monkeypatch, most, seeds):
     assert sorted(got) == sorted(want) and want
 
 
+@pytest.mark.parametrize("turns", [1, 3])
+def test_living_stretches_make_the_same_runs_in_turns(turns):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("ACGT", k=n))
+    shared = [word(n) for n in (20, 25, 70, 200)] + ["A" * 40]
+    texts = ["".join(x for _ in range(3) for x in (word(rng.randrange(60)), rng.choice(shared))) for _ in range(40)]
+    kind = np.array([n % 3 for n in range(40)])
+    row, place, by, told = (np.concatenate(c) for c in zip(*S.stretches(pa.array(texts), 20), strict=True))
+    said = lambda runs: sorted(tuple(map(int, r)) for run in runs for r in zip(*run, strict=True))
+    want, got, gone, seeds = [], [], 0, 0
+    for m in np.unique(by):
+        columns = [c[by == m] for c in (row, place, told, kind[row])]
+        want += said(S.seed_runs(*columns, 20, 60))
+        alive, n = S.living(columns[2], columns[3], 20, 60)
+        gone, seeds, here = gone + int((alive == 0).sum()), seeds + n, alive > 0
+        for t in range(turns):
+            mine = here & ((columns[3] > 0) | (S.mixed(columns[0]) % turns == t))
+            got += said(S.seed_runs(*(c[mine] for c in columns), 20, 60, alive[mine]))  # counts of capped codes have changed, their k-mers stay dead
+    assert sorted(got) == sorted(want) and gone > 0 and seeds == sum(r[-1] for r in want)
+
+
+def test_no_turn_puts_all_runs_on_disk(spark, monkeypatch):
+    live, buckets, n = O.live_stretches(spark, SF, 300, True)
+    size = lambda *t: O.runs_of(live, buckets, 300, *t).agg(F.sum(F.length("data"))).first()[0]
+    assert max(size(t, 6) for t in range(6)) < 0.6 * size()
+    seeds, made, runs_of = live.agg(F.sum("seeds")).first()[0], [], O.runs_of
+    want = O.strong_bands(spark, SF, 300, True).collect()
+    monkeypatch.setattr(O, "TURN_BYTES", 1)
+    monkeypatch.setattr(O, "SEED_BYTES", 2.5 * (n // 2) / seeds)
+    monkeypatch.setattr(O, "runs_of", lambda *x: made.append(x[3:]) or runs_of(*x))
+    assert sorted(map(tuple, O.strong_bands(spark, SF, 300, True).collect())) == sorted(map(tuple, want)) and made == [(0, 3), (1, 3), (2, 3)]
+
+
 def test_columns_survive_packing():
     rng = np.random.default_rng(1)
     columns = [rng.integers(-(1 << 63), (1 << 63) - 1, 1000), np.arange(1000), np.full(1000, -5)]
