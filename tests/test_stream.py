@@ -74,3 +74,42 @@ def test_bands_of_one_seed_and_of_ties():
     assert one.to_dict("records") == [{"bread": 4, "band": -2, "covered": SEED_K, "afirst": 8, "alast": 20}]
     same = bands_of(pd.DataFrame({"bread": [1, 1, 1], "apos": [30, 30, 33], "bpos": [31, 30, 33]}, dtype=np.int32))
     assert same["covered"].tolist() == [SEED_K, SEED_K + 3] and same["band"].tolist() == [-1, 0]
+
+
+def test_reads_of_a_group_are_one_state():
+    from readloom.operators.seeds import LEAST, NEAR, SPACING
+    from readloom.streaming.candidates import ReadState
+
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            Held.calls += 1
+            return self.value
+
+        def update(self, value):
+            Held.calls += 1
+            self.value = value
+
+        def getValueState(self, *_):
+            return self
+
+    state, rng, every, got = ReadState(), np.random.default_rng(1), [], {}
+    state.init(Held())
+    for contigs in ((1, 2, 3), (4, 5), (6,)):
+        size = 400
+        seeds = pd.DataFrame({"aread": rng.integers(0, 9 + max(contigs), size), "bread": rng.choice(contigs, size), "apos": rng.integers(12, 300, size), "bpos": rng.integers(12, 150, size)})
+        every.append(seeds)
+        for out in state.handleInputRows((0,), iter([seeds[:150], seeds[150:]]), None):
+            got |= {r.aread: r for r in out.itertuples(index=False)}
+    assert Held.calls == 6
+    for read, some in pd.concat(every).groupby("aread"):
+        found = bands_of(some.drop(columns="aread"))
+        top = min((-c, b, d) for b, d, c in found[["bread", "band", "covered"]].itertuples(index=False))
+        strong = found[found["covered"] >= LEAST * SEED_K]
+        depth = np.zeros(10, int)
+        for a, z in zip(strong["afirst"], strong["alast"], strict=True):
+            depth[a // SPACING : (z - 1) // SPACING + 1] += 1
+        r = got[read]
+        assert (-r.covered, r.bread, r.band) == top and r.candidates == len(found) and r.significant == len(strong)
+        assert r.near == (found["covered"] >= NEAR * -top[0]).sum() and r.deepest == depth.max()
