@@ -93,3 +93,17 @@ def test_what_was_shuffled_is_removed(spark, tmp_path):
     from readloom.sources.scratch import CLEANUP, stored
 
     assert stored(lambda: spark.range(100).repartition(3)).count() == 100 and spark.conf.get(CLEANUP) == "false"
+
+
+def test_only_what_is_read_again_stays_on_disk(spark, tmp_path, monkeypatch):
+    from readloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "scratch_path", lambda _: str(tmp_path / f"{len(made)}-{made.append(0)}"))
+    made = []
+    bands = O.strong_bands(spark, SF)
+    assert len(made) == O.TURNS + 1 and len(list(tmp_path.iterdir())) == 1 and bands.count()  # the stretches are gone
+    boxed = O._boxed(spark, SF)
+    assert len(made) == 2 * O.TURNS + 4 and len(list(tmp_path.iterdir())) == 3 and boxed.count() == bands.count()
+    monkeypatch.setattr(O, "reads", None)
+    monkeypatch.setattr(O, "strong_bands", lambda *_: bands)
+    assert O.entwine(spark, SF).count()  # reads no sequence
