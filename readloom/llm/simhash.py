@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -257,8 +256,8 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFram
 WIDE, WIDE_RADIUS, SET_RADIUS, SMALL = 128, 48, 44, 64
 #: Bits of the sketch that proves sets of up to about a thousand shingles to be unlike before whole sets are fetched.
 PARITY = 512
-#: Texts whose shingles are all counted (of more, about the root of their number times this one's root), count of a common one, common ones at most.
-COUNTED, COMMON, MOST_COMMON = 20_000, 3, 250_000
+#: Count of a common shingle, common ones at most, and shingles that a task counts at once.
+COMMON, MOST_COMMON, TALLY = 3, 250_000, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,6 +296,71 @@ def prefixes(h: np.ndarray, cuts: np.ndarray, similarity: float, common: np.ndar
     return h[first], row[first]
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of all parts, each hash once, in order."""
+    h, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h)
+    h = h[order]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[at], np.add.reduceat(counts[order], at)
+
+
+def shingle_counts(texts: DataFrame, width: int, parts: int) -> DataFrame:
+    """h, count: the shingles that COMMON or more of all texts have, and how many do. A task adds up TALLY shingles at a time and deals them by hash in so many
+    parts, sorted and as steps, so that a shingle is some six bytes of the shuffle and not a row; a part is counted by one task, which holds its different
+    shingles."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def masses() -> Iterator[np.ndarray]:
+            held, n = [], 0
+            for batch in batches:
+                for _, data, offsets in steps(batch, "text"):
+                    held.append(shingle_sets(data, offsets, width)[0])
+                    n += len(held[-1])
+                    if n >= TALLY:
+                        yield np.concatenate(held)
+                        held, n = [], 0
+            if n:
+                yield np.concatenate(held)
+
+        for h in masses():
+            h, counts = np.unique(h, return_counts=True)
+            part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cut = [*np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist(), len(h)]
+            data = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                planes = [np.diff(h[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8), counts[a:b].astype("<u4").view(np.uint8).reshape(-1, 4)]
+                data.append((b - a).to_bytes(4, "little") + pa.compress(b"".join(x.T.tobytes() for x in planes), codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(data, pa.binary())], ["part", "data"])
+
+    def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = int.from_bytes(data[:4], "little")
+        planes = np.frombuffer(pa.decompress(data[4:], 12 * n, codec="zstd", asbytes=True), np.uint8)
+        told = [np.ascontiguousarray(x.reshape(-1, n).T) for x in (planes[: 8 * n], planes[8 * n :])]
+        return np.cumsum(told[0].view("<u8").ravel(), dtype=np.uint64), told[1].view("<u4").ravel().astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            held, now = [], None
+            for batch in batches:
+                for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if held and part != now:
+                        yield added(held)
+                        held = []
+                    now = part
+                    held.append(unpacked(data.as_py()))
+                    if sum(len(x[0]) for x in held[1:]) > max(TALLY, len(held[0][0])):
+                        held = [added(held)]
+            if held:
+                yield added(held)
+
+        for h, counts in whole():
+            often = counts >= COMMON
+            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(counts[often])], ["h", "count"])
+
+    return texts.select("text").mapInArrow(tally, "part long, data binary").repartition("part").sortWithinPartitions("part").mapInArrow(count, "h long, count long")
+
+
 def _key() -> Column:
     """128 bits that stand for a row's doc_id and text; whether there is a doc_id is said first, so that no text reads like one."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("#"), F.col("doc_id").cast("string"), F.lit(":")), F.lit("-")), F.coalesce("text", F.lit(""))))).alias("_key")
@@ -324,18 +388,11 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket
                 h, cuts = shingle_sets(data, offsets, width)
                 some = np.flatnonzero(np.diff(cuts))
                 take = pa.array(some)
-                yield pa.RecordBatch.from_arrays([part.column("_key").take(take), part.column("doc_id").take(take), pa.array(identity(h, cuts, some)), pa.array(parities(h, cuts), pa.binary()).take(take)], ["_key", "doc_id", "node", "sketch"])
-
-    prints = written(rows.mapInArrow(of, "_key binary, doc_id long, node long, sketch binary").dropDuplicates(["_key"]))
-    one_in = max(1, math.ceil(math.sqrt(prints.count() / COUNTED)))
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in steps(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(data, offsets, width)[0].view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([part.column("_key").take(take), part.column("doc_id").take(take), pa.array(identity(h, cuts, some)), pa.array(parities(h, cuts), pa.binary()).take(take), pa.array(np.diff(cuts)[some])], ["_key", "doc_id", "node", "sketch", "shingles"])
 
-    sample = rows.where(F.pmod(F.xxhash64("_key"), F.lit(one_in)) == 0).select("text").mapInArrow(hashes, "h long")
-    counted = written(sample.groupBy("h").count().where(F.col("count") >= COMMON))
+    prints = written(rows.mapInArrow(of, "_key binary, doc_id long, node long, sketch binary, shingles long").dropDuplicates(["_key"]))
+    parts = max(n, (prints.agg(F.sum("shingles")).first()[0] or 0) // TALLY + 1)
+    counted = written(shingle_counts(rows, width, parts))
     total, least = 0, COMMON
     for r in counted.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():
         total += r["n"]
@@ -364,8 +421,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket
                 columns = [key.view(np.int64), part, node[row], *(x[row] for x in prints), np.diff(cuts)[row].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "part", "node", "p0", "p1", "size"])
 
-    over = counts * one_in > bucket
-    large, blocks = common[over], (-(-counts[over] * one_in // bucket)).astype(np.uint64)
+    over = counts > bucket
+    large, blocks = common[over], (-(-counts[over] // bucket)).astype(np.uint64)
     dealt = rows.select("text").mapInArrow(deal, "key long, part int, node long, p0 long, p1 long, size int")
 
     def close(batch: pa.RecordBatch, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
