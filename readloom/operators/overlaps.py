@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -149,7 +149,9 @@ def strong_bands(spark: SparkSession, sf_dir: str, most: int = MOST_CAP, strands
     shape = ", ".join(f"{c} {'boolean' if c == 'comp' else 'long'}" for c in names)
     found = [stored(lambda t=t: runs_of(live, buckets, most, t, turns).mapInArrow(of, shape)) for t in range(turns)]
     discard(*live._made)
-    return reduce(DataFrame.unionByName, found)
+    bands = reduce(DataFrame.unionByName, found)
+    bands._bases = n  # type: ignore[attr-defined]
+    return bands
 
 
 def boxes(seeds: DataFrame, *keys: str) -> DataFrame:
@@ -172,19 +174,26 @@ def cuts(found: DataFrame, *more: Column) -> DataFrame:
     return cut.withColumns({"b0": place("a0"), "b1": place("a1")})
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cuts() with both strings."""
-    cut = cuts(_boxed(spark, sf_dir), F.col("a").alias("x"), F.col("b").alias("y"))
+def segments(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """made() of cuts() with both strings, in the turns of _boxed()."""
     part = lambda s, p, q, start: F.substring(F.col(s), (F.col(p) - F.col(start) + 1).cast("int"), (F.col(q) - F.col(p)).cast("int"))
-    return cut.select(*_PAIR, *_BOX, "i", "a0", "a1", "b0", "b1", part("x", "a0", "a1", "abpos").alias("a"), part("y", "b0", "b1", "bbpos").alias("b"))
+
+    def of(boxed: DataFrame) -> DataFrame:
+        cut = cuts(boxed, F.col("a").alias("x"), F.col("b").alias("y"))
+        return made(cut.select(*_PAIR, *_BOX, "i", "a0", "a1", "b0", "b1", part("x", "a0", "a1", "abpos").alias("a"), part("y", "b0", "b1", "bbpos").alias("b")))
+
+    return _boxed(spark, sf_dir, of)
 
 
 def overlaps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """aread, bread, band, abpos, aepos, bbpos, bepos, diffs, trace (array of d, b): the fixture's overlap records."""
-    each = segments(spark, sf_dir).withColumn("d", F.levenshtein("a", "b").cast("long"))
-    trace = F.sort_array(F.collect_list(F.struct("i", "d", (F.col("b1") - F.col("b0")).alias("b"))))
-    records = each.groupBy(*_PAIR, *_BOX).agg(F.sum("d").cast("long").alias("diffs"), trace.alias("t"))
-    return records.withColumn("trace", F.transform("t", lambda t: F.struct(t["d"].alias("d"), t["b"].alias("b")))).drop("t")
+
+    def of(each: DataFrame) -> DataFrame:
+        trace = F.sort_array(F.collect_list(F.struct("i", "d", (F.col("b1") - F.col("b0")).alias("b"))))
+        records = each.withColumn("d", F.levenshtein("a", "b").cast("long")).groupBy(*_PAIR, *_BOX).agg(F.sum("d").cast("long").alias("diffs"), trace.alias("t"))
+        return records.withColumn("trace", F.transform("t", lambda t: F.struct(t["d"].alias("d"), t["b"].alias("b")))).drop("t")
+
+    return segments(spark, sf_dir, of)
 
 
 def said(trace: Column) -> Column:
@@ -349,19 +358,20 @@ def _scripts(cut: DataFrame) -> DataFrame:
 
 def trace_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per overlap the exact script between its trace points: differences, gaps in either sequence."""
-    each = _scripts(segments(spark, sf_dir))
     dashes = lambda sign: F.sum(F.size(F.filter("gaps", lambda g: g * sign > 0))).cast("long")
-    return each.groupBy(*_PAIR).agg(F.sum("d").cast("long").alias("diffs"), (dashes(-1) - dashes(1)).alias("shift"))
+    return segments(spark, sf_dir, lambda cut: _scripts(cut).groupBy(*_PAIR).agg(F.sum("d").cast("long").alias("diffs"), (dashes(-1) - dashes(1)).alias("shift")))
 
 
 def irregular_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same between every second trace point alone, a spacing that the trace itself names."""
-    cut = segments(spark, sf_dir)
-    pair = cut.withColumn("h", F.floor(F.col("i") / 2))
     text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda s: s[c]), "").alias(c)
-    wide = pair.groupBy(*_PAIR, "h").agg(F.min("a0").alias("a0"), F.min("b0").alias("b0"), F.max("a1").alias("a1"), F.max("b1").alias("b1"), text("a"), text("b"))
-    each = _scripts(wide)
-    return each.groupBy(*_PAIR).agg(F.sum("d").cast("long").alias("diffs"), F.sum(F.col("a1") - F.col("a0")).cast("long").alias("asteps"))
+
+    def of(cut: DataFrame) -> DataFrame:
+        pair = cut.withColumn("h", F.floor(F.col("i") / 2))
+        wide = pair.groupBy(*_PAIR, "h").agg(F.min("a0").alias("a0"), F.min("b0").alias("b0"), F.max("a1").alias("a1"), F.max("b1").alias("b1"), text("a"), text("b"))
+        return _scripts(wide).groupBy(*_PAIR).agg(F.sum("d").cast("long").alias("diffs"), F.sum(F.col("a1") - F.col("a0")).cast("long").alias("asteps"))
+
+    return segments(spark, sf_dir, of)
 
 
 def mid_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,40 +382,48 @@ def mid_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield batch.assign(c=[crossing(a, b) for a, b in zip(batch["a"], batch["b"], strict=True)])
 
-    cut = segments(spark, sf_dir).select(*_PAIR, "i", "a0", "b0", "a", "b")
-    found = cut.mapInPandas(run, "aread long, bread long, band long, i long, a0 long, b0 long, a string, b string, c long")
-    half = F.floor(F.length("a") / 2).cast("int")
-    part = lambda s, p, q: F.substring(F.col(s), p + 1, q - p)
-    c = F.col("c").cast("int")
-    halves = found.select(
-        *_PAIR, "i", "a0", "b0", (F.col("a0") + half).alias("am"), (F.col("b0") + F.col("c")).alias("bm"),
-        part("a", F.lit(0), half).alias("a1"), part("a", half, F.length("a")).alias("a2"), part("b", F.lit(0), c).alias("b1"), part("b", c, F.length("b")).alias("b2"),
-    )
-    along = Window.partitionBy(*_PAIR).orderBy("i")
-    before = lambda x, other: F.coalesce(F.lag(x).over(along), other)
-    none, last = F.lit(""), F.lead("i").over(along).isNull()
-    each = halves.select(
-        *_PAIR, before("am", F.col("a0")).alias("a0"), before("bm", F.col("b0")).alias("b0"), F.concat(before("a2", none), F.col("a1")).alias("a"),
-        F.concat(before("b2", none), F.col("b1")).alias("b"), "am", "bm", F.when(last, F.col("a2")).alias("ra"), F.when(last, F.col("b2")).alias("rb"),
-    )
-    each = stored(each)
-    ends = each.where("ra is not null").select(*_PAIR, F.col("am").alias("a0"), F.col("bm").alias("b0"), F.col("ra").alias("a"), F.col("rb").alias("b"), F.lit(0).cast("long").alias("bm"))
-    pieces = _scripts(each.select(*_PAIR, "a0", "b0", "a", "b", "bm").unionByName(ends))
-    dashes = lambda sign: F.sum(F.size(F.filter("gaps", lambda g: g * sign > 0))).cast("long")
-    return pieces.groupBy(*_PAIR).agg(F.sum("d").cast("long").alias("diffs"), (dashes(-1) - dashes(1)).alias("shift"), F.sum("bm").cast("long").alias("middles"))
-
-
-def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aread, bread, band, abpos, aepos, bbpos, bepos, a, b: every overlap's box, cut from both sequences, each before the next join. The sequences that a join has
-    shuffled are removed after it, so that those of one side at most lie on disk."""
+    def of(cut: DataFrame) -> DataFrame:
+        found = cut.select(*_PAIR, "i", "a0", "b0", "a", "b").mapInPandas(run, "aread long, bread long, band long, i long, a0 long, b0 long, a string, b string, c long")
+        half = F.floor(F.length("a") / 2).cast("int")
+        part = lambda s, p, q: F.substring(F.col(s), p + 1, q - p)
+        c = F.col("c").cast("int")
+        halves = found.select(
+            *_PAIR, "i", "a0", "b0", (F.col("a0") + half).alias("am"), (F.col("b0") + F.col("c")).alias("bm"),
+            part("a", F.lit(0), half).alias("a1"), part("a", half, F.length("a")).alias("a2"), part("b", F.lit(0), c).alias("b1"), part("b", c, F.length("b")).alias("b2"),
+        )
+        along = Window.partitionBy(*_PAIR).orderBy("i")
+        before = lambda x, other: F.coalesce(F.lag(x).over(along), other)
+        none, last = F.lit(""), F.lead("i").over(along).isNull()
+        each = halves.select(
+            *_PAIR, before("am", F.col("a0")).alias("a0"), before("bm", F.col("b0")).alias("b0"), F.concat(before("a2", none), F.col("a1")).alias("a"),
+            F.concat(before("b2", none), F.col("b1")).alias("b"), "am", "bm", F.when(last, F.col("a2")).alias("ra"), F.when(last, F.col("b2")).alias("rb"),
+        )
+        piece = lambda *x: F.struct(*(F.col(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in zip(("a0", "b0", "a", "b", "bm"), x, strict=True)))
+        both = F.array(piece("a0", "b0", "a", "b", "bm"), F.when(F.col("ra").isNotNull(), piece("am", "bm", "ra", "rb", F.lit(0).cast("long"))))
+        pieces = _scripts(each.select(*_PAIR, F.inline(F.array_compact(both))))
+        dashes = lambda sign: F.sum(F.size(F.filter("gaps", lambda g: g * sign > 0))).cast("long")
+        return pieces.groupBy(*_PAIR).agg(F.sum("d").cast("long").alias("diffs"), (dashes(-1) - dashes(1)).alias("shift"), F.sum("bm").cast("long").alias("middles"))
+
+    return segments(spark, sf_dir, of)
+
+
+def _boxed(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFrame] = lambda each: each) -> DataFrame:
+    """made() of aread, bread, band, abpos, aepos, bbpos, bepos, a, b: every overlap's box, cut from both sequences, each before the next join. Boxes may hold many
+    times the bases of all sequences: they are cut for a part of the reads at a time, in as many turns as their lengths ask for, and of a turn no more stays on
+    disk than what is made of it. made() may join or group what is of one read, as a read is in one turn."""
     table = reads(spark, sf_dir)
-    found = strong_bands(spark, sf_dir).select(*_PAIR, *_BOX)
+    bands = strong_bands(spark, sf_dir)
+    bases = bands.agg(F.coalesce(F.sum(F.col("aepos") - F.col("abpos")), F.lit(0)).alias("n")).first()["n"]
+    turns = max(1, math.ceil(bases / max(TURN_BYTES, bands._bases)))
     part = lambda p, q: F.substring(F.col("seq"), (F.col(p) + 1).cast("int"), (F.col(q) - F.col(p)).cast("int"))
     side = lambda odd, name: table.where(f"read_id % 2 = {odd}").select(F.col("read_id").alias(name), "seq")
-    a = stored(lambda: found.join(side(1, "aread"), "aread").select(*_PAIR, *_BOX, part("abpos", "aepos").alias("a")))
-    both = stored(lambda: a.join(side(0, "bread"), "bread").select(*_PAIR, *_BOX, "a", part("bbpos", "bepos").alias("b")))
-    discard(a)
-    return both
+    out = []
+    for t in range(turns):
+        mine = lambda df, t=t: df.where(F.pmod(F.xxhash64("aread"), F.lit(turns)) == t)
+        a = stored(lambda m=mine: m(bands).join(m(side(1, "aread")), "aread").select(*_PAIR, *_BOX, part("abpos", "aepos").alias("a")))
+        out.append(stored(lambda a=a: made(a.join(side(0, "bread"), "bread").select(*_PAIR, *_BOX, "a", part("bbpos", "bepos").alias("b")))))
+        discard(a)
+    return reduce(DataFrame.unionByName, out)
 
 
 def linear_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +438,7 @@ def linear_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((r.aread, r.bread, r.band, diffs, sum(1 if g < 0 else -1 for g in gaps), len(trace), sum(b for _, b in trace)))
             yield pd.DataFrame(out, columns=[*_PAIR, "diffs", "shift", "points", "bases"])
 
-    return _boxed(spark, sf_dir).mapInPandas(run, "aread long, bread long, band long, diffs long, shift long, points long, bases long")
+    return _boxed(spark, sf_dir, lambda each: each.mapInPandas(run, "aread long, bread long, band long, diffs long, shift long, points long, bases long"))
 
 
 def gap_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,7 +456,7 @@ def gap_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((r.aread, r.bread, r.band, diffs, sum(1 if g < 0 else -1 for g in better), rose, len(better) != len(gaps), x.replace("-", "") != r.a or y.replace("-", "") != r.b))
             yield pd.DataFrame(out, columns=[*_PAIR, "diffs", "shift", "rose", "changed", "broken"])
 
-    return _boxed(spark, sf_dir).mapInPandas(run, "aread long, bread long, band long, diffs long, shift long, rose boolean, changed boolean, broken boolean")
+    return _boxed(spark, sf_dir, lambda each: each.mapInPandas(run, "aread long, bread long, band long, diffs long, shift long, rose boolean, changed boolean, broken boolean"))
 
 
 def render_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,7 +470,8 @@ def render_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((lines[1].count("*"), lines[0].replace("-", ""), lines[2].replace("-", "")) if len(lines) == 3 else (0, "", ""))
             yield batch[[*_PAIR, "i"]].assign(marked=[o[0] for o in out], first=[o[1] for o in out], second=[o[2] for o in out])
 
-    return segments(spark, sf_dir).select(*_PAIR, "i", "a", "b").mapInPandas(run, "aread long, bread long, band long, i long, marked long, first string, second string")
+    shape = "aread long, bread long, band long, i long, marked long, first string, second string"
+    return segments(spark, sf_dir, lambda cut: cut.select(*_PAIR, "i", "a", "b").mapInPandas(run, shape))
 
 
 def _seeded(spark: SparkSession, sf_dir: str, strands: bool = False) -> tuple[DataFrame, tuple[int, int, int, int]]:

@@ -107,3 +107,23 @@ def test_only_what_is_read_again_stays_on_disk(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(O, "reads", None)
     monkeypatch.setattr(O, "strong_bands", lambda *_: bands)
     assert O.entwine(spark, SF).count()  # reads no sequence
+
+
+def test_boxes_are_cut_in_turns_and_none_stays(spark, tmp_path, monkeypatch):
+    from readloom.sources import scratch
+
+    keys = ["aread", "bread", "band", "diffs", "trace"]
+    queries = [lambda: O.overlaps(spark, SF).select(keys), lambda: O.mid_traces(spark, SF)]
+    want = [sorted(map(tuple, q().collect())) for q in queries]
+    bands = O.strong_bands(spark, SF)
+    bases = bands.agg(F.sum(F.col("aepos") - F.col("abpos"))).first()[0]
+    bands._bases = -(-bases // 4)  # as if the boxes had four times the bases of all sequences
+    monkeypatch.setattr(O, "TURN_BYTES", 1)
+    monkeypatch.setattr(O, "strong_bands", lambda *_: bands)
+    monkeypatch.setattr(scratch, "scratch_path", lambda _: str(tmp_path / f"{len(made)}-{made.append(0)}"))
+    held, stored = [], O.stored
+    monkeypatch.setattr(O, "stored", lambda df: (out := stored(df), held.append(sum(len(r.a) for r in out.select("a").collect()) if "a" in out.columns else 0))[0])
+    made = []
+    for n, q in enumerate(queries, 1):
+        assert sorted(map(tuple, q().collect())) == want[n - 1] and len(made) == 8 * n and len(list(tmp_path.iterdir())) == 4 * n
+    assert sum(held[:8]) == bases and max(held) < 0.6 * bases
