@@ -27,7 +27,7 @@ def oracle(folder, name):
     return con.sql(SQL[name]).df()
 
 
-@pytest.mark.parametrize("name, n", [("diag_band_candidates", 102 * 100), ("best_contig_per_read", 102), ("elim_filter", 102 * 100)])
+@pytest.mark.parametrize("name, n", [("diag_band_candidates", 102 * 100), ("best_contig_per_read", 102), ("elim_filter", 102 * 100), ("dominance_orderfree", 102 * 100)])
 def test_no_code_is_left_out(spark, frequent, name, n):
     got = QUERIES[name](spark, frequent).toPandas()
     assert len(got) >= n and rows(got) == rows(oracle(frequent, name))
