@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.seeds import LEAST, SEED_K, mapping_seeds
+from readloom.operators.seeds import LEAST, SEED_K, seeds_of
 from readloom.sources.tables import reads, stranded
 
 #: Bases within which a seed looks back, k-mers that a chain covers at least, share of a step that the diagonal may move when it replaces its predecessor.
@@ -77,12 +77,13 @@ def chains_of(seeds: DataFrame) -> DataFrame:
 
 
 def chain_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains_of(mapping_seeds(spark, sf_dir))
+    """The chains of all seeds, however many a code makes."""
+    return chains_of(seeds_of(spark, sf_dir))
 
 
 def chain_candidates_rc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on complemented contigs, for reads of which a third are complements."""
-    return chains_of(mapping_seeds(spark, sf_dir, comp=True, table=stranded(reads(spark, sf_dir))))
+    return chains_of(seeds_of(spark, sf_dir, comp=True, table=stranded(reads(spark, sf_dir))))
 
 
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ TABLE_FUNCTIONS = {"kmers": KmersOf, "seed_chains": SeedChains, "undominated": U
 
 def register(spark: SparkSession, sf_dir: str | None = None, prefix: str = "readloom_") -> None:
     """Makes the functions known to the session's SQL, under prefix; of a sf_dir, also views {prefix}reads (read_id, seq, rlen), {prefix}contigs (contig_id,
-    seq, clen) and {prefix}seeds (aread, bread, apos, bpos, diag: those under the product cap). Registering again replaces."""
+    seq, clen) and {prefix}seeds (aread, bread, apos, bpos, diag: all of them). Registering again replaces."""
     for head, (kind, said) in EXPRESSIONS.items():
         spark.sql(f"create or replace temporary function {prefix}{head} returns {kind} return {said}")
     for name, function in TABLE_FUNCTIONS.items():
@@ -86,7 +86,7 @@ def register(spark: SparkSession, sf_dir: str | None = None, prefix: str = "read
     if sf_dir is not None:
         reads(spark, sf_dir).createOrReplaceTempView(f"{prefix}reads")
         contigs(spark, sf_dir).createOrReplaceTempView(f"{prefix}contigs")
-        seeds.mapping_seeds(spark, sf_dir).createOrReplaceTempView(f"{prefix}seeds")
+        seeds.seeds_of(spark, sf_dir).createOrReplaceTempView(f"{prefix}seeds")
 
 
 SEED_COUNTS = f"""
@@ -118,5 +118,5 @@ def _said(text: str):
 QUERIES = {
     "sql_seed_counts": (_said(SEED_COUNTS), seeds.QUERIES["seed_count"][1]),
     "sql_chains": (_said(CHAINS), None),
-    "sql_dominance": (_said(STAYING), dominance.QUERIES["dominance_ordered"][1]),
+    "sql_dominance": (_said(STAYING), dominance.ALL_SQL),
 }

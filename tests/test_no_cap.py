@@ -27,7 +27,13 @@ def oracle(folder, name):
     return con.sql(SQL[name]).df()
 
 
-@pytest.mark.parametrize("name, n", [("diag_band_candidates", 102 * 100), ("best_contig_per_read", 102), ("elim_filter", 102 * 100), ("dominance_orderfree", 102 * 100)])
+@pytest.mark.parametrize("name, n", [("diag_band_candidates", 102 * 100), ("best_contig_per_read", 102), ("elim_filter", 102 * 100), ("dominance_orderfree", 102 * 100), ("sql_dominance", 102 * 100)])
 def test_no_code_is_left_out(spark, frequent, name, n):
     got = QUERIES[name](spark, frequent).toPandas()
     assert len(got) >= n and rows(got) == rows(oracle(frequent, name))
+
+
+@pytest.mark.parametrize("name", ["chain_candidates", "sql_chains"])
+def test_no_chain_is_left_out(spark, frequent, name):
+    got = {(r["aread"], r["bread"]): r["score"] for r in QUERIES[name](spark, frequent).collect()}
+    assert got == {(a, b): 60 if a < 101 else 40 for a in range(102) for b in range(100)}
