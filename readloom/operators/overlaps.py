@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from readloom.functions.alignments import BIAS, aligned, edit_script, reached_together, rendered, trace_points, walked_together
 from readloom.functions.bases import reverse_complement
 from readloom.functions.scripts import DIFF_ALIGN, align, crossing, improved, linear_script, passes
-from readloom.functions.stretches import dealt, gathered, in_masses, living, mixed, packed, run_boxes, seed_runs, stretches, strong_runs, unpacked
+from readloom.functions.stretches import dealt, gathered, in_masses, kmers_by_code, living, mixed, packed, run_boxes, seed_runs, stretches, strong_runs, unpacked
 from readloom.operators.seeds import K, MOST_CAP, MOST_KMERS
 from readloom.sources.overlap_files import NAME, register
 from readloom.sources.scratch import discard, scratch_path, stored
@@ -355,11 +355,37 @@ def spec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-mers, those kept by the frequency filter, codes kept, and the seeds they make between reads and contigs."""
-    each = kmers(reads(spark, sf_dir), "read_id", K)
-    codes = each.groupBy("code").agg(F.count("*").alias("n"), F.count_if(F.col("read_id") % 2 == 1).alias("na"))
-    low = F.col("n") < MOST_KMERS
-    return codes.agg(F.sum("n").cast("long").alias("kmers"), F.sum(F.when(low, F.col("n"))).cast("long").alias("revised"), F.count_if(low).alias("codes"), F.sum(F.when(low, F.col("na") * (F.col("n") - F.col("na")))).cast("long").alias("hits"))
+    """K-mers, those kept by the frequency filter, codes kept, and the seeds they make between reads and contigs. As in live_stretches(), packed stretches are dealt
+    by minimizer, in TURNS, and all of a code are counted in one task, so that no k-mer is a row."""
+    table = reads(spark, sf_dir)
+    n = table.agg(F.coalesce(F.sum("rlen"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET + 1)
+    each = spread(table.select("read_id", "seq")).where(F.length("seq") >= K).select("seq", F.when(F.col("read_id") % 2 == 1, 0).otherwise(1).alias("kind"))
+    names = ["kmers", "revised", "codes", "hits"]
+
+    def cut(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                kind = batch.column(1).to_numpy().astype(np.int64)
+                for row, _, by, told in stretches(batch.column(0), K):
+                    bucket = mixed(by) % buckets
+                    now = bucket % TURNS == turn
+                    yield bucket[now], kind[row[now]], told[now]
+
+        for bucket, *columns in in_masses(parts(), MASS):
+            yield dealt(bucket, columns)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, told in gathered(batches, 2):
+            _, _, _, na, nb = kmers_by_code(told, kind, K)
+            low = na + nb < MOST_KMERS
+            yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in ((na + nb).sum(), (na + nb)[low].sum(), low.sum(), (na * nb)[low].sum())], names)
+
+    made = [stored(lambda t=t: gather(each.mapInArrow(lambda x: cut(x, t), PACKED)).mapInArrow(judge, ", ".join(f"{c} long" for c in names))) for t in range(TURNS)]
+    sums = reduce(DataFrame.unionByName, made).agg(*(F.sum(c).cast("long").alias(c) for c in names))
+    # sums of nothing are null where no code is kept, as in SQL
+    kept = lambda c: F.when(F.col("codes") > 0, F.col(c)).alias(c)
+    return sums.select("kmers", kept("revised"), F.coalesce("codes", F.lit(0)).cast("long").alias("codes"), kept("hits"))
 
 
 # ---------------------------------------------------------------- alignments and scripts
